@@ -11,6 +11,12 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_binary_output(spark, sf_dir):
+    from lodestar.llm.rans import encode_corpus, read_blocks
+
+    return read_blocks(spark, encode_corpus(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=2))
+
+
 def op5_token_counts(spark, sf_dir):
     from lodestar.llm.token_counts import count_tokens
 
@@ -23,5 +29,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op5_token_counts": op5_token_counts, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
