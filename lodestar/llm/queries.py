@@ -23,11 +23,18 @@ def op5_token_counts(spark, sf_dir):
     return count_tokens(table(sf_dir, "documents", spark), _vocabulary("piece_bpe_32k.model"))
 
 
+def op9_decontamination(spark, sf_dir):
+    from lodestar.llm.winnowing import contamination, digest
+
+    docs, bench = table(sf_dir, "documents", spark), table(sf_dir, "benchmark", spark)
+    return digest(contamination(docs.select("doc_id", "text"), bench))
+
+
 def op10_packing(spark, sf_dir):
     from lodestar.llm.packing import pack
 
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op5_token_counts": op5_token_counts, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op5_token_counts": op5_token_counts, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
