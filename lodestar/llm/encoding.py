@@ -8,7 +8,9 @@ such place (double spaces, other scripts' spaces, line ends beside spaces) goes
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +21,17 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import prepare
 
-#: Outside of these characters only the general cut is used. None of them but \n and space is white space.
-_ODD = re.compile("[^\n -~\xa1-ɏ]")
-_GAP = re.compile("(?<=[!-~\xa1-ɏ])(?= [!-~\xa1-ɏ])")
+#: White space other than the space and the line end, by any library's reading of \s. With one of these only
+#: the general cut is used.
+_ODD = [chr(i) for i in (*range(9), *range(11, 32), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+_GAP = re.compile("(?<=[!-~\xa1-\xac\xae-ɏ])(?= [!-~\xa1-\xac\xae-ɏ])")
+#: A piece of letters and marks behind them is two pieces of the pre-tokenizer: letters, and the marks.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]*)")
 #: Characters of a text that are worked on at once, and bytes that a worker's store of pieces may hold.
-STRETCH, STORE = 1 << 20, 64 << 20
+STRETCH, STORE = 1 << 20, 128 << 20
+#: The byte-level alphabet: each byte's character. Bytes that Latin-1 doesn't show follow from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 
 
 def stretches(text: str, limit: int = STRETCH):
@@ -39,44 +47,60 @@ def stretches(text: str, limit: int = STRETCH):
 
 
 class Coder:
-    """ids(text): the ids as little-endian bytes of the given width."""
+    """ids(text): the ids as little-endian bytes of two or, for a large vocabulary, four each."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one text at a time: Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.direct = self.tokenizer.normalizer is None
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.held = 0
 
-    def _learn(self, store: dict[str, bytes], before: str, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(store))
-        batch = self.tokenizer.encode_batch_fast([before + x for x in new], add_special_tokens=False)
-        for x, e in zip(new, batch, strict=True):
-            store[x] = b = np.array(e.ids, self.dtype).tobytes()
-            self.held += len(x) + len(b) + 150
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        """A text that the pre-tokenizer leaves in one piece."""
+        return array(self.code, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
+
+    def _learn(self, store: dict[str, bytes], before: str, x: str) -> bytes:
+        b = self.before[store is self.spaced].get(x)
+        if b is None:
+            m = _WORD.fullmatch(x) if self.direct else None
+            if m and m[2]:
+                b = (store.get(m[1]) or self._learn(store, before, m[1])) + (self.plain.get(m[2]) or self._learn(self.plain, "", m[2]))
+            elif m:
+                b = self._piece(before + x)
+            else:
+                b = self._whole(before + x)
+        store[x] = b
+        self.held += len(x) + len(b) + 150
+        return b
 
     def _joined(self, store: dict[str, bytes], before: str, pieces: list[str]) -> bytes:
-        try:
-            return b"".join([store[x] for x in pieces])
-        except KeyError:
-            self._learn(store, before, pieces)
-            return b"".join([store[x] for x in pieces])
+        out = list(map(store.get, pieces))
+        if None in out:
+            out = [b if b is not None else store.get(x) or self._learn(store, before, x) for x, b in zip(pieces, out, strict=True)]
+        return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.held > STORE:
-            self.plain.clear()
-            self.spaced.clear()
-            self.held = 0
+        if self.held > STORE // 2:  # what is met again comes back from the half before
+            self.before, self.plain, self.spaced, self.held = (self.plain, self.spaced), {}, {}, 0
         out = []
         for x in stretches(text):
             first, *rest = x[1:].split(" ") if x[0] == " " else x.split(" ")
-            if "" in rest or not first or "\n " in x or " \n" in x or x[-1] in " \n" or _ODD.search(x):
+            if "  " in x or "\n " in x or " \n" in x or not first or x[-1] in " \n" or any(c in x for c in _ODD):
                 out.append(self._joined(self.plain, "", _GAP.split(x)))
             elif x[0] == " ":
                 out.append(self._joined(self.spaced, " ", [first, *rest]))
