@@ -23,6 +23,13 @@ def op5_token_counts(spark, sf_dir):
     return count_tokens(table(sf_dir, "documents", spark), _vocabulary("piece_bpe_32k.model"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    from lodestar.llm.quality import score
+
+    out = score(table(sf_dir, "documents", spark))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op9_decontamination(spark, sf_dir):
     from lodestar.llm.winnowing import contamination, digest
 
@@ -36,5 +43,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op5_token_counts": op5_token_counts, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
