@@ -17,6 +17,12 @@ def op1_binary_output(spark, sf_dir):
     return read_blocks(spark, encode_corpus(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
+def op2_html_extraction(spark, sf_dir):
+    from lodestar.llm.html_text import main_text
+
+    return main_text(table(sf_dir, "pages", spark))
+
+
 def op5_token_counts(spark, sf_dir):
     from lodestar.llm.token_counts import count_tokens
 
@@ -43,5 +49,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
