@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm.common import table
+from lodestar.llm.common import fold, table
 
 
 def _vocabulary(name: str) -> str:
@@ -36,6 +36,13 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_language_id(spark, sf_dir):
+    from lodestar.llm.langid import identify
+
+    out = identify(table(sf_dir, "documents", spark), folds=4, held_out=2)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark, sf_dir):
     from lodestar.llm.winnowing import contamination, digest
 
@@ -49,5 +56,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
