@@ -25,10 +25,16 @@ from lodestar.llm.common import prepare
 #: the general cut is used.
 _ODD = [chr(i) for i in (*range(9), *range(11, 32), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _GAP = re.compile("(?<=[!-~\xa1-\xac\xae-ɏ])(?= [!-~\xa1-\xac\xae-ɏ])")
-#: A piece of letters and marks behind them is two pieces of the pre-tokenizer: letters, and the marks.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]*)")
+#: A comma or stop behind a letter or digit is a piece of its own. A text with one behind anything else, or
+#: with letters of other scripts, keeps its marks at the words.
+_STRAY = re.compile("[,.](?<![A-Za-z0-9À-ÖØ-öø-ɏ][,.])")
+_OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
+#: Letters and marks are two pieces of the pre-tokenizer.
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]+)")
+#: Set before a piece that has no space before it.
+_BARE = "\0"
 #: Characters of a text that are worked on at once, and bytes that a worker's store of pieces may hold.
-STRETCH, STORE = 1 << 20, 128 << 20
+STRETCH, STORE = 1 << 20, 192 << 20
 #: The byte-level alphabet: each byte's character. Bytes that Latin-1 doesn't show follow from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
@@ -60,52 +66,58 @@ class Coder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.direct = self.tokenizer.normalizer is None
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.store: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, text: str) -> bytes:
-        """A text that the pre-tokenizer leaves in one piece."""
-        return array(self.code, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
-
-    def _learn(self, store: dict[str, bytes], before: str, x: str) -> bytes:
-        b = self.before[store is self.spaced].get(x)
-        if b is None:
-            m = _WORD.fullmatch(x) if self.direct else None
-            if m and m[2]:
-                b = (store.get(m[1]) or self._learn(store, before, m[1])) + (self.plain.get(m[2]) or self._learn(self.plain, "", m[2]))
-            elif m:
-                b = self._piece(before + x)
-            else:
-                b = self._whole(before + x)
-        store[x] = b
-        self.held += len(x) + len(b) + 150
-        return b
-
-    def _joined(self, store: dict[str, bytes], before: str, pieces: list[str]) -> bytes:
-        out = list(map(store.get, pieces))
+    def _piece(self, text: str) -> list[int]:
+        """The ids of a text that the pre-tokenizer leaves in one piece."""
+        shown = text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_ALPHABET)
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _encoded(self, x: str) -> bytes:
+        bare = x[0] == _BARE
+        y = x[1:] if bare else x
+        if self.direct and y:
+            if y.isalpha():  # letters behind one space are one piece of the pre-tokenizer
+                if x.isascii() and not bare:
+                    return array(self.code, [t.id for t in self.model.tokenize("Ġ" + x)]).tobytes()
+                return array(self.code, self._piece(y if bare else " " + y)).tobytes()
+            if bare and y[0] == "\n" and y[1:].isalpha():
+                return array(self.code, self._piece("\n") + self._piece(y[1:])).tobytes()
+            if m := _MARKED.fullmatch(y):
+                return array(self.code, self._piece(m[1] if bare else " " + m[1]) + self._piece(m[2])).tobytes()
+        return array(self.code, self.tokenizer.encode(y if bare else " " + x, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        store, before = self.store, self.before
+        for x in pieces:
+            b = before.get(x)
+            if b is None:
+                b = self._encoded(x)
+            store[x] = b
+            self.held += len(x) + len(b) + 150
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        out = list(map(self.store.get, pieces))
         if None in out:
-            out = [b if b is not None else store.get(x) or self._learn(store, before, x) for x, b in zip(pieces, out, strict=True)]
+            self._learn({x for x, b in zip(pieces, out, strict=True) if b is None})
+            out = map(self.store.__getitem__, pieces)
         return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.held > STORE // 2:  # what is met again comes back from the half before
-            self.before, self.plain, self.spaced, self.held = (self.plain, self.spaced), {}, {}, 0
+            self.before, self.store, self.held = self.store, {}, 0
         out = []
         for x in stretches(text):
-            first, *rest = x[1:].split(" ") if x[0] == " " else x.split(" ")
-            if "  " in x or "\n " in x or " \n" in x or not first or x[-1] in " \n" or any(c in x for c in _ODD):
-                out.append(self._joined(self.plain, "", _GAP.split(x)))
-            elif x[0] == " ":
-                out.append(self._joined(self.spaced, " ", [first, *rest]))
-            else:
-                out += self._joined(self.plain, "", [first]), self._joined(self.spaced, " ", rest)
+            if "  " in x or "\n " in x or " \n" in x or x[-1] in " \n" or x[0] == "\n" or any(c in x for c in _ODD):
+                out.append(self._joined([y[1:] if y[0] == " " and len(y) > 1 and y[1] != " " else _BARE + y for y in _GAP.split(x)]))
+                continue
+            if not _STRAY.search(x) and (x.isascii() or not _OTHER.search(x)):
+                x = x.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0. \0\n")
+            out.append(self._joined((x[1:] if x[0] == " " else _BARE + x).split(" ")))
         return b"".join(out)
 
 

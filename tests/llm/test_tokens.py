@@ -10,11 +10,11 @@ from lodestar.llm.encoding import Coder, stretches
 from lodestar.llm.packing import pack
 from lodestar.llm.token_counts import count_tokens, lengths, parts_of, processor
 
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny z", "é à b c", "don't can't  we'll", "<|endoftext|> a <|endoftext|>", "漢字 かな a b", "a\tb c", "\x1c a \x1d b", "tab\t end ", "a\u0085b c d", "x " * 50, "1 22 333 a1 b2", "... !! a!! b ?", "\r\n a\r\nb c", "😀 a 😀 b"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny z", "é à b c", "don't can't  we'll", "<|endoftext|> a <|endoftext|>", "漢字 かな a b", "a\tb c", "\x1c a \x1d b", "tab\t end ", "a\u0085b c d", "x " * 50, "1 22 333 a1 b2", ", a", ". b", "a , b . c", "a,, b.. c", "one, two. Three.\nFour, five.", "é», b. ǀ, x", "12, 3. x,\ny", "a\0, b", "... !! a!! b ?", "\r\n a\r\nb c", "😀 a 😀 b"]
 
 
 def random_text(rng):
-    return "".join(rng.choice(["a", "the", " ", " ", "  ", "\n", "é", "!", "12", "漢", "'s", "\t", "<s>", "</s>"]) for _ in range(rng.randrange(60)))
+    return "".join(rng.choice(["a", "the", " ", " ", "  ", "\n", "é", "!", "12", "漢", "'s", "\t", ", ", ". ", ".\n", "<s>", "</s>"]) for _ in range(rng.randrange(60)))
 
 
 TEXTS = ODD + [random_text(random.Random(i)) for i in range(400)]
