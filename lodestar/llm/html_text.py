@@ -204,9 +204,11 @@ def extract(page: str | None, weights: dict[tuple, float]) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 2000) -> dict[tuple, float]:
-    """Weights from at most `sample` pages that have an <article> or <main>, taken by the hash of their id.
+    """Weights from about `sample` pages that have an <article> or <main>, taken by the hash of their id.
     Kinds are tag names, so the counts are few; where no page is labelled the set weights hold."""
-    rows = pages.where(F.col(html_col).rlike("(?i)<(article|main)\\b")).orderBy(F.xxhash64(id_col), F.col(id_col)).select(html_col).limit(sample)
+    rows = pages.where(F.col(html_col).rlike("(?i)<(article|main)\\b"))
+    share = min(1.0, sample / max(1, rows.count()))
+    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).select(html_col)
 
     def run(batches):
         counts: Counter = Counter()

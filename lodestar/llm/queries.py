@@ -23,6 +23,12 @@ def op2_html_extraction(spark, sf_dir):
     return main_text(table(sf_dir, "pages", spark))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    from lodestar.llm.partenum import similarity_components
+
+    return similarity_components(table(sf_dir, "documents", spark), k=3, percent=90)
+
+
 def op5_token_counts(spark, sf_dir):
     from lodestar.llm.token_counts import count_tokens
 
@@ -56,5 +62,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
