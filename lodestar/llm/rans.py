@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import arrow, drop, new_path, prepare, shuffle_parts, written
 from lodestar.llm.encoding import tokenize
 
-SCALE, LANES, STEPS = 20, 512, 128
+SCALE, LANES, STEPS = 20, 2048, 128
 #: A block closes when it has so many ids; a longer document has a block of its own.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 LOW = np.uint64(1 << 31)
 BLOCKS = "part int, block long, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, states binary, words binary, checkpoints array<struct<step: int, word: long, states: binary>>, crc32 long"
 
@@ -113,11 +113,13 @@ def count_symbols(tokens: DataFrame, width: int) -> dict[int, int]:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(raw, f"<u{width}"))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[: len(n)] += n
+            raw = b.column(0)
+            offsets = np.frombuffer(raw.buffers()[1], np.int32 if pa.types.is_binary(raw.type) else np.int64)
+            whole = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[raw.offset] : offsets[raw.offset + len(raw)]]
+            n = np.bincount(whole.view(f"<u{width}"))
+            if len(n) > len(total):
+                total, n = n.astype(np.int64), total
+            total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
