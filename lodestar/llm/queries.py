@@ -23,6 +23,13 @@ def op2_html_extraction(spark, sf_dir):
     return main_text(table(sf_dir, "pages", spark))
 
 
+def op3_toxicity(spark, sf_dir):
+    from lodestar.llm.toxicity import detect
+
+    out = detect(table(sf_dir, "documents", spark), table(sf_dir, "labels", spark), folds=4, held_out=2, threshold=0.3)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     from lodestar.llm.partenum import similarity_components
 
@@ -62,5 +69,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
