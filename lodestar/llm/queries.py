@@ -56,6 +56,12 @@ def op7_language_id(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scoring(spark, sf_dir):
+    from lodestar.llm.lm import score_corpus
+
+    return score_corpus(table(sf_dir, "documents", spark), folds=5, held_out=1)
+
+
 def op9_decontamination(spark, sf_dir):
     from lodestar.llm.winnowing import contamination, digest
 
@@ -69,5 +75,5 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
