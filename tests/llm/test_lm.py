@@ -40,7 +40,7 @@ def corpus(spark, n=120):
     for i in range(n):
         w = ["Start"]
         for _ in range(rng.randrange(40)):
-            w.append(vocabulary[(int(w[-1][1:]) * 7 + 1) % 60] if w[-1][0] == "w" and rng.random() < 0.6 else rng.choice(vocabulary).upper())
+            w.append(vocabulary[(int(w[-1][1:]) * 7 + 1) % 60] if w[-1][0] in "wW" and rng.random() < 0.6 else rng.choice(vocabulary).upper())
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(w), 1.0))
     rows += [(500, None, 0.0), (501, "", 0.0), (502, "unknown é words", 1.0), (3, rows[3][1], 1.0), (None, "w1 w2", 0.0), (503, "w1 " * 5000, 0.0)]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(3)
