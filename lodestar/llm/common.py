@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_lodestar_dir", None)
     if not at:
-        at = sc._lodestar_dir = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        own = tempfile.mkdtemp(prefix="lodestar-")
+        atexit.register(shutil.rmtree, own, True)
+        at = sc._lodestar_dir = "file://" + own
         sc.setCheckpointDir(at)
     return at
 
