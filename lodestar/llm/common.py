@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -61,6 +62,12 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

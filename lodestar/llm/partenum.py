@@ -5,7 +5,9 @@ k = (100 - P) / (100 + P) * (m + n) elements. Bands of sizes are so wide that li
 neighbours; each set signs for its own band and for the next. For a band whose pairs differ in at most k
 elements the hash domain is partitioned into k + 1 parts: in one of them two linked sets agree wholly, and the
 hash of a part's elements is a signature. (Of PartEnum's two levels the second is one partition here, whose only
-subset is itself.) An empty part says little; in its place stand the signatures of a second, independent partition.
+subset is itself.) An empty part says little. Large bands have t parts more than k + 1, so that linked sets agree in t + 1
+parts at least: a set with at most t empty parts need not sign for them, and only one with more does. In small bands the signatures of a second,
+independent partition stand in the place of an empty part.
 
 Equal sets are one class and sign once. Classes that share a signature form buckets. Buckets are compared in
 blocks by odd sketches: bit vectors in which every element flips one bit, so that two sets differ in at least as many
@@ -17,6 +19,7 @@ are still in different components. No link between different texts is lost, and
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import groupby
 
 import numpy as np
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import prepare, written
+from lodestar.llm.common import prepare, reclaim, written
 from lodestar.llm.components import components
 from lodestar.llm.wordhash import NOT_SPACE, Words, bytes_of, groups, mix, runs
 
 #: Classes of a bucket that are compared at once, and bytes of texts.
 BLOCK, GROUP = 256, 1 << 20
-_DEEPEST = 3
+#: Bands of at most so many parts have no spare parts, but up to so many partitions.
+SMALL, _DEEPEST = 16, 3
 
 
 class Bands:
@@ -41,13 +45,22 @@ class Bands:
         while starts[-1] < 1 << 40:
             starts.append(starts[-1] * 100 // percent + 1)
         self.starts = np.array(starts)
+        self.known: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the elements in which two linked sets of at most the band's largest size can differ."""
-        return (100 - self.percent) * 2 * (int(self.starts[band + 1]) - 1) // (100 + self.percent) + 1
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts and t. Two linked sets of at most the band's largest size differ in at most parts - 1 - t elements;
+        t is what a set of the band before rarely exceeds in empty parts."""
+        if band not in self.known:
+            least = (100 - self.percent) * 2 * (int(self.starts[band + 1]) - 1) // (100 + self.percent) + 1
+            smallest, t = int(self.starts[max(0, band - 1)]), 0
+            for _ in range(2 if least > SMALL else 0):
+                empty = (least + t) * math.exp(-smallest / (least + t))
+                t = math.ceil(empty + (2 if empty < 5 else 4) * math.sqrt(empty) + 0.5)
+            self.known[band] = (least + t, t)
+        return self.known[band]
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -55,17 +68,20 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     out: list[np.ndarray] = []
 
     def sign(band: int, family: int, tag: np.uint64) -> None:
-        parts = bands.parts(band)
+        parts, spare = bands.parts(band)
         at = (mix(s ^ mix(np.array([family + 1], np.uint64))) % np.uint64(parts)).astype(np.int64)
         total, filled = np.zeros(parts, np.uint64), np.zeros(parts, bool)
         np.add.at(total, at, mix(s + np.uint64(family + 77)))
         filled[at] = True
         place = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         signs = mix(total + mix(place + tag))
-        deeper = family + 1 < _DEEPEST
-        out.append(signs[filled] if deeper else signs)
+        free = np.flatnonzero(~filled)
+        deeper = parts <= SMALL and family + 1 < _DEEPEST
+        out.append(signs[filled])
+        if not deeper and len(free) > spare:
+            out.append(signs[free])
         if deeper:
-            for p in np.flatnonzero(~filled).tolist():
+            for p in free.tolist():
                 sign(band, family + 1, mix(place[p : p + 1] + tag + np.uint64(1))[0])
 
     own = bands.of(len(s))
@@ -248,7 +264,9 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     classes = written(classes, "classes")
     signs = classes.select(F.explode("signs").alias("sign"), "rep")
     shared = signs.groupBy("sign").agg(F.count("*").alias("m")).where("m > 1")
+    reclaim(spark)
     buckets = written(signs.join(shared, "sign").select("sign", "m", "rep", F.col("rep").alias("comp")), "buckets")
+    reclaim(spark)
     pairs = written(_in_blocks(buckets, classes).mapInArrow(_forest(percent), "a long, b long").distinct(), "pairs")
 
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
@@ -268,6 +286,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     a, b = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
     links = written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "first")
 
+    reclaim(spark)
     found = written(components(links), "components")
     at = buckets.drop("comp").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sign", "m", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = at.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign")
