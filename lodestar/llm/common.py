@@ -49,7 +49,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := new_path(spark, name))
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestar_path = path
     return out

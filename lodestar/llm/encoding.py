@@ -126,7 +126,8 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-TOKENS = "part int, row long, doc_id long, ahead long, n_tokens long, ids binary"
+#: counts is null but in a partition's last row, which has how often each id occurs in the partition.
+TOKENS = "part int, row long, doc_id long, ahead long, n_tokens long, ids binary, counts binary"
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,12 +139,31 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_
     def run(batches):
         c, part, row, ahead = coder(path), TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], c.dtype).tobytes()
-        for b in batches:
-            ids = [c.ids(t) + end for t in b.column(1).to_pylist()]
+        total = np.zeros(c.tokenizer.get_vocab_size(), np.int64)
+
+        def rows(doc_ids: pa.Array, ids: list[bytes], last: bool):
+            nonlocal row, ahead
             n = np.array([len(x) // c.dtype.itemsize for x in ids], np.int64)
             upto = ahead + np.cumsum(n)
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(np.arange(row, row + k)), b.column(0), pa.array(upto - n), pa.array(n), pa.array(ids, pa.binary())], ["part", "row", "doc_id", "ahead", "n_tokens", "ids"])
-            row, ahead = row + k, int(upto[-1]) if k else ahead
+            seen = np.bincount(np.frombuffer(b"".join(ids), c.dtype), minlength=len(total))
+            total[:] += seen[: len(total)]
+            counts = [None] * (k - 1) + [total.tobytes() if last else None]
+            out = pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(np.arange(row, row + k)), doc_ids, pa.array(upto - n), pa.array(n), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], [x.split()[0] for x in TOKENS.split(", ")])
+            row, ahead = row + k, int(upto[-1])
+            return out
+
+        held = None  # the last row, which waits for the end
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [c.ids(t) + end for t in b.column(1).to_pylist()]
+            if held:
+                yield rows(*held, False)
+            if len(ids) > 1:
+                yield rows(b.column(0).slice(0, len(ids) - 1), ids[:-1], False)
+            held = (b.column(0).slice(len(ids) - 1), ids[-1:])
+        if held:
+            yield rows(*held, True)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TOKENS)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import arrow, drop, new_path, prepare, shuffle_parts, written
 from lodestar.llm.encoding import tokenize
 
-SCALE, LANES, STEPS = 20, 2048, 128
+SCALE, LANES, STEPS = 18, 2048, 128
 #: A block closes when it has so many ids; a longer document has a block of its own.
 BLOCK = 1 << 19
 LOW = np.uint64(1 << 31)
@@ -50,7 +50,7 @@ class Table:
         self.start = np.cumsum(self.freq) - self.freq
         self.index = np.full(int(self.symbols.max(initial=0)) + 1, -1, np.int32)
         self.index[self.symbols] = np.arange(len(symbols))
-        self.slot = np.repeat(np.arange(len(symbols), dtype=np.uint32), self.freq.astype(np.int64))
+        self.slot = np.repeat(np.arange(len(symbols), dtype=np.uint16 if len(symbols) <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes, list[tuple[int, int, bytes]]]:
         """Final states, words and checkpoints. The last lanes of an incomplete last step stay as they are."""
@@ -107,23 +107,19 @@ def _packed(pairs: tuple) -> tuple[bytes, bytes]:
     return np.array(pairs[0], "<u4").tobytes(), np.array(pairs[1], "<u8").tobytes()
 
 
-def count_symbols(tokens: DataFrame, width: int) -> dict[int, int]:
-    """Occurrences of every id in all rows. Each task adds up its own; the result is bounded by the vocabulary."""
+def count_symbols(tokens: DataFrame) -> dict[int, int]:
+    """Occurrences of every id in all rows, from the counts of the partitions; bounded by the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            raw = b.column(0)
-            offsets = np.frombuffer(raw.buffers()[1], np.int32 if pa.types.is_binary(raw.type) else np.int64)
-            whole = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[raw.offset] : offsets[raw.offset + len(raw)]]
-            n = np.bincount(whole.view(f"<u{width}"))
-            if len(n) > len(total):
-                total, n = n.astype(np.int64), total
-            total[: len(n)] += n
+            for raw in b.column(0).to_pylist():
+                n = np.frombuffer(raw, np.int64)
+                total = n + total if len(total) else n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     return {r.symbol: r.n for r in rows}
 
 
@@ -131,7 +127,7 @@ def write_blocks(tokens: DataFrame, path: str, width: int, parts: int | None = N
     """Writes the rows of tokenize(), a written table, in ascending order of doc_id; rows of one doc_id in the
     order in which they lie in tokens. Extra: nothing is dropped, an empty table gives an empty folder."""
     spark = tokens.sparkSession
-    symbols, freq = scaled(count_symbols(tokens, width))
+    symbols, freq = scaled(count_symbols(tokens))
     spark.createDataFrame(list(zip(symbols, freq, strict=True)), "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
     keys = _packed((symbols, freq))
     order = ["doc_id", "part", "row"]
