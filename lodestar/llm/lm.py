@@ -198,7 +198,7 @@ def score_corpus(docs: DataFrame, folds: int = 5, held_out: int = 1, chunk_words
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     chunks = written(_chunks(rows, 6 * chunk_words), "chunks")
     size = chunks.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
-    shards = max(1, min(shuffle_parts(spark), math.ceil(size / (1 << 16))), math.ceil(size / shard_words))
+    shards = max(1, min(4 * shuffle_parts(spark), math.ceil(size / (1 << 16))), math.ceil(size / shard_words))
     answers = written(_requests(chunks, shards).groupBy("shard").applyInArrow(_answer, ANSWERS), "answers")
     total = answers.groupBy("shard").agg(F.max("shard_tokens").alias("n"), F.max("shard_words").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(total[0] or 0, total[1] or 0), SCORES)
