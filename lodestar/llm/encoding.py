@@ -80,8 +80,6 @@ class Coder:
         y = x[1:] if bare else x
         if self.direct and y:
             if y.isalpha():  # letters behind one space are one piece of the pre-tokenizer
-                if x.isascii() and not bare:
-                    return array(self.code, [t.id for t in self.model.tokenize("Ġ" + x)]).tobytes()
                 return array(self.code, self._piece(y if bare else " " + y)).tobytes()
             if bare and y[0] == "\n" and y[1:].isalpha():
                 return array(self.code, self._piece("\n") + self._piece(y[1:])).tobytes()
@@ -90,13 +88,17 @@ class Coder:
         return array(self.code, self.tokenizer.encode(y if bare else " " + x, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        store, before = self.store, self.before
+        store, before, code, tokenize, held = self.store, self.before, self.code, self.model.tokenize, 0
         for x in pieces:
             b = before.get(x)
             if b is None:
-                b = self._encoded(x)
+                if x.isalpha() and x.isascii() and self.direct:  # letters behind one space are one piece
+                    b = array(code, [t.id for t in tokenize("Ġ" + x)]).tobytes()
+                else:
+                    b = self._encoded(x)
             store[x] = b
-            self.held += len(x) + len(b) + 150
+            held += len(x) + len(b) + 150
+        self.held += held
 
     def _joined(self, pieces: list[str]) -> bytes:
         out = list(map(self.store.get, pieces))
