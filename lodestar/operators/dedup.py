@@ -14,6 +14,7 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Pattern = tuple[str, str, str]
 
@@ -90,11 +91,14 @@ def wl_key_of(triples: list[Pattern]) -> str:
     return hashlib.md5(repr(canonical(triples)).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
-def wl_key(triples: pd.Series) -> pd.Series:
+def _wl_keys(triples: pd.Series) -> pd.Series:
     return triples.map(lambda ts: None if ts is None else wl_key_of([tuple(t) for t in ts]))
 
 
+def wl_key(triples: Column | str) -> Column:
+    return F.pandas_udf(_wl_keys, StringType())(triples)
+
+
 def dedup_key(triples: Column | str, method: str = "hash") -> Column:
     if method == "hash":
         return hash_key(triples)
