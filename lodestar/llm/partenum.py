@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import prepare, reclaim, written
+from lodestar.llm.common import drop, prepare, reclaim, written
 from lodestar.llm.components import components
 from lodestar.llm.wordhash import NOT_SPACE, Words, bytes_of, groups, mix, runs
 
@@ -251,10 +252,20 @@ def _in_blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     return b.join(classes.select("rep", "n", "sketch"), "rep").select("sign", "lo", "hi", "side", "rep", "comp", "n", "sketch").repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi")
 
 
-def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _buckets(classes: DataFrame, i: int, rounds: int) -> DataFrame:
+    """Classes with a signature that others have too, for a share of all signatures. sign, m, rep, comp."""
+    own = F.filter("signs", lambda x: F.pmod(x, F.lit(rounds)) == i) if rounds > 1 else F.col("signs")
+    signs = classes.select(F.explode(own).alias("sign"), "rep")
+    shared = signs.groupBy("sign").agg(F.count("*").alias("m")).where("m > 1")
+    out = written(signs.join(shared, "sign").select("sign", "m", "rep", F.col("rep").alias("comp")), "buckets")
+    reclaim(classes.sparkSession)
+    return out
+
+
+def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the texts' sets of k-word shingles (fewer words: all of them as one)
     are linked when their Jaccard similarity is at least percent. Null texts and those without words have 0 shingles and
-    stand alone. Repeated rows stay and are linked, as are equal texts; other columns are not read; a null id is linked
+    stand alone. Signatures are dealt out in `rounds` parts, one after the other, which bounds the disk that they need. Repeated rows stay and are linked, as are equal texts; other columns are not read; a null id is linked
     with equal texts only. Ids are taken to name one text each; of an id with several, one text is compared."""
     spark = docs.sparkSession
     prepare(spark)
@@ -262,11 +273,10 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     signed = written(_signed(texts, k, percent), "signed")
     classes = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    signs = classes.select(F.explode("signs").alias("sign"), "rep")
-    shared = signs.groupBy("sign").agg(F.count("*").alias("m")).where("m > 1")
-    reclaim(spark)
-    buckets = written(signs.join(shared, "sign").select("sign", "m", "rep", F.col("rep").alias("comp")), "buckets")
+    members = written(signed.select("doc_id", "n", "digest"), "members")
+    drop(signed)
     reclaim(spark)
+    buckets = reduce(DataFrame.union, [_buckets(classes, i, rounds) for i in range(rounds)])
     pairs = written(_in_blocks(buckets, classes).mapInArrow(_forest(percent), "a long, b long").distinct(), "pairs")
 
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
@@ -290,10 +300,10 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     found = written(components(links), "components")
     at = buckets.drop("comp").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sign", "m", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = at.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign")
-    members = _in_blocks(at.join(open_, "sign"), classes).mapInArrow(_members(percent), "sign long, lo long, hi long, side long, rep long, comp long")
-    rest = written(members, "rest").join(sets, "rep").select("sign", "lo", "hi", "side", "rep", "comp", "set").repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi")
+    near = _in_blocks(at.join(open_, "sign"), classes).mapInArrow(_members(percent), "sign long, lo long, hi long, side long, rep long, comp long")
+    rest = written(near, "rest").join(sets, "rep").select("sign", "lo", "hi", "side", "rep", "comp", "set").repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi")
     more = written(rest.mapInArrow(_exact(percent), "a long, b long"), "second")
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
     label = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return signed.select("doc_id", "n", "digest").join(label, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return members.join(label, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
