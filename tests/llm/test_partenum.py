@@ -111,3 +111,18 @@ def test_components(spark):
 def test_null_and_long_texts():
     s = list(partenum.sets_of(pa.array([None, "", "A b  c d", "x " * 100000]), 3))
     assert [len(x) for x in s] == [0, 0, 2, 1]
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+
+    from lodestar.llm.queries import ORACLES, QUERIES
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, sf)
+        cursor = c.execute(sql)
+        assert sorted(df.columns) == sorted(x[0] for x in cursor.description)
+        assert sorted(tuple(r) for r in df.select([x[0] for x in cursor.description]).collect()) == sorted(cursor.fetchall()), name
