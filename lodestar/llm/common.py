@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -68,6 +70,21 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a Python worker keeps from task to task, made at its first use. Workers are shared by all stages of a
+    session, so there is one such thing at a time; another one takes its place."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # gives freed memory back to the system, where there is such a call
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def fold(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import prepare
+from lodestar.llm.common import prepare, resident
 
 #: White space other than the space and the line end, by any library's reading of \s. With one of these only
 #: the general cut is used.
@@ -123,9 +122,8 @@ class Coder:
         return b"".join(out)
 
 
-@lru_cache(2)
 def coder(path: str) -> Coder:
-    return Coder(path)
+    return resident(("coder", path), lambda: Coder(path))
 
 
 #: counts is null but in a partition's last row, which has how often each id occurs in the partition.

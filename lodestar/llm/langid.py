@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold, prepare
+from lodestar.llm.common import fold, prepare, resident
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers, and how fast bits turn into certainty.
@@ -107,16 +107,6 @@ class Model:
         return self.languages[best], float(1 / np.exp2(np.maximum(-60.0, -(cost - cost[best]) * SHARPNESS)).sum())
 
 
-_HELD: dict[int, Model] = {}
-
-
-def _model(key: int, samples: dict) -> Model:
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Model(samples)
-    return _HELD[key]
-
-
 def learn(docs: DataFrame, rows: int = 200, chars: int = 60_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, tuple[str, int]]:
     """From the labelled rows of docs a sample of about `rows` texts of each language, taken by the hash of their
     id; of these its most frequent words, up to `chars` characters. Rows without language, text or letters teach nothing."""
@@ -156,7 +146,7 @@ def predict(docs: DataFrame, samples: dict[str, tuple[str, int]], keep: bool = F
     out = docs.select(*cols).withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).select(*(cols if keep else cols[:1]), *names)
 
     def run(batches):
-        m = _model(key, shared.value)
+        m = resident(("languages", key), lambda: Model(shared.value))
         for b in batches:
             got = [m.predict(t) for t in b.column(place).to_pylist()]
             own = b.columns if keep else b.columns[:1]

@@ -14,7 +14,6 @@ Blocks lie in Parquet so that Spark's writers and readers serve any file system,
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow, drop, new_path, prepare, shuffle_parts, written
+from lodestar.llm.common import arrow, drop, new_path, prepare, resident, shuffle_parts, written
 from lodestar.llm.encoding import tokenize
 
 SCALE, LANES, STEPS = 18, 2048, 128
@@ -98,9 +97,8 @@ class Table:
         return self.symbols[out]
 
 
-@lru_cache(4)
 def _table(symbols: bytes, freq: bytes) -> Table:
-    return Table(np.frombuffer(symbols, "<u4"), np.frombuffer(freq, "<u8"))
+    return resident(("table", symbols, freq), lambda: Table(np.frombuffer(symbols, "<u4"), np.frombuffer(freq, "<u8")))
 
 
 def _packed(pairs: tuple) -> tuple[bytes, bytes]:

@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import prepare
+from lodestar.llm.common import prepare, resident
 
 #: A single space after and before a visible Latin or ASCII character. Pieces of the model hold a space at
 #: their start only (or are spaces alone), so nothing is merged across such a place.
 _SAFE = re.compile("(?<=[!-~\xa1-ɏ]) (?=[!-~\xa1-ɏ])")
 
 
-@lru_cache(2)
 def processor(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return resident(("sentencepiece", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def parts_of(text: str, limit: int) -> list[str]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import LOWER, arrow, prepare, written
+from lodestar.llm.common import LOWER, arrow, prepare, resident, written
 from lodestar.llm.wordhash import ALPHANUMERIC, Words, bytes_of, groups, runs, runs_at
 
 WINDOW, K = 10, 5
@@ -120,22 +121,6 @@ class Matcher:
         return w.counts, marked, items, w.first
 
 
-_HELD: dict[int, Matcher] = {}
-
-
-def _matcher(handle) -> Matcher:
-    if handle.bid not in _HELD:
-        _HELD.clear()
-        _HELD[handle.bid] = Matcher(handle.index.value)
-    return _HELD[handle.bid]
-
-
-@dataclass
-class _Handle:
-    bid: int
-    index: object
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
     """Blocks of items; only one block's texts are on the driver at a time."""
     held: list[tuple[str | None, str]] = []
@@ -167,10 +152,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if i:
             df = written(df, "winnow")
         shared = spark.sparkContext.broadcast(build_index(block))
-        handle = _Handle(shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared), shared)
 
-        def run(batches, handle=handle, again=i > 0):
-            m = _matcher(handle)
+        def run(batches, shared=shared, key=uuid.uuid4().hex, again=i > 0):
+            m = resident(("winnow", key), lambda: Matcher(shared.value))
             for b in batches:
                 data, offsets = bytes_of(b.column(place))
                 words, hits, spans, items = [], [], [], []
