@@ -390,6 +390,21 @@ def complex_queries(spark, d):
     return sampling.shape_queries(sampling.one_match(m, "a", 6), shape, 6).select("start", "query")
 
 
+@register("combination_stars", "SELECT i AS start, 2 AS n_patterns, true AS found FROM range(50) r(i)")
+def combination_stars(spark, d):
+    """Templates from predicate combinations: each has the solution that it came from."""
+    r = sampling.combination_stars(kgview.triples(spark, d), 2, 50, 8, 1)
+    counts = bgp.count_batch(_tr(spark, d), r.select(F.col("start").alias("qid"), "triples"), same_subject=True)
+    return r.drop("y").join(counts.withColumnRenamed("qid", "start"), "start").select("start", F.size("triples").alias("n_patterns"), (F.col("y") >= 1).alias("found"))
+
+
+@register("seeded_path_queries", f"SELECT count(*) AS n_queries, true AS all_in_graph FROM ({_EXTEND})")
+def seeded_path_queries(spark, d):
+    r = sampling.seeded_path_queries(kgview.edges(spark, d), 2, 1, 5, 3, seed=2)
+    counts = bgp.count_batch(_tr(spark, d), r.select(F.col("start").alias("qid"), "triples"))
+    return counts.agg(F.count("*").alias("n_queries"), F.min(F.col("y") >= 1).alias("all_in_graph"))
+
+
 # Canonical forms
 
 PAIRS = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,12 +19,13 @@ from lodestar.plans.bgp import count_batch
 @dataclass(frozen=True)
 class Rules:
     """When to stop: at `target` queries, after a pass with fewer than `least_new` new ones, after `max_passes`, and in a
-    pass at `max_streak` duplicates in a row (None: not)."""
+    pass at `max_streak` duplicates in a row, and after a pass that took over slow_seconds for each new query (None: not)."""
 
     target: int = 1000
     least_new: int = 5
     max_passes: int = 30
     max_streak: int | None = None
+    slow_seconds: float | None = None
 
 
 @dataclass
@@ -47,6 +51,7 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
     out: DataFrame | None = None
     result, have = Result(None), 0  # type: ignore[arg-type]
     for n in range(rules.max_passes):
+        began = time.monotonic()
         rows = candidates(n).withColumn("key", dedup_key("triples", method))
         rows = rows.withColumn("at", F.md5(F.concat_ws("|", F.lit(n), "start")))
         first = rows.groupBy("key").agg(F.min(F.struct("at", "start")).alias("f"))
@@ -66,6 +71,9 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
         if have >= rules.target or got < rules.least_new:
             result.reason = "target" if have >= rules.target else "few new"
             break
+        if rules.slow_seconds and (time.monotonic() - began) / got > rules.slow_seconds:
+            result.reason = "slow"
+            break
     else:
         result.reason = "passes"
     result.records = out
@@ -78,6 +86,40 @@ def with_counts(triples: DataFrame, records: DataFrame, key: str = "key", stars:
     return records.drop("y").join(counts.withColumnRenamed("qid", key), key)
 
 
+def within(df: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """save(df), or None if it takes longer; its jobs are cancelled then."""
+    sc = df.sparkSession.sparkContext
+    tag = f"lodestar-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return save(df)
+    except Exception:
+        if late.is_set():
+            return None
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
+def counted(triples: DataFrame, records: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame], on_timeout: str = "mark", key: str = "key", stars: bool = False) -> DataFrame:
+    """with_counts() within a time limit. Beyond it the records keep y = -1 (mark) or are dropped (drop)."""
+    if on_timeout not in ("mark", "drop"):
+        raise ValueError(f"on_timeout is mark or drop, not {on_timeout!r}")
+    done = within(with_counts(triples, records, key, stars), seconds, save)
+    if done is not None:
+        return done
+    return records.withColumn("y", F.lit(-1).cast("bigint")) if on_timeout == "mark" else records.limit(0)
+
+
 def run_metrics(records: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates, kept ones, duplicates, failed counts and the share kept, in one row."""
     made = candidates.agg(F.count("*").alias("n_candidates"), F.countDistinct("key").alias("n_keys"))

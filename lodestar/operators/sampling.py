@@ -192,3 +192,65 @@ def with_star(path: list[tuple[str, str, str]], end: str, star: list[tuple[str,
 def bind(patterns: list[tuple[str, str, str]], values: dict[str, str]) -> list[tuple[str, str, str]]:
     """Patterns with variables (with ?) replaced by terms, term by term."""
     return [tuple(values.get(t, t) for t in p) for p in patterns]
+
+
+def combination_stars(triples: DataFrame, n: int, k: int, seed=0, max_bound: int = 0) -> DataFrame:
+    """k star templates, drawn with replacement from all combinations of n distinct predicates that subjects have, and
+    instantiated from a subject that has them: up to max_bound objects that are IRIs are bound, by md5; the other
+    predicates extend the star with variable objects. triples: s, p, o, o_is_iri. Records with `start` = draw."""
+    from lodestar.operators.graph import dense_choice, predicate_combinations
+
+    combos = predicate_combinations(triples, n)
+    dense = combos.withColumn("place", F.row_number().over(W.orderBy("combo")).cast("bigint") - 1)  # one row for each combination
+    draws = triples.sparkSession.range(k).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("u"))
+    chosen = dense_choice(dense, draws, "place").select("draw", F.col("first_subject").alias("s"), F.posexplode("combo").alias("slot", "p"))
+    key = order_key(seed, F.col("draw"), F.col("p"), F.col("o"))
+    got = chosen.join(triples, ["s", "p"]).groupBy("draw", "s", "slot", "p").agg(F.min(F.struct(key.alias("k"), "o", "o_is_iri")).alias("b"))
+    place = F.row_number().over(W.partitionBy("draw").orderBy((~F.col("b.o_is_iri")), order_key(seed, F.col("draw"), "b", F.col("slot"))))
+    n_bound = F.floor(uniform(seed, F.col("draw"), "n") * (max_bound + 1))
+    d = got.withColumn("bound", F.col("b.o_is_iri") & (place <= n_bound))
+    row = F.struct("slot", F.array(F.lit("?s"), iri(F.col("p")), F.when(F.col("bound"), iri(F.col("b.o"))).otherwise(F.concat(F.lit("?o"), F.col("slot").cast("string")))).alias("t"), "p", F.when(F.col("bound"), F.col("b.o")).alias("o"))
+    g = d.groupBy("draw").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    t = F.transform("r", lambda x: x["t"])
+    x = F.filter(F.flatten(F.transform("r", lambda v: F.array(v["p"], v["o"]))), lambda v: v.isNotNull())
+    return g.select(query_text(t).alias("query"), t.alias("triples"), x.alias("x"), F.lit(-1).cast("bigint").alias("y"), F.col("draw").alias("start"))
+
+
+def seeded_path_queries(edges: DataFrame, seed_hops: int, more_hops: int, k_seeds: int, limit: int, seed=0, p_start_end: float = 0.3) -> DataFrame:
+    """Records of extended_paths(): each predicate tuple instantiated by one of its paths."""
+    chosen = extended_paths(edges, seed_hops, more_hops, k_seeds, limit, seed).select("preds")
+    paths = simple_paths(edges, seed_hops + more_hops).join(F.broadcast(chosen), "preds")
+    key = order_key(seed, F.array_join("nodes", " "))
+    one = paths.groupBy("preds").agg(F.min(F.struct(key.alias("k"), "nodes")).alias("b")).select("preds", "b.nodes", F.array_join("preds", " ").alias("start"))
+    return path_queries(one, seed, 0, 1.0, p_start_end)
+
+
+def flower_shape(hops: int, leaves: int) -> str:
+    """A path with a star at its end, in the shape language."""
+    return ", ".join([f"?o{i} B ?o{i + 1}" for i in range(hops)] + [f"?o{hops} B ?y{i}" for i in range(leaves)])
+
+
+def snowflake_shape(hops: int, leaves: int) -> str:
+    """A path with a star at each end."""
+    return ", ".join([flower_shape(hops, leaves)] + [f"?o0 B ?x{i}" for i in range(leaves)])
+
+
+def cached_seeds(triples: DataFrame, folder: str, source: str, n: int, seed=0) -> DataFrame:
+    """n subjects, the first by md5, kept as a table that is named by the source. One that can't be read is made anew."""
+    import hashlib
+
+    from lodestar.operators.graph import random_top
+
+    path = f"{folder}/seeds-{hashlib.md5(source.encode()).hexdigest()[:8]}-{n}"
+    spark = triples.sparkSession
+    try:
+        return spark.read.schema("s string").parquet(path) if spark.read.parquet(path).columns == ["s"] else _seeds(triples, path, n, seed, random_top)
+    except Exception as e:  # noqa: BLE001
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ", "FAILED_READ")):
+            raise
+        return _seeds(triples, path, n, seed, random_top)
+
+
+def _seeds(triples: DataFrame, path: str, n: int, seed, random_top) -> DataFrame:
+    random_top(triples.select("s").distinct(), n, seed, "s").write.mode("overwrite").parquet(path)
+    return triples.sparkSession.read.parquet(path)

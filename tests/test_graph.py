@@ -149,6 +149,26 @@ def test_samples_are_in_the_graph(spark):
     assert graph.capped(edges, "o", 5, 1).groupBy("o").count().where("count > 5").isEmpty()
 
 
+def test_seeds_and_limits(spark, tmp_path):
+    from lodestar.operators import passes
+    from lodestar.operators.sampling import cached_seeds, flower_shape, snowflake_shape
+
+    edges = kgview.edges(spark, SF)
+    seeds = lambda: sorted(r.s for r in cached_seeds(edges, str(tmp_path), "a graph", 20).collect())
+    first = seeds()
+    assert len(first) == 20 and seeds() == first
+    next(x for x in next(tmp_path.iterdir()).iterdir() if x.name.startswith("part")).write_text("broken")
+    assert len(seeds()) == 20
+    assert plan(parse_shape(snowflake_shape(2, 2)))[1] and len(parse_shape(flower_shape(2, 3))) == 5
+    r = spark.createDataFrame([("k", [["?s", "<urn:p/customer>", "?o"]], -1)], "key string, triples array<array<string>>, y bigint")
+    tr = edges.select("s", "p", "o")
+    save = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    assert passes.counted(tr, r, 60, save).first().y == 1500
+    slow = lambda df: spark.createDataFrame(df.crossJoin(spark.range(10**12)).groupBy().count().collect())
+    assert passes.counted(tr, r, 2, slow).first().y == -1
+    assert passes.counted(tr, r, 2, slow, "drop").count() == 0
+
+
 def test_runs(spark, tmp_path):
     f = tmp_path / "g.nt"
     f.write_text("\n".join(r.value for r in kgview.lines(spark, SF).collect()))
