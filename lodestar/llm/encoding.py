@@ -33,7 +33,7 @@ _MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]+)")
 #: Set before a piece that has no space before it.
 _BARE = "\0"
 #: Characters of a text that are worked on at once, and bytes that a worker's store of pieces may hold.
-STRETCH, STORE = 1 << 20, 192 << 20
+STRETCH, STORE = 1 << 20, 288 << 20
 #: The byte-level alphabet: each byte's character. Bytes that Latin-1 doesn't show follow from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
