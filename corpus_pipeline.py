@@ -16,15 +16,15 @@ from lodestar.llm.winnowing import contamination
 
 #: Suffix of the columns that a stage adds and takes away again.
 _OWN = "__stage"
-#: The least certainty of a language; a text of no known language is below it.
-LEAST_LANGUAGE = 0.4
+#: Times the certainty of a guess among all languages that a text's language needs.
+LEAST_LANGUAGE = 1.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known. Without text or letters a document is rejected."""
+    """Documents whose language can be told. Those without text or letters, and those that all languages fit alike, are rejected."""
     samples = learn_languages(docs.where(fold("doc_id", 4) != 2))
     out = predict_language(docs, samples, keep=True, suffix=_OWN)
-    return out.where((F.col("lang_pred" + _OWN) != "und") & (F.col("score" + _OWN) >= LEAST_LANGUAGE)).select(*docs.columns)
+    return out.where((F.col("lang_pred" + _OWN) != "und") & (F.col("score" + _OWN) > min(0.9, LEAST_LANGUAGE / max(1, len(samples))))).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,14 @@ def test_stages(spark):
     assert set(rows[3]) == {d for d in ids if find(d) == d} and len(rows[3]) < len(rows[2])
     bench = [(r.item_id, r.text) for r in spark.read.parquet(SF + "/benchmark.parquet").collect()]
     assert set(rows[4]) == {d for d, _, hit, *_ in brute_force(list(rows[3].items()), bench) if not hit} and len(rows[4]) < len(rows[3])
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(rows[4])
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in pieces} == set(rows[4]) and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
+def test_run(spark):
+    small = "/root/testdata/sf0.001"
+    ids = {r.doc_id for r in spark.read.parquet(small + "/documents.parquet").collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, small).collect()} < ids
 
 
 def test_odd_rows(spark):
