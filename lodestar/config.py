@@ -109,7 +109,7 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
         result.records = passes.with_counts(triples.distinct(), result.records, stars=c.kind == "star")
     if c.output:
         total = result.passes[-1]["total"] if result.passes else 0
-        name = records.output_name(c.dataset, {"star": "stars"}.get(c.kind, c.kind), total, c.sampling_method if c.kind == "path" else None, final=True)
+        name = records.output_name(c.dataset, {"star": "stars"}.get(c.kind, c.kind), total, c.sampling_method if c.kind == "path" else None, final=c.kind != "star")
         records.write_json(result.records.drop("key", "pass"), os.path.join(c.output, name))
     return result
 

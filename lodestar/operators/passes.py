@@ -45,9 +45,14 @@ def duplicate_streak(df: DataFrame, duplicate: Column, *order: Column) -> DataFr
     return d.withColumn("streak", F.when(F.col("_dup"), run).otherwise(0).cast("bigint"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str = "hash", save: Callable[[DataFrame, int], DataFrame] | None = None) -> Result:
     """candidates(pass) gives records with `start`. New ones, by their key, are appended pass by pass; save(rows, pass)
-    should write them as a table and read it again, so that each pass is worked out once."""
+    should write them as a table and read it again, so that each pass is worked out once; without it passes go to the
+    checkpoint folder, or are cached where none is set."""
     out: DataFrame | None = None
     result, have = Result(None), 0  # type: ignore[arg-type]
     for n in range(rules.max_passes):
@@ -64,7 +69,7 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
             stop = marked.where(F.col("streak") >= rules.max_streak).agg(F.min("at")).first()[0]
             rows = rows.where(F.col("at") <= stop) if stop is not None else rows
         new = rows.where(~F.col("again")).orderBy("at", "start").limit(rules.target - have).drop("again", "at").withColumn("pass", F.lit(n))
-        new = save(new, n) if save else new.cache()
+        new = save(new, n) if save else _kept(new)
         got = new.count()
         out, have = new if out is None else out.unionByName(new), have + got
         result.passes.append({"pass": n, "new": got, "total": have})
