@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import prepare, resident
+from lodestar.llm.wordhash import _P, _P_INVERSE, _powers, bytes_of, groups, mix
 
 #: White space other than the space and the line end, by any library's reading of \s. With one of these only
 #: the general cut is used.
@@ -33,7 +34,7 @@ _MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]+)")
 #: Set before a piece that has no space before it.
 _BARE = "\0"
 #: Characters of a text that are worked on at once, and bytes that a worker's store of pieces may hold.
-STRETCH, STORE = 1 << 20, 288 << 20
+STRETCH, STORE = 1 << 20, 64 << 20
 #: The byte-level alphabet: each byte's character. Bytes that Latin-1 doesn't show follow from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
@@ -122,8 +123,152 @@ class Coder:
         return b"".join(out)
 
 
-def coder(path: str) -> Coder:
-    return resident(("coder", path), lambda: Coder(path))
+_BYTES = np.arange(256)
+_SEEN = ((_BYTES > 32) & (_BYTES < 127)) | (_BYTES > 127)
+_ALNUM = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+_BREAK = (_BYTES == 32) | (_BYTES == 10)
+#: First bytes of characters among which is white space beyond ASCII, with their second bytes.
+_WIDE = {0xC2: (0x85, 0xA0), 0xE1: (0x9A, 0xA0), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+_RNG = np.random.Generator(np.random.PCG64(77))
+_T = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of texts that are cut at once, slots of a worker's table of pieces, and ids that it holds.
+GROUP, SLOTS, POOL = 1 << 20, 1 << 22, 1 << 24
+
+
+class Pieces:
+    """The ids of many texts at once. Pieces are found and hashed by array operations on the texts' bytes and looked up
+    in a table of 64-bit hashes; only pieces that are new go to the library. Texts with white space beyond ASCII, which is
+    also where pieces could be cut wrongly, and very long ones go through Coder.ids()."""
+
+    def __init__(self, path: str) -> None:
+        self.coder = Coder(path)
+        self.dtype = self.coder.dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.offset, self.length = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used, self.filled = np.zeros(1 << 16, self.dtype), 0, 0
+
+    def _cut(self, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Starts of pieces in bytes b; first: starts of the texts, none of which is empty."""
+        n = len(b)
+        seen, start = _SEEN[b], np.zeros(n + 1, bool)
+        before = np.empty(n, bool)
+        before[1:] = seen[:-1]
+        before[first] = False
+        after = np.empty(n, bool)
+        after[:-1] = seen[1:]
+        after[first[1:] - 1] = False
+        after[-1] = False
+        both = before & after
+        start[:-1] = (b == 32) & both
+        lines = np.flatnonzero((b == 10) & both)
+        start[lines] = True
+        start[lines + 1] = True
+        marks = np.flatnonzero((b == 44) | (b == 46))
+        marks = marks[before[marks]]
+        marks = marks[marks + 1 < n]
+        last, two = b[marks - 1], b[np.maximum(marks - 2, 0)]
+        letter = _ALNUM[last] | ((two == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        ends = np.zeros(n + 1, bool)
+        ends[first] = True
+        start[marks[letter & _BREAK[b[marks + 1]] & ~ends[marks + 1]]] = True
+        start[first] = True
+        return np.flatnonzero(start[:-1])
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        got = self.keys[at]
+        out = np.where(got == h, at, -1)
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+            got = self.keys[at[open_]]
+            hit = got == h[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit & (got != 0)]
+        return out
+
+    def _learn(self, h: np.ndarray, texts: list[bytes]) -> None:
+        ids = []
+        for x in texts:
+            y = x.decode()
+            ids.append(self.coder._encoded(y[1:] if y[0] == " " and len(y) > 1 else _BARE + y))
+        n = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        whole = np.frombuffer(b"".join(ids), self.dtype)
+        while self.used + len(whole) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(whole)] = whole
+        offset = self.used + np.cumsum(n) - n
+        self.used += len(whole)
+        self.filled += len(h)
+        at, todo = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            slots, k = np.unique(at[free], return_index=True)
+            self.keys[slots], self.offset[slots], self.length[slots] = h[free[k]], offset[free[k]], n[free[k]]
+            done = np.zeros(len(h), bool)
+            done[free[k]] = True
+            todo = todo[~done[todo]]
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+
+    def group(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of texts as bytes; together they should have about GROUP bytes."""
+        size = np.diff(offsets)
+        out = [b""] * len(size)
+        if len(data) == 0 or offsets[-1] == offsets[0]:
+            return out
+        b = data[offsets[0] : offsets[-1]]
+        first = offsets[:-1] - offsets[0]
+        slow = np.zeros(len(size), bool)
+        for lead, seconds in _WIDE.items():
+            at = np.flatnonzero(b[:-1] == lead)
+            if len(at):
+                slow[np.searchsorted(first, at[np.isin(b[at + 1], seconds)], "right") - 1] = True
+        if size.max() > 2 * GROUP:
+            slow |= size > 2 * GROUP
+        if slow.any():
+            for i in np.flatnonzero(slow & (size > 0)).tolist():
+                out[i] = self.coder.ids(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+            keep = np.flatnonzero(~slow & (size > 0))
+            b = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in keep.tolist()] or [b[:0]])
+        else:
+            keep = np.flatnonzero(size > 0)
+        if not len(b):
+            return out
+        if self.filled > SLOTS * 5 // 8 or self.used > POOL:
+            self.clear()
+        n = size[keep]
+        first = np.cumsum(n) - n
+        s = self._cut(b, first)
+        e = np.append(s[1:], len(b))
+        total = np.zeros(len(b) + 1, np.uint64)
+        top = max(GROUP, len(b))
+        np.cumsum(_T[b] * _powers(_P, top)[: len(b)], out=total[1:])
+        h = mix((total[e] - total[s]) * _powers(_P_INVERSE, top)[s] + (e - s).astype(np.uint64))
+        h[h == 0] = 1
+        slot = self._find(h)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            keys, k = np.unique(h[new], return_index=True)
+            self._learn(keys, [b[x:y].tobytes() for x, y in zip(s[new[k]].tolist(), e[new[k]].tolist(), strict=True)])
+            slot[new] = self._find(h[new])
+        m = self.length[slot].astype(np.int64)
+        upto = np.cumsum(m)
+        ids = self.pool[np.repeat(self.offset[slot] - (upto - m), m) + np.arange(upto[-1])].tobytes()
+        bounds = np.concatenate([[0], upto])[np.searchsorted(s, np.append(first, len(b)))] * self.dtype.itemsize
+        for i, x, y in zip(keep.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = ids[x:y]
+        return out
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = bytes_of(texts)
+        return [x for lo, hi in groups(offsets, GROUP) for x in self.group(data, offsets[lo : hi + 1])]
+
+
+def coder(path: str) -> Pieces:
+    return resident(("coder", path), lambda: Pieces(path))
 
 
 #: counts is null but in a partition's last row, which has how often each id occurs in the partition.
@@ -139,7 +284,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_
     def run(batches):
         c, part, row, ahead = coder(path), TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], c.dtype).tobytes()
-        total = np.zeros(c.tokenizer.get_vocab_size(), np.int64)
+        total = np.zeros(c.coder.tokenizer.get_vocab_size(), np.int64)
 
         def rows(doc_ids: pa.Array, ids: list[bytes], last: bool):
             nonlocal row, ahead
@@ -157,7 +302,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = [c.ids(t) + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in c.column(b.column(1))]
             if held:
                 yield rows(*held, False)
             if len(ids) > 1:

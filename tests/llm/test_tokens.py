@@ -30,6 +30,24 @@ def test_cut_pieces_give_the_librarys_ids():
     assert "".join(stretches("ab cd " * 50, 7)) == "ab cd " * 50
 
 
+def test_many_texts_at_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lodestar.llm import encoding
+
+    t, path = Tokenizer.from_file(str(P.path("byte_bpe_50k.json"))), str(P.path("byte_bpe_50k.json"))
+    more = TEXTS + ["a\u00a0 \u00a0b c", "x\u2003 y", "„a“ – b", None, "é, à. ×, ÷. b", "a,\nb", "end.", "end,", "a.b, c", "1, 2.\n3", "x" * 3000 + " y"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in more]
+    p = encoding.Pieces(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, p.dtype).tolist() for x in p.column(pa.array(more))] == want
+    monkeypatch.setattr(encoding, "SLOTS", 64)
+    monkeypatch.setattr(encoding, "GROUP", 50)
+    p = encoding.Pieces(path)
+    assert [np.frombuffer(x, p.dtype).tolist() for x in p.column(pa.array(more))[:60]] == want[:60]
+
+
 def test_parts_add_up():
     m = processor(str(P.path("piece_bpe_32k.model")))
     for x in TEXTS:
