@@ -20,7 +20,7 @@ from lodestar.llm.common import fold, prepare, resident
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers, and how fast bits turn into certainty.
-STORE, SHARPNESS = 300_000, 0.25
+STORE, SHARPNESS = 150_000, 0.25
 
 
 class SuffixAutomaton:
@@ -107,7 +107,7 @@ class Model:
         return self.languages[best], float(1 / np.exp2(np.maximum(-60.0, -(cost - cost[best]) * SHARPNESS)).sum())
 
 
-def learn(docs: DataFrame, rows: int = 200, chars: int = 60_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, tuple[str, int]]:
+def learn(docs: DataFrame, rows: int = 200, chars: int = 30_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, tuple[str, int]]:
     """From the labelled rows of docs a sample of about `rows` texts of each language, taken by the hash of their
     id; of these its most frequent words, up to `chars` characters. Rows without language, text or letters teach nothing."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
