@@ -483,6 +483,21 @@ def sampled_star_counts(spark, d):
     return counts.select(F.col("qid").alias("source_subject"), (F.col("y") >= 1).alias("found"))
 
 
+_STAR_COUNTS = f"""{_STAR_RECORDS}, first AS (SELECT min(source_subject) AS q FROM rec GROUP BY key),
+pat AS (SELECT q, slot, CASE WHEN pb THEN p ELSE '' END AS p, CASE WHEN bound THEN o ELSE '' END AS o FROM placed JOIN first ON s = q),
+idx AS (SELECT s, coalesce(p, '') AS p, coalesce(o, '') AS o, count(*)::hugeint AS n FROM tr GROUP BY GROUPING SETS ((s, p, o), (s, p), (s, o), (s))),
+anchor AS (SELECT q, p, o FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY w, slot) AS k FROM pat JOIN (SELECT p, o, count(*) AS w FROM idx GROUP BY p, o) USING (p, o)) WHERE k = 1),
+near AS (SELECT q, s FROM anchor JOIN idx USING (p, o))
+SELECT q AS source_subject, cast(sum(y) AS bigint) AS y FROM (SELECT q, s, max(n) FILTER (slot = 0) * max(n) FILTER (slot = 1) * max(n) FILTER (slot = 2) AS y FROM near JOIN pat USING (q) JOIN idx USING (s, p, o) GROUP BY q, s HAVING count(*) = 3) GROUP BY q"""
+
+
+@register("sampled_star_counts_all", f", {_STAR_COUNTS}")
+def sampled_star_counts_all(spark, d):
+    """The cardinality of every different sampled query."""
+    r = dedup.first_of_each(_star_records(spark, d).select("source_subject", "triples", dedup.dedup_key("triples").alias("key")), "key", "source_subject")
+    return bgp.count_stars(_tr(spark, d), r.select("source_subject", "triples"), "source_subject")
+
+
 # Records
 
 _VALUES = [("q1", 3), ("q2", -1), ("q3", 0), ("q4", None), ("q1", 3)]

@@ -166,6 +166,21 @@ def count_batch(triples: DataFrame, records: DataFrame, id_col: str = "qid", sam
     return reduce(DataFrame.unionByName, parts).select(F.col("_q").alias(id_col), F.col("y").cast("bigint").alias("y"))
 
 
+def count_stars(triples: DataFrame, records: DataFrame, id_col: str = "qid") -> DataFrame:
+    """id_col, y (bigint): exact counts of many stars whose variables all differ, whatever their topologies. A star is
+    tried only at the subjects of its rarest pattern, so the work grows with the matches of that one."""
+    term = lambda x, i: F.when(F.get(x, F.lit(i)).startswith("?"), "").otherwise(F.regexp_replace(F.get(x, F.lit(i)), "^<(.*)>$", "$1"))
+    # What a pattern finds at each subject; an empty p or o is a variable.
+    found = triples.select("s", "p", "o").groupingSets([["s", "p", "o"], ["s", "p"], ["s", "o"], ["s"]], "s", "p", "o").agg(F.count("*").cast(_COUNT).alias("n")).select("s", F.coalesce("p", F.lit("")).alias("p"), F.coalesce("o", F.lit("")).alias("o"), "n")
+    q = records.select(F.col(id_col).alias("_q"), F.size("triples").alias("_k"), F.posexplode("triples").alias("_i", "x")).select("_q", "_k", "_i", term(F.col("x"), 1).alias("p"), term(F.col("x"), 2).alias("o"))
+    often = found.groupBy("p", "o").agg(F.count("*").alias("w"))
+    rarest = q.join(often, ["p", "o"]).groupBy("_q").agg(F.min_by(F.struct("p", "o"), F.struct("w", "_i")).alias("x")).select("_q", "x.p", "x.o")
+    at = rarest.join(found.select("s", "p", "o"), ["p", "o"]).select("_q", "s")
+    each = at.join(q, "_q").join(found, ["s", "p", "o"]).groupBy("_q", "s", "_k").agg(F.collect_list("n").alias("n")).where(F.size("n") == F.col("_k"))
+    y = each.groupBy("_q").agg(F.sum(F.aggregate("n", F.lit(1).cast(_COUNT), lambda a, b: (a * b).cast(_COUNT))).cast(_COUNT).alias("y"))
+    return records.select(F.col(id_col).alias("_q")).join(y, "_q", "left").select(F.col("_q").alias(id_col), F.coalesce("y", F.lit(0)).cast("bigint").alias("y"))
+
+
 def _parts(rows: list[tuple[set[str], DataFrame]]) -> list[list[tuple[set[str], DataFrame]]]:
     """Relations by shared variables; the query's number alone does not connect."""
     out: list[tuple[set[str], list]] = []

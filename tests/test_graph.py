@@ -213,3 +213,28 @@ def test_stream(spark, tmp_path):
     q = running_degrees(read_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("deg").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("deg").collect()] == [("a", 2)]
+
+
+def test_stars_beyond_the_fortieth_are_counted(spark):
+    import random
+
+    rng = random.Random(3)
+    graph = sorted({(f"s{rng.randrange(12)}", f"p{rng.randrange(3)}", rng.choice(["o1", "o2", '"a b"', f"x{rng.randrange(9)}"])) for _ in range(150)})
+    stars = []
+    for q in range(90):
+        _, p, o = graph[rng.randrange(len(graph))]
+        stars.append([["?s", rng.choice([f"<{x}>", f"?p{i}"]), rng.choice([v if v[0] == '"' else f"<{v}>", f"?o{i}"])] for i, (x, v) in enumerate([(p, o), ("p1", "o1"), ("p2", '"a b"')][: 1 + q % 3])])
+    stars.append([["?s", "<p9>", "?o0"], ["?s", "?p1", "?o1"]])
+
+    def brute(star):
+        y = 0
+        for s in {t[0] for t in graph}:
+            n = 1
+            for _, p, o in star:
+                n *= sum(1 for t in graph if t[0] == s and (p[0] == "?" or f"<{t[1]}>" == p) and (o[0] == "?" or o in (t[2], f"<{t[2]}>")))
+            y += n
+        return y
+
+    q = spark.createDataFrame(list(enumerate(stars)), "qid int, triples array<array<string>>")
+    got = {r.qid: r.y for r in bgp.count_stars(spark.createDataFrame(graph, "s string, p string, o string"), q).collect()}
+    assert got == {i: brute(x) for i, x in enumerate(stars)} and got[90] == 0
