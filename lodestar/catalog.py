@@ -127,24 +127,33 @@ def distinct_seeds(spark, d):
 
 @register("pass_order", f"SELECT s, row_number() OVER (ORDER BY {order_sql(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), 's')}, s) AS place FROM (SELECT DISTINCT s FROM ed WHERE p LIKE 'urn:p/buys-%')")
 def pass_order(spark, d):
-    from pyspark.sql import Window as W
-
     starts = kgview.edges(spark, d).where(F.col("p").startswith("urn:p/buys-")).select("s").distinct()
-    return starts.withColumn("place", F.row_number().over(W.orderBy(order_key(3, 1, F.col("s")), "s")).cast("bigint"))
+    return passes.places(starts, "place", order_key(3, 1, F.col("s")), F.col("s"))
+
+
+@register("pass_order_all", f"SELECT s, row_number() OVER (ORDER BY {order_sql(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), 's')}, s) AS place FROM (SELECT DISTINCT s FROM tr)")
+def pass_order_all(spark, d):
+    return passes.places(_tr(spark, d).select("s").distinct(), "place", order_key(3, 1, F.col("s")), F.col("s"))
 
 
 @register("choice_with_replacement", f"""SELECT i, s FROM (SELECT i, cast(floor({uniform_sql("'5'", "i")} * 25) AS bigint) AS place FROM range(300) r(i)) JOIN (SELECT row_number() OVER (ORDER BY s) - 1 AS place, s FROM (SELECT DISTINCT s FROM ed WHERE p = 'urn:p/region')) USING (place)""")
 def choice_with_replacement(spark, d):
-    from pyspark.sql import Window as W
+    return _choice(spark, kgview.edges(spark, d).where("p = 'urn:p/region'").select("s").distinct())
+
 
+def _choice(spark, subjects):
     from lodestar.functions.hashing import uniform
 
-    subjects = kgview.edges(spark, d).where("p = 'urn:p/region'").select("s").distinct()
-    dense = subjects.withColumn("at", F.row_number().over(W.orderBy("s")).cast("bigint") - 1)
+    dense = passes.places(subjects, "at", F.col("s")).withColumn("at", F.col("at") - 1)
     draws = spark.range(300).select(F.col("id").alias("i"), uniform(5, F.col("id")).alias("u"))
     return graph.dense_choice(dense, draws, "at").select("i", "s")
 
 
+@register("choice_with_replacement_all", f""", a AS (SELECT row_number() OVER (ORDER BY s) - 1 AS place, s FROM (SELECT DISTINCT s FROM tr)) SELECT i, s FROM (SELECT i, cast(floor({uniform_sql("'5'", "i")} * (SELECT count(*) FROM a)) AS bigint) AS place FROM range(300) r(i)) JOIN a USING (place)""")
+def choice_with_replacement_all(spark, d):
+    return _choice(spark, _tr(spark, d).select("s").distinct())
+
+
 @register("capped_expand", f"SELECT s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY {order_sql(chr(39) + '9' + chr(39), 's', 'p', 'o')}, s, p, o) AS k FROM ed) WHERE k <= 50")
 def capped_expand(spark, d):
     return graph.capped(kgview.edges(spark, d), "o", 50, 9)
@@ -367,6 +376,16 @@ def dup_streak(spark, d):
     return passes.duplicate_streak(e, F.col("o").isin("urn:nation/1", "urn:nation/2", "urn:nation/3"), F.col("s"), F.col("o")).select("s", "o", "streak")
 
 
+@register("dup_streak_all", f""", {_STAR_RECORDS}, m AS (SELECT source_subject AS s, source_subject <> min(source_subject) OVER (PARTITION BY key) AS dup FROM rec),
+g AS (SELECT *, sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT s, CASE WHEN dup THEN sum(dup::int) OVER (PARTITION BY g ORDER BY s) ELSE 0 END::bigint AS streak FROM g""")
+def dup_streak_all(spark, d):
+    """The duplicates in a row among all candidates of a pass."""
+    r = _star_records(spark, d).select(F.col("source_subject").alias("s"), dedup.dedup_key("triples").alias("key"))
+    r = r.join(r.groupBy("key").agg(F.min("s").alias("first")), "key")
+    return passes.duplicate_streak(r, F.col("s") != F.col("first"), F.col("s")).select("s", "streak")
+
+
 _PATH2 = "SELECT a.s AS n0, a.o AS n1, b.o AS n2, a.p AS p0, b.p AS p1 FROM ed a JOIN ed b ON a.o = b.s WHERE a.s <> a.o AND b.o <> a.s AND b.o <> a.o"
 _PATH_RECORDS = f"""SELECT start, 'SELECT * WHERE {{ ' || CASE WHEN {uniform_sql("'4'", "'0'", "start", "'s'")} < 0.3 THEN '<' || n0 || '>' ELSE '?o0' END || ' ' || CASE WHEN {uniform_sql("'4'", "'0'", "start", "'p'", "0")} < 0.9 THEN '<' || p0 || '>' ELSE '?p1' END || ' ?o1 . ?o1 ' ||
 CASE WHEN {uniform_sql("'4'", "'0'", "start", "'p'", "1")} < 0.9 THEN '<' || p1 || '>' ELSE '?p2' END || ' ' || CASE WHEN {uniform_sql("'4'", "'0'", "start", "'e'")} < 0.3 THEN '<' || n2 || '>' ELSE '?o2' END || ' }}' AS query

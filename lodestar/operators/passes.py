@@ -35,20 +35,46 @@ class Result:
     reason: str = ""
 
 
-def duplicate_streak(df: DataFrame, duplicate: Column, *order: Column) -> DataFrame:
-    """With `streak`: the duplicates in a row up to each row. The order is global, so df should have the rows of one
-    pass and few columns."""
-    w = W.orderBy(*order)
-    group = F.sum(F.when(duplicate, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    d = df.withColumn("_dup", duplicate).withColumn("_group", group).withColumn("_at", F.row_number().over(w))
-    run = F.sum(F.col("_dup").cast("int")).over(W.partitionBy("_group").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn("streak", F.when(F.col("_dup"), run).otherwise(0).cast("bigint"))
-
-
 def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
+def _ordered(df: DataFrame, *order: Column) -> DataFrame:
+    """With _part and _at: ranges of the order, and the place in each from 1. It is kept, as another reading could cut
+    the ranges elsewhere; equal rows of the order lie in one range."""
+    names = [f"_o{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*names)).cast("bigint")
+    return _kept(dealt.withColumn("_at", at).drop(*names))
+
+
+def _carried(df: DataFrame, before: list[tuple[int, int]]) -> DataFrame:
+    """With _before: a number for each part."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(before, "_part int, _before bigint")), "_part")
+
+
+def places(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """With `name`: the place of each row in the order, from 1: places in ranges and a prefix sum over the ranges, whose
+    sizes are all that reaches the driver."""
+    d, before, n = _ordered(df, *order), [], 0
+    for r in d.groupBy("_part").count().orderBy("_part").collect():
+        before.append((r["_part"], n))
+        n += r["count"]
+    return _carried(d, before).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def duplicate_streak(df: DataFrame, duplicate: Column, *order: Column) -> DataFrame:
+    """With `streak`: the duplicates in a row up to each row in the order. Ranges of the order are worked out side by
+    side; a streak that reaches a range's start goes on from the ranges before."""
+    d = _ordered(df.withColumn("_dup", F.coalesce(duplicate, F.lit(False))), *order)
+    before, carry = [], 0
+    for r in d.groupBy("_part").agg(F.count("*").alias("n"), F.max(F.when(~F.col("_dup"), F.col("_at"))).alias("last")).orderBy("_part").collect():
+        before.append((r["_part"], carry))
+        carry = carry + r.n if r["last"] is None else r.n - r["last"]
+    last = F.max(F.when(~F.col("_dup"), F.col("_at"))).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    return _carried(d, before).withColumn("streak", F.col("_at") - F.coalesce(last, -F.col("_before"))).drop("_part", "_at", "_before", "_dup")
+
+
 def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str = "hash", save: Callable[[DataFrame, int], DataFrame] | None = None) -> Result:
     """candidates(pass) gives records with `start`. New ones, by their key, are appended pass by pass; save(rows, pass)
     should write them as a table and read it again, so that each pass is worked out once; without it passes go to the

@@ -238,3 +238,28 @@ def test_stars_beyond_the_fortieth_are_counted(spark):
     q = spark.createDataFrame(list(enumerate(stars)), "qid int, triples array<array<string>>")
     got = {r.qid: r.y for r in bgp.count_stars(spark.createDataFrame(graph, "s string, p string, o string"), q).collect()}
     assert got == {i: brute(x) for i, x in enumerate(stars)} and got[90] == 0
+
+
+def test_places_and_streaks_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import passes
+
+    rows = [(f"k{i:04d}", 40 < i < 700 or i % 7 in (2, 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, d boolean").repartition(5)
+    out = passes.duplicate_streak(df, F.col("d"), F.col("k"))
+    streak, want = 0, {}
+    for k, d in rows:
+        streak = streak + 1 if d else 0
+        want[k] = streak
+    assert {r.k: r.streak for r in out.collect()} == want and max(want.values()) > 600
+    placed = passes.places(df, "place", F.col("k"))
+    assert {r.k: r.place for r in placed.collect()} == {k: i + 1 for i, (k, _) in enumerate(rows)}
+    for x in (out, placed):
+        assert "SinglePartition" not in x._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # the long streak then runs over several ranges
+        assert {r.k: r.streak for r in passes.duplicate_streak(df, F.col("d"), F.col("k")).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert passes.places(df.limit(0), "place", F.col("k")).count() == 0 == passes.duplicate_streak(df.limit(0), F.col("d"), F.col("k")).count()
