@@ -83,7 +83,7 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
         triples = inner.select("s", "p", "o")
     elif c.kind == "path":
         rules = passes.Rules(c.n_queries, max_streak=None)
-        make = lambda k: sampling.path_queries(sampling.sampled_paths(g, c.size, c.seed, k, c.starts, c.cap, c.sampling_method), c.seed, k, c.p_edge, c.p_start_end)
+        make = lambda k: sampling.path_queries(sampling.sampled_paths(g, c.size, c.seed, k, c.starts, c.cap, c.sampling_method, complete=True), c.seed, k, c.p_edge, c.p_start_end)
         triples = g.select("s", "p", "o")
     elif c.kind == "complex":
         shape = parse_shape(c.query_shape or "")

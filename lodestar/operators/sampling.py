@@ -75,9 +75,10 @@ def star_queries(raw: DataFrame, n: int, seed=0, pass_no: int = 0, min_objects:
     )
 
 
-def sampled_paths(edges: DataFrame, k: int, seed=0, pass_no: int = 0, starts: int | None = None, cap: int | None = 8, method: str = "dfs") -> DataFrame:
+def sampled_paths(edges: DataFrame, k: int, seed=0, pass_no: int = 0, starts: int | None = None, cap: int | None = 8, method: str = "dfs", complete: bool = False) -> DataFrame:
     """One simple path of k edges for each start that has one: start, nodes, preds. starts: only so many, chosen first,
-    before any join. cap bounds the edges that are tried at each node; None tries all and is complete. The methods
+    before any join. cap bounds the edges that are tried at each node; None tries all and is complete;
+    complete: so are the starts that find none under the cap. The methods
     differ in which path is taken: random_walk (and random_walk_optimized), dfs, bfs."""
     if method not in ("random_walk", "random_walk_optimized", "dfs", "bfs"):
         raise ValueError(f"unknown method {method!r}")
@@ -86,6 +87,9 @@ def sampled_paths(edges: DataFrame, k: int, seed=0, pass_no: int = 0, starts: in
     if starts is not None:
         chosen = edges.select("s").distinct().orderBy(order_key(seed, pass_no, "start", F.col("s")), "s").limit(starts)
     paths = simple_paths(edges, k, chosen, cap, f"{seed}|{pass_no}|{salt}")
+    if complete and cap:
+        rest = (edges.select("s").distinct() if chosen is None else chosen).join(paths.select(F.get("nodes", F.lit(0)).alias("s")).distinct(), "s", "left_anti")
+        paths = paths.unionByName(simple_paths(edges, k, rest, None))
     key = order_key(seed, pass_no, salt, F.array_join("nodes", " "), F.array_join("preds", " "))
     best = paths.groupBy(F.get("nodes", F.lit(0)).alias("start")).agg(F.min(F.struct(key.alias("k"), "nodes", "preds")).alias("b"))
     return best.select("start", "b.nodes", "b.preds")

@@ -263,3 +263,11 @@ def test_places_and_streaks_over_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert passes.places(df.limit(0), "place", F.col("k")).count() == 0 == passes.duplicate_streak(df.limit(0), F.col("d"), F.col("k")).count()
+
+
+def test_path_runs_find_the_only_path_beyond_the_cap(spark, tmp_path):
+    lines = [f"<hub> <p> <leaf{i}> ." for i in range(400)] + ["<a> <p> <hub> .", "<leaf7> <p> <end> ."]
+    (tmp_path / "g.nt").write_text("\n".join(lines))
+    for starts in (None, 500):
+        r = run(spark, Config(graph=str(tmp_path / "g.nt"), kind="path", size=3, n_queries=5, cap=2, starts=starts, p_start_end=0.0))
+        assert r.passes[0]["new"] == 1, r.passes
