@@ -33,10 +33,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new local folder."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a new local folder."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_lodestar_dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, own, True)
         at = sc._lodestar_dir = "file://" + own
@@ -77,12 +79,18 @@ def resident(key, make):
     """What a Python worker keeps from task to task, made at its first use. Workers are shared by all stages of a
     session, so there is one such thing at a time; another one takes its place."""
     if key not in _RESIDENT:
+        release()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Frees what a Python worker has kept, at the start of tasks that need their memory for something else."""
+    if _RESIDENT:
         _RESIDENT.clear()
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)  # gives freed memory back to the system, where there is such a call
-        _RESIDENT[key] = make()
-    return _RESIDENT[key]
 
 
 def fold(col: str, n: int):

@@ -2,12 +2,14 @@
 
 Two sets of sizes m and n with Jaccard similarity of at least P percent differ in at most
 k = (100 - P) / (100 + P) * (m + n) elements. Bands of sizes are so wide that linked sets lie in one band or in two
-neighbours; each set signs for its own band and for the next. For a band whose pairs differ in at most k
-elements the hash domain is partitioned into k + 1 parts: in one of them two linked sets agree wholly, and the
-hash of a part's elements is a signature. (Of PartEnum's two levels the second is one partition here, whose only
-subset is itself.) An empty part says little. Large bands have t parts more than k + 1, so that linked sets agree in t + 1
-parts at least: a set with at most t empty parts need not sign for them, and only one with more does. In small bands the signatures of a second,
-independent partition stand in the place of an empty part.
+neighbours; each set signs for its own band and for the next. For a band whose pairs differ in at most k elements the
+hash domain is partitioned into n1 = k // 2 + 1 parts, so that in one of them two linked sets differ in one element at
+most. That part is partitioned again into three, and each subset of two of these is enumerated: one of the subsets
+holds no difference, and the hash of its elements is a signature that both sets have.
+
+An empty subset says little. Large bands have t parts more, so that in t + 1 parts at least linked sets differ in
+one element at most: a set with at most t parts that have an empty subset need not sign for empty ones, and only one with
+more does. In small bands the signatures of a second, independent partition stand in the place of an empty subset.
 
 Equal sets are one class and sign once. Classes that share a signature form buckets. Buckets are compared in
 blocks by odd sketches: bit vectors in which every element flips one bit, so that two sets differ in at least as many
@@ -28,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop, prepare, reclaim, written
+from lodestar.llm.common import drop, prepare, reclaim, release, written
 from lodestar.llm.components import components
 from lodestar.llm.wordhash import NOT_SPACE, Words, bytes_of, groups, mix, runs
 
 #: Classes of a bucket that are compared at once, and bytes of texts.
 BLOCK, GROUP = 256, 1 << 20
-#: Bands of at most so many parts have no spare parts, but up to so many partitions.
-SMALL, _DEEPEST = 16, 3
+#: Subparts of a part, of which all but one are a subset. Bands of at most so many parts have no spare parts, but up to
+#: so many partitions.
+SUB, SMALL, _DEEPEST = 3, 8, 3
 
 
 class Bands:
@@ -51,16 +54,17 @@ class Bands:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """Parts and t. Two linked sets of at most the band's largest size differ in at most parts - 1 - t elements;
-        t is what a set of the band before rarely exceeds in empty parts."""
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """Parts, subparts of each, and t. Two linked sets of at most the band's largest size differ in one element at most
+        in t + 1 parts at least (in none where there is one subpart); t is what a set of the band before rarely exceeds
+        in parts with an empty subset."""
         if band not in self.known:
-            least = (100 - self.percent) * 2 * (int(self.starts[band + 1]) - 1) // (100 + self.percent) + 1
-            smallest, t = int(self.starts[max(0, band - 1)]), 0
+            differ = (100 - self.percent) * 2 * (int(self.starts[band + 1]) - 1) // (100 + self.percent)
+            least, smallest, t = differ // 2 + 1, int(self.starts[max(0, band - 1)]), 0
             for _ in range(2 if least > SMALL else 0):
-                empty = (least + t) * math.exp(-smallest / (least + t))
-                t = math.ceil(empty + (2 if empty < 5 else 4) * math.sqrt(empty) + 0.5)
-            self.known[band] = (least + t, t)
+                weak = (least + t) * SUB * math.exp(-smallest / (SUB * (least + t))) ** (SUB - 1)
+                t = math.ceil(weak + (2 if weak < 5 else 4) * math.sqrt(weak) + 0.5)
+            self.known[band] = (least + t, SUB if differ else 1, t)
         return self.known[band]
 
 
@@ -69,21 +73,22 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     out: list[np.ndarray] = []
 
     def sign(band: int, family: int, tag: np.uint64) -> None:
-        parts, spare = bands.parts(band)
-        at = (mix(s ^ mix(np.array([family + 1], np.uint64))) % np.uint64(parts)).astype(np.int64)
-        total, filled = np.zeros(parts, np.uint64), np.zeros(parts, bool)
+        parts, sub, spare = bands.parts(band)
+        cells = parts * sub
+        at = (mix(s ^ mix(np.array([family + 1], np.uint64))) % np.uint64(cells)).astype(np.int64)
+        total = np.zeros(cells, np.uint64)
         np.add.at(total, at, mix(s + np.uint64(family + 77)))
-        filled[at] = True
-        place = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        signs = mix(total + mix(place + tag))
-        free = np.flatnonzero(~filled)
-        deeper = parts <= SMALL and family + 1 < _DEEPEST
-        out.append(signs[filled])
-        if not deeper and len(free) > spare:
-            out.append(signs[free])
-        if deeper:
-            for p in free.tolist():
+        total, n = total.reshape(parts, sub), np.bincount(at, minlength=cells).reshape(parts, sub)
+        if sub > 1:  # each subset leaves one subpart out
+            total, n = total.sum(axis=1, keepdims=True) - total, n.sum(axis=1, keepdims=True) - n
+        place = np.arange(cells, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        signs, empty = mix(total.ravel() + mix(place + tag)), n.ravel() == 0
+        out.append(signs[~empty])
+        if parts <= SMALL and family + 1 < _DEEPEST:
+            for p in np.flatnonzero(empty).tolist():
                 sign(band, family + 1, mix(place[p : p + 1] + tag + np.uint64(1))[0])
+        elif int((n == 0).any(axis=1).sum()) > spare:
+            out.append(signs[empty])
 
     own = bands.of(len(s))
     for band in (own, own + 1):
@@ -112,21 +117,23 @@ def sets_of(column: pa.Array, k: int):
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
+        release()
         bands = Bands(percent)
         for b in batches:
-            sets = list(sets_of(b.column(1), k))
+            sets = list(sets_of(b.column(2), k))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([signatures(s, bands).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "signs", "sketch"],
+                ["doc_id", "h", "n", "digest", "signs", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, signs array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, digest binary, signs array<long>, sketch binary")
 
 
 def _folded(sketches: list[bytes]) -> np.ndarray:
@@ -184,6 +191,7 @@ def _forest(percent: int):
     """Pairs of a spanning forest of all pairs that the sketches allow, in each block."""
 
     def run(batches):
+        release()
         for key, (side, rep, comp, n, sk) in _blocks(batches, 5):
             o = np.argsort(rep)
             side, rep, sk = [side[i] for i in o], [rep[i] for i in o], [sk[i] for i in o]
@@ -203,6 +211,7 @@ def _members(percent: int):
     """Rows of a block that the sketches allow a link with another component."""
 
     def run(batches):
+        release()
         for key, (side, rep, comp, n, sk) in _blocks(batches, 5):
             bits, sizes, comps = _folded(sk), np.array(n), np.array(comp)
             found = np.zeros(len(rep), bool)
@@ -228,6 +237,7 @@ def _exact(percent: int):
     """Links of a block between components, as a spanning forest."""
 
     def run(batches):
+        release()
         for key, (side, rep, comp, raw) in _blocks(batches, 4):
             sets = [np.frombuffer(x, "<u8") for x in raw]
             ids = {c: i for i, c in enumerate(dict.fromkeys(comp))}
@@ -262,35 +272,43 @@ def _buckets(classes: DataFrame, i: int, rounds: int) -> DataFrame:
     return out
 
 
-def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: the texts' sets of k-word shingles (fewer words: all of them as one)
-    are linked when their Jaccard similarity is at least percent. Null texts and those without words have 0 shingles and
-    stand alone. Signatures are dealt out in `rounds` parts, one after the other, which bounds the disk that they need. Repeated rows stay and are linked, as are equal texts; other columns are not read; a null id is linked
-    with equal texts only. Ids are taken to name one text each; of an id with several, one text is compared."""
+def similar(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h, n_shingles, component, least_id and least_h for each row, h being the xxhash64 of its text: the texts' sets of
+    k-word shingles (fewer words: all of them as one) are linked when their Jaccard similarity is at least percent.
+    component is the same in all linked rows; least_id and least_h are the smallest id of the component and the
+    smallest h with it, a null id coming last. Null texts and those without words have 0 shingles, no component and
+    their own id and h. Ids may name several texts and texts have several ids; repeated rows stay; other columns are not read.
+    Signatures are dealt out in `rounds` parts, one after the other, which bounds the disk that they need."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = written(_signed(texts, k, percent), "signed")
-    classes = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
-    members = written(signed.select("doc_id", "n", "digest"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first")
+    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(first, F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a written table keeps these numbers
+    members = written(signed.select("doc_id", "h", "n", "digest"), "members")
     drop(signed)
     reclaim(spark)
     buckets = reduce(DataFrame.union, [_buckets(classes, i, rounds) for i in range(rounds)])
     pairs = written(_in_blocks(buckets, classes).mapInArrow(_forest(percent), "a long, b long").distinct(), "pairs")
 
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    wanted = classes.select("rep", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(needed, "rep", "left_semi")
 
     def as_sets(batches):
+        release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), k)], pa.binary())], ["rep", "set"])
 
-    sets = texts.withColumnRenamed("doc_id", "rep").join(needed, "rep", "left_semi").mapInArrow(as_sets, "rep long, set binary")
+    of = (texts["h"] == wanted["h"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
+    sets = texts.join(wanted, of).select("rep", "text").mapInArrow(as_sets, "rep long, set binary")
     sets = written(sets.dropDuplicates(["rep"]), "sets")
 
     def compare(batches):
+        release()
         for b in batches:
-            ok = [_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [_linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     a, b = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
@@ -305,5 +323,28 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds
     more = written(rest.mapInArrow(_exact(percent), "a long, b long"), "second")
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
-    label = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return members.join(label, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    label = classes.select("digest", "rep", "first").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "first")
+    least = label.groupBy("component").agg(F.min("first").alias("first"))
+    label = label.drop("first").join(least, "component")
+    own = F.col("component").isNull()
+    return members.join(label, "digest", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "component", F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("least_id"), F.when(own, F.col("h")).otherwise(F.col("first.h")).alias("least_h"))
+
+
+def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id among the linked rows, for each row of similar(). It is null where
+    no linked row has an id. Repeated rows are linked, as are equal texts."""
+    return similar(docs, k, percent, rounds, id_col, text_col).select("doc_id", "n_shingles", F.col("least_id").alias("component_id"))
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one of each group of linked ones stays: that with the smallest id, of these that whose
+    text has the smallest hash, and of rows that are alike in both one. Rows without words stay, all of them. Rows
+    are told by id and text; texts of documents that have no repeated rows are not shuffled for that."""
+    found = similar(docs, k, percent, rounds, id_col, text_col).where("component is not null")
+    rows = found.groupBy(F.col("doc_id").alias("id__"), F.col("h").alias("h__")).agg(F.count("*").alias("many__"), F.first("least_id").alias("id2__"), F.first("least_h").alias("h2__"))
+    stays = F.col("id__").eqNullSafe(F.col("id2__")) & (F.col("h__") == F.col("h2__"))
+    odd = rows.select("id__", "h__", stays.alias("stays__"), "many__").where("not stays__ or many__ > 1")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("h__"))
+    once = docs.join(odd, same, "left_anti").select(*docs.columns)
+    again = docs.join(odd.where("stays__"), same).dropDuplicates(["id__", "h__"]).select(*docs.columns)
+    return once.union(again)

@@ -89,6 +89,27 @@ def test_few_rows(spark):
     assert similarity_components(d.limit(0)).count() == 0
 
 
+def test_ids_that_name_several_texts(spark):
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "q r s t u v w"), (9, "q r s t u v w"), (None, "q r s t u v w"), (7, "1 2 3 4 5 6"), (7, "1 2 3 4 5 6"), (None, "n o i d"), (None, "n o i d"), (4, None), (4, None), (None, " ")]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, h int").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similarity_components(d).collect())
+    want = [("1", 3, "1"), ("4", 0, "4"), ("4", 0, "4"), ("5", 3, "1"), ("5", 3, "5"), ("7", 2, "7"), ("7", 2, "7"), ("9", 3, "5"), ("None", 0, "None"), ("None", 1, "None"), ("None", 1, "None"), ("None", 3, "5")]
+    assert got == want
+    kept = partenum.without_copies(d)
+    assert kept.columns == d.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", rows[0][1]), ("5", rows[2][1]), ("7", rows[5][1]), ("None", "n o i d"), ("4", "None"), ("4", "None"), ("None", " ")])
+    assert partenum.without_copies(d.limit(0)).count() == 0
+
+
+def test_subsets_of_parts_are_enumerated():
+    bands, rng = Bands(80), np.random.default_rng(1)
+    s = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    parts, sub, spare = bands.parts(bands.of(300))
+    assert sub == 3 and parts == 2 * 20 * (int(bands.starts[bands.of(300) + 1]) - 1) // 180 // 2 + 1 + spare
+    more = bands.parts(bands.of(300) + 1)
+    assert len(signatures(s, bands)) <= sub * (parts + more[0])
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7), (None, 3)]
