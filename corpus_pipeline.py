@@ -9,22 +9,25 @@ from lodestar.llm.common import drop, fold, table, written
 from lodestar.llm.langid import learn as learn_languages
 from lodestar.llm.langid import predict as predict_language
 from lodestar.llm.packing import pack
-from lodestar.llm.partenum import similarity_components
+from lodestar.llm.partenum import without_copies
 from lodestar.llm.toxicity import learn as learn_toxicity
 from lodestar.llm.toxicity import score as score_toxicity
 from lodestar.llm.winnowing import contamination
 
 #: Suffix of the columns that a stage adds and takes away again.
 _OWN = "__stage"
-#: Times the certainty of a guess among all languages that a text's language needs.
-LEAST_LANGUAGE = 1.05
+#: Bits for each byte of a text in its cheapest language above which, and beyond so many bits more, it is in none: texts of
+#: a learned language cost 2 to 5, letters by chance 11, other languages 6 to 16.
+FOREIGN, LEEWAY = 6.0, 64.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Those without text or letters, and those that all languages fit alike, are rejected."""
-    samples = learn_languages(docs.where(fold("doc_id", 4) != 2))
+    """Documents in one of the learned languages. Those without text or letters, and those that cost so many bits in every
+    language as letters by chance or other languages do, are rejected; where no language can be learned, all are."""
+    samples = learn_languages(docs.where(F.coalesce(fold("doc_id", 4), F.lit(0)) != 2))
     out = predict_language(docs, samples, keep=True, suffix=_OWN)
-    return out.where((F.col("lang_pred" + _OWN) != "und") & (F.col("score" + _OWN) > min(0.9, LEAST_LANGUAGE / max(1, len(samples))))).select(*docs.columns)
+    known = F.col("level" + _OWN) <= FOREIGN + LEEWAY / F.greatest(F.octet_length("text"), F.lit(1))
+    return out.where((F.col("lang_pred" + _OWN) != "und") & known).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +38,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id. Documents without id or words stay."""
-    found = similarity_components(docs, k=5, percent=80)
-    # Only ids that go are joined; a repeated row of a kept id is dealt with by its whole content.
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates()
+    """One document of each group of linked ones: that with the smallest id, of rows alike in id and text one. An id may name
+    several texts; documents without words stay."""
+    return without_copies(docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
