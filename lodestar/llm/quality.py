@@ -1,6 +1,7 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0). The counts of all vote patterns of the corpus (at most
+Each rule votes good (1), bad (-1) or abstains (0); how often it abstains in good and in bad documents is estimated
+like its votes. The counts of all vote patterns of the corpus (at most
 3 to the number of rules) go to the driver, where expectation-maximisation estimates for each class how often
 each rule votes each way (the rules' accuracies) and the share of good documents. The posterior probability
 of a document follows from its votes by a sum of logarithms, as a column.
@@ -95,31 +96,27 @@ def rules() -> dict[str, Column]:
 BEFORE = {1: (0.6, 0.3), -1: (0.01, 0.4), 0: (0.39, 0.3)}
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], steps: int = 200, prior: float = 0.8, strength: float = 1.0) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Expectation-maximisation over (votes, count): the share of good documents and, for each rule and vote,
-    its probabilities in good and bad documents. An abstention says nothing. BEFORE counts as strength times
-    the corpus; without it the two classes could change places or follow the most frequent kind of fault only."""
+def estimate(patterns: list[tuple[tuple[int, ...], int]], steps: int = 500, prior: float = 0.8, pseudo: float = 10.0) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """Expectation-maximisation over (votes, count): the share of good documents and, for each rule and vote, abstentions
+    among them, its probabilities in good and bad documents. BEFORE counts as `pseudo` documents of each class, however
+    many there are; the first belief, that a bad vote mostly means a bad document, tells the classes apart."""
     if not patterns:
         return prior, []
     k, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    weight = strength * total
     belief = [0.2 if -1 in votes else 0.95 for votes, _ in patterns]
     share, table = prior, []
     for _ in range(steps):
         good = sum(p * n for p, (_, n) in zip(belief, patterns, strict=True))
-        share = (good + 0.1 * weight * prior) / (total + 0.1 * weight)
+        share = (good + pseudo * prior) / (total + pseudo)
         table = []
         for r in range(k):
-            sums = {v: [weight * x for x in BEFORE[v]] for v in (-1, 0, 1)}
+            sums = {v: [pseudo * x for x in BEFORE[v]] for v in (-1, 0, 1)}
             for p, (votes, n) in zip(belief, patterns, strict=True):
                 sums[votes[r]][0] += p * n
                 sums[votes[r]][1] += (1 - p) * n
             whole = [sum(x[i] for x in sums.values()) for i in (0, 1)]
             table.append({v: (x[0] / whole[0], x[1] / whole[1]) for v, x in sums.items()})
-        new = []
-        for votes, _ in patterns:
-            z = math.log(share / (1 - share)) + sum(math.log(table[r][v][0] / table[r][v][1]) for r, v in enumerate(votes) if v)
-            new.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+        new = [posterior(votes, share, table) for votes, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(belief, new, strict=True))
         belief = new
         if moved < 1e-9:
@@ -127,9 +124,16 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], steps: int = 200, prio
     return share, table
 
 
+def posterior(votes: tuple[int, ...], share: float, table: list[dict[int, tuple[float, float]]]) -> float:
+    """The probability that a document with these votes is good."""
+    z = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, votes, strict=True))
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """Counts, base_failed, votes, quality (the posterior probability) and kept for each row of docs. An empty
-    table gives no rows. The counts are written once, so texts are read once."""
+    """Counts, base_failed, votes, quality (the posterior probability) and kept for each row of docs; a null text has no words.
+    Repeated rows stay and count as often; other columns are not read, whatever their names; an empty table gives no rows.
+    The counts are written once, so texts are read once."""
     f = written(features(docs, id_col, text_col), "quality")
     votes = rules()
     voted = f.select("*", *[v.alias(f"vote_{k}") for k, v in votes.items()])
@@ -138,7 +142,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     odds = F.lit(math.log(share / (1 - share)))
     for name, t in zip(names, table, strict=False):
         terms = {v: math.log(a / b) for v, (a, b) in t.items()}
-        odds = odds + F.when(F.col(name) == 1, terms[1]).when(F.col(name) == -1, terms[-1]).otherwise(0.0)
+        odds = odds + F.when(F.col(name) == 1, terms[1]).when(F.col(name) == -1, terms[-1]).otherwise(terms[0])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     quality = 1 / (1 + F.exp(-odds))
     return voted.select("*", failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= threshold)).alias("kept"))
