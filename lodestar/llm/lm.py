@@ -6,10 +6,13 @@
    counts: hot words are one entry for each chunk. A shard adds up, builds its trie and answers each chunk with the
    word's count, the context's back-off weight and the bigram's probability, found in the trie.
 3. Each chunk scores its documents from the answers.
-What is gathered grows with the input; a shard has about shard_words words of it, a chunk chunk_words.
+What is gathered grows with the input; a shard has about shard_words words of it, a chunk chunk_words. A context that is
+followed by more words than that is split: its successors go to shards of their own by ranges of their hashes.
 
-Smoothing: absolute discounting with three discounts that each shard estimates from its counts of counts, backed off to
-p0(w) = (c + 0.5) / (N + 0.5 (V + 1)). Two different words share a hash with a chance of about 2**-64.
+Smoothing is Witten and Bell's: a context with c successors, t of them different, gives a bigram that was seen n times
+n / (c + t), and leaves t / (c + t) to p0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). It needs nothing but the context's own
+counts, so scores are the same for any number of shards and chunks. Two different words share a hash with a chance of
+about 2**-64.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold, prepare, shuffle_parts, written
+from lodestar.llm.common import fold, prepare, reclaim, release, shuffle_parts, written
 from lodestar.llm.elias_fano import Trie, quantised, unquantised
 from lodestar.llm.wordhash import NOT_SPACE, Words, bytes_of, groups
 
@@ -36,6 +39,7 @@ ANSWERS = "chunk long, shard int, counts binary, backoff binary, seen binary, sh
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     def run(batches):
+        release()
         part, k = TaskContext.get().partitionId(), 0
         for b in batches:
             data, offsets = bytes_of(b.column(1))
@@ -64,6 +68,19 @@ class _Chunk:
         context[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, START)
         self.pairs, self.pair_of = np.unique((context << 32) | self.tokens, return_inverse=True)
 
+    def divided(self, split: "Split") -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+        """The pairs of whole contexts, and shard, context and pairs of each part of those that are split."""
+        at = np.searchsorted(self.words, split.hashes)
+        whole, parts = np.ones(len(self.pairs), bool), []
+        for i, h, base in zip(at.tolist(), split.hashes.tolist(), split.base.tolist(), strict=True):
+            if i == len(self.words) or self.words[i] != h:
+                continue
+            lo, hi = np.searchsorted(self.pairs, (i << 32, (i + 1) << 32))
+            whole[lo:hi] = False
+            cuts = [0, *np.searchsorted(self.words[self.pairs[lo:hi] & 0xFFFFFFFF], split.cuts(h)).tolist(), hi - lo]
+            parts += [(base + j, i, np.arange(lo + a, lo + b)) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        return np.flatnonzero(whole), parts
+
     def cuts(self, shards: int) -> np.ndarray:
         """The first word of each shard and their number."""
         edges = (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
@@ -80,7 +97,48 @@ def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
-def _requests(chunks: DataFrame, shards: int) -> DataFrame:
+class Split:
+    """Contexts that are split: hash -> (successors in all, different ones, shards). Their shards are numbered from `first`
+    on, by hash of the context and then of the successor."""
+
+    def __init__(self, first: int, contexts: dict[int, tuple[int, int, int]] | None = None) -> None:
+        self.first, self.contexts = first, contexts or {}
+        self.hashes = np.array(sorted(self.contexts), np.uint64)
+        n = np.array([self.contexts[int(h)][2] for h in self.hashes], np.int64)
+        self.base = first + np.cumsum(n) - n
+
+    def cuts(self, h: int) -> np.ndarray:
+        """The first successor's hash of each shard of a context but the first."""
+        n = self.contexts[h][2]
+        return (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+
+    def __contains__(self, h: int) -> bool:
+        return h in self.contexts
+
+
+def _heavy(chunks: DataFrame, tokens: int, limit: int) -> dict[int, int]:
+    """Contexts with over `limit` successors in the training texts, of which there are tokens / limit at most. A chunk names
+    those that have half of that share in it; what it leaves out is less than half the limit in all."""
+
+    def counted(wanted: np.ndarray | None):
+        def run(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    c = _Chunk(r["words"], r["tokens"], r["sizes"], r["held"])
+                    n = np.bincount((c.pairs >> 32)[c.pair_of[c.train]], minlength=len(c.words))
+                    at = np.flatnonzero((n > 0) & (2 * n * tokens >= limit * len(c.tokens))) if wanted is None else np.flatnonzero(np.isin(c.words, wanted))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.words[at].view(np.int64)), pa.array(n[at].astype(np.int64))], ["word", "n"])
+
+        return chunks.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    named = [r.word for r in counted(None).where(F.col("n") * 2 > limit).collect()]
+    if not named:
+        return {}
+    found = counted(np.array(named, np.int64).view(np.uint64)).where(F.col("n") > limit).collect()
+    return {int(np.int64(r.word).astype(np.uint64)): r.n for r in found}
+
+
+def _requests(chunks: DataFrame, shards: int, split: Split, only_split: bool = False) -> DataFrame:
     names = [x.split()[0] for x in REQUESTS.split(", ")]
 
     def run(batches):
@@ -89,46 +147,48 @@ def _requests(chunks: DataFrame, shards: int) -> DataFrame:
                 c = _Chunk(r["words"], r["tokens"], r["sizes"], r["held"])
                 counts = np.bincount(c.tokens[c.train], minlength=len(c.words))
                 pairs = np.bincount(c.pair_of[c.train], minlength=len(c.pairs))
-                context, successor = c.pairs >> 32, c.pairs & 0xFFFFFFFF
-                cuts = c.cuts(shards)
-                at = np.searchsorted(context, cuts)
                 rows = []
-                for s in range(shards):
-                    lo, hi, a, e = cuts[s], cuts[s + 1], at[s], at[s + 1]
-                    used, which = np.unique(successor[a:e], return_inverse=True)
-                    rows.append([r["chunk"], s, c.words[lo:hi].tobytes(), _narrow(counts[lo:hi]), _narrow(np.bincount(context[a:e] - lo, minlength=hi - lo)), c.words[used].tobytes(), _narrow(which), _narrow(pairs[a:e])])
+
+                def add(shard, words, pair):
+                    """words: a range of words; pair: numbers of the pairs whose contexts lie in it."""
+                    lo, hi = words
+                    context, successor = c.pairs[pair] >> 32, c.pairs[pair] & 0xFFFFFFFF
+                    used, which = np.unique(successor, return_inverse=True)
+                    rows.append([r["chunk"], shard, c.words[lo:hi].tobytes(), _narrow(counts[lo:hi]), _narrow(np.bincount(context - lo, minlength=hi - lo)), c.words[used].tobytes(), _narrow(which), _narrow(pairs[pair])])
+
+                whole, parts = c.divided(split)
+                if not only_split:
+                    cuts = c.cuts(shards)
+                    at = np.searchsorted(c.pairs[whole] >> 32, cuts)
+                    for s in range(shards):
+                        add(s, (cuts[s], cuts[s + 1]), whole[at[s] : at[s + 1]])
+                for shard, word, pair in parts:
+                    add(shard, (word, word + 1), pair)
                 kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
 
     return chunks.mapInArrow(run, REQUESTS)
 
 
-def discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more; 0.75 of a count at most where there is no data."""
-    n = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-    if not n[0] or not n[1]:
-        return (0.75, 1.0, 1.25)
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.75 * i for i in (1, 2, 3)]
-    return tuple(min(max(x, 0.05), i - 0.01 * i) for i, x in enumerate(d, 1))
-
-
-def shard_trie(words: np.ndarray, counts: np.ndarray, degrees: np.ndarray, successors: np.ndarray, names: np.ndarray, pairs: np.ndarray):
-    """A trie of summed training counts: words (sorted) with counts, and their successors, numbers of names (sorted)."""
-    d1, d2, d3 = discounts(pairs)
-    cut = np.where(pairs == 1, d1, np.where(pairs == 2, d2, d3))
+def shard_trie(words: np.ndarray, counts: np.ndarray, degrees: np.ndarray, successors: np.ndarray, names: np.ndarray, pairs: np.ndarray, split: Split):
+    """A trie of summed training counts: words (sorted) with counts, and their successors, numbers of names (sorted). What
+    is known of contexts that are split comes from split."""
     context = np.repeat(np.arange(len(words)), degrees)
-    total = np.bincount(context, pairs, len(words))
-    rest = np.bincount(context, cut, len(words))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        backoff = np.where(total > 0, rest / total, 1.0)
-        seen = (pairs - cut) / total[context]
+    total, kinds = np.bincount(context, pairs, len(words)), degrees.astype(np.float64)
+    at = np.searchsorted(words, split.hashes)
+    for i, h in zip(at.tolist(), split.hashes.tolist(), strict=True):
+        if i < len(words) and words[i] == h:
+            total[i], kinds[i], _ = split.contexts[h]
+    backoff = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+    seen = pairs / (total + kinds)[context]
     pointers = np.concatenate([[0], np.cumsum(degrees)])
     used, numbers = np.unique(successors, return_inverse=True)
     return Trie.build(words, counts, quantised(backoff), pointers, names[used], numbers, quantised(seen))
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _summed(table: pa.Table) -> tuple:
+    """The requests of a shard added up: rows, words, each request's places in them, counts, names, each request's pairs,
+    pairs (context * names + successor), their places in them and their counts."""
     rows = table.to_pylist()
     words = [np.frombuffer(r["words"], "<u8") for r in rows]
     all_words, word_of = np.unique(np.concatenate(words), return_inverse=True)
@@ -142,39 +202,61 @@ def _answer(table: pa.Table) -> pa.Table:
         w0, n0 = w0 + len(w), n0 + len(n)
     pairs, pair_of = np.unique(np.concatenate(keys), return_inverse=True)
     times = np.bincount(pair_of, np.concatenate([_wide(r["pairs"]) for r in rows]), len(pairs)).astype(np.int64)
-    context, successor = pairs // max(1, len(all_names)), pairs % max(1, len(all_names))
-    kept, known = times > 0, np.zeros(len(all_words), bool)
-    known[context[kept]] = True
-    known |= counts > 0
-    place = np.cumsum(known) - 1
-    trie = Trie(shard_trie(all_words[known], counts[known], np.bincount(place[context[kept]], minlength=int(known.sum())), successor[kept], all_names, times[kept]))
-
-    # From here on everything comes from the trie.
-    at = trie.words.find(all_words)
-    count_of = np.where(at >= 0, trie.counts[np.maximum(at, 0)] if len(trie.counts) else 0, 0)
-    back_of = np.where(at >= 0, trie.backoff[np.maximum(at, 0)] if len(trie.backoff) else 0, 0).astype("<u2")
-    first = np.searchsorted(context, np.arange(len(all_words) + 1))
-    seen = trie.look_up(all_words, first, all_names, successor)
-    tokens, kinds = int(trie.counts.sum()), int((trie.counts > 0).sum())
-    out, w0, p0 = [], 0, 0
-    for r, w, k in zip(rows, words, keys, strict=True):
-        mine = word_of[w0 : w0 + len(w)]
-        out.append([r["chunk"], r["shard"], count_of[mine].astype("<i8").tobytes(), back_of[mine].tobytes(), seen[pair_of[p0 : p0 + len(k)]].astype("<u2").tobytes(), tokens, kinds])
-        w0, p0 = w0 + len(w), p0 + len(k)
-    kinds_of = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds_of, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
+    return rows, words, all_words, word_of, counts, all_names, keys, pairs, pair_of, times
+
+
+def _kinds(table: pa.Table) -> pa.Table:
+    """Different successors of a split context in one of its shards."""
+    *_, all_words, _, _, _, _, _, _, times = _summed(table)
+    return pa.table([pa.array(all_words.view(np.int64)), pa.array([int((times > 0).sum())], pa.int64())], names=["word", "n"])
+
+
+def _answerer(split: Split):
+    def answer(table: pa.Table) -> pa.Table:
+        rows, words, all_words, word_of, counts, all_names, keys, pairs, pair_of, times = _summed(table)
+        context, successor = pairs // max(1, len(all_names)), pairs % max(1, len(all_names))
+        if rows[0]["shard"] >= split.first:
+            counts[:] = 0  # the word itself is counted in its own shard
+        kept, known = times > 0, np.zeros(len(all_words), bool)
+        known[context[kept]] = True
+        known |= (counts > 0) | np.isin(all_words, split.hashes)
+        place = np.cumsum(known) - 1
+        trie = Trie(shard_trie(all_words[known], counts[known], np.bincount(place[context[kept]], minlength=int(known.sum())), successor[kept], all_names, times[kept], split))
+
+        # From here on everything comes from the trie.
+        at = trie.words.find(all_words)
+        count_of = np.where(at >= 0, trie.counts[np.maximum(at, 0)] if len(trie.counts) else 0, 0)
+        back_of = np.where(at >= 0, trie.backoff[np.maximum(at, 0)] if len(trie.backoff) else 0, 0).astype("<u2")
+        first = np.searchsorted(context, np.arange(len(all_words) + 1))
+        seen = trie.look_up(all_words, first, all_names, successor)
+        tokens, kinds = int(trie.counts.sum()), int((trie.counts > 0).sum())
+        out, w0, p0 = [], 0, 0
+        for r, w, k in zip(rows, words, keys, strict=True):
+            mine = word_of[w0 : w0 + len(w)]
+            out.append([r["chunk"], r["shard"], count_of[mine].astype("<i8").tobytes(), back_of[mine].tobytes(), seen[pair_of[p0 : p0 + len(k)]].astype("<u2").tobytes(), tokens, kinds])
+            w0, p0 = w0 + len(w), p0 + len(k)
+        kinds_of = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds_of, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
+
+    return answer
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(total: int, kinds: int):
+def _scorer(total: int, kinds: int, split: Split):
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         r = chunk.to_pylist()[0]
         c = _Chunk(r["words"], r["tokens"], r["sizes"], r["held"])
-        parts = sorted(answers.to_pylist(), key=lambda x: x["shard"])
-        joined = lambda k, t: np.frombuffer(b"".join(x[k] for x in parts), t)
-        count, back, seen = joined("counts", "<i8"), joined("backoff", "<u2"), joined("seen", "<u2")
+        rows = sorted(answers.to_pylist(), key=lambda x: x["shard"])
+        joined = lambda k, t, of: np.frombuffer(b"".join(x[k] for x in of), t)
+        ranges, rest = [x for x in rows if x["shard"] < split.first], [x for x in rows if x["shard"] >= split.first]
+        count, back = joined("counts", "<i8", ranges), joined("backoff", "<u2", ranges)
+        whole, parts = c.divided(split)
+        seen = np.empty(len(c.pairs), np.uint16)
+        seen[whole] = joined("seen", "<u2", ranges)
+        for (_, _, pair), x in zip(parts, rest, strict=True):
+            seen[pair] = np.frombuffer(x["seen"], "<u2")
         p0 = (count + 0.5) / (total + 0.5 * (kinds + 1))
         context, successor = c.pairs >> 32, c.pairs & 0xFFFFFFFF
         p = np.where(seen < 65535, unquantised(seen), 0.0) + unquantised(back)[context] * p0[successor]
@@ -199,6 +281,12 @@ def score_corpus(docs: DataFrame, folds: int = 5, held_out: int = 1, chunk_words
     chunks = written(_chunks(rows, 6 * chunk_words), "chunks")
     size = chunks.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
     shards = max(1, min(4 * shuffle_parts(spark), math.ceil(size / (1 << 16))), math.ceil(size / shard_words))
-    answers = written(_requests(chunks, shards).groupBy("shard").applyInArrow(_answer, ANSWERS), "answers")
+    heavy = _heavy(chunks, int(size), shard_words) if size > shard_words else {}
+    split = Split(shards, {h: (n, 0, math.ceil(n / shard_words)) for h, n in heavy.items()})
+    if heavy:
+        kinds = _requests(chunks, shards, split, only_split=True).groupBy("shard").applyInArrow(_kinds, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        split = Split(shards, {h: (heavy[h], r.n, math.ceil(heavy[h] / shard_words)) for r in kinds for h in [int(np.int64(r.word).astype(np.uint64))]})
+    answers = written(_requests(chunks, shards, split).groupBy("shard").applyInArrow(_answerer(split), ANSWERS), "answers")
+    reclaim(spark)
     total = answers.groupBy("shard").agg(F.max("shard_tokens").alias("n"), F.max("shard_words").alias("v")).agg(F.sum("n"), F.sum("v")).first()
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(total[0] or 0, total[1] or 0), SCORES)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(total[0] or 0, total[1] or 0, split), SCORES)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm.elias_fano import STEPS, Sequence, Trie
-from lodestar.llm.lm import discounts, score_corpus
+from lodestar.llm import lm
+from lodestar.llm.lm import score_corpus
 
 
 @pytest.mark.parametrize(("n", "top"), [(0, 10), (1, 1), (5, 3), (1000, 1 << 63), (1000, 1000), (5000, 10**6)])
@@ -56,14 +57,12 @@ def brute(rows):
             c.update(w)
             pairs.update(zip(["<>", *w], w, strict=False))
     n, v = sum(c.values()), len(c)
-    d = discounts(np.array(list(pairs.values())))
-    cut = lambda x: d[min(x, 3) - 1]
-    total, rest = Counter(), Counter()
+    total, kinds = Counter(), Counter()
     for (a, _), x in pairs.items():
         total[a] += x
-        rest[a] += cut(x)
+        kinds[a] += 1
     p0 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    p = lambda a, w: ((pairs[a, w] - cut(pairs[a, w])) / total[a] if pairs[a, w] else 0) + (rest[a] / total[a] if total[a] else 1) * p0(w)
+    p = lambda a, w: (pairs[a, w] + kinds[a] * p0(w)) / (total[a] + kinds[a]) if total[a] else p0(w)
     out = []
     for i, t, _ in rows:
         w = words(t)
@@ -82,13 +81,26 @@ def test_against_brute_force(spark, chunk, shard):
         assert b[6] - 2 * a[2] / STEPS <= a[6] <= b[6] + 1e-6, (a, b)
 
 
-def test_shards_only_change_the_discounts(spark):
+def test_shards_and_chunks_change_nothing(spark, monkeypatch):
+    """Neither the number of shards, nor that of chunks, nor splitting the heavy contexts."""
     rows, d = corpus(spark)
-    one = {(r.doc_id, r.n_tokens): r for r in score_corpus(d).collect()}
-    for r in score_corpus(d, shard_words=300).collect():
-        a = one[r.doc_id, r.n_tokens]
-        assert (r.n_known, r.train_tokens) == (a.n_known, a.train_tokens) and abs(r.base_score - a.base_score) < 1e-6
-        assert r.score < 0
+    one = sorted((str(r.doc_id), *list(r)[1:]) for r in score_corpus(d).collect())
+    split = []
+    monkeypatch.setattr(lm, "_heavy", lambda *x, f=lm._heavy: split.append(f(*x)) or split[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        for chunk, shard in ((1 << 20, 1000), (200, 300), (60, 60)):
+            got = sorted((str(r.doc_id), *list(r)[1:]) for r in score_corpus(d, chunk_words=chunk, shard_words=shard).collect())
+            for a, b in zip(got, one, strict=True):
+                assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    contexts = Counter()
+    for i, t, _ in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            contexts.update(["<>", *(t or "").lower().split()])
+    assert [sorted(x.values()) for x in split] == [sorted(n for n in contexts.values() if n > limit) for limit in (1000, 300, 60)]
+    assert len(split[2]) > len(split[0]) > 0
 
 
 def test_held_out_texts_gain(spark):
