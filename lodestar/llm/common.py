@@ -24,12 +24,19 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
 
+#: What Python workers run with: large arrays go back to the system when they are freed.
+_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 22), "MALLOC_ARENA_MAX": "2"}
+
+
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers on the driver's machine import this package. On a cluster ship it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    of = spark.sparkContext.environment
+    paths = of.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
+        of["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
+    for k, v in _MEMORY.items():
+        of.setdefault(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:

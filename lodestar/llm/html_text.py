@@ -2,9 +2,13 @@
 
 A page becomes a sequence of tags and of text blocks. Words score by their surroundings (innermost block tag,
 in a link or not, inside of page furniture or not) and tags score below zero; one linear scan finds the
-contiguous stretch with the largest sum. The weights are log odds from labelled pages: those that mark their
-content with <article> or <main>, counted on a bounded sample. The stretch grows to the element that holds it,
-and page furniture inside of it (adverts, forms, notices, readers' comments) is left out.
+contiguous stretch with the largest sum, which is the content region. The weights are log odds from labelled pages:
+those that mark their content with <article> or <main>, counted on a bounded sample.
+
+What lies inside of the region and has a weight below zero itself is left out: elements that never hold main text, and
+those whose class, id or role has such a weight. A name's weight comes from the labelled pages too; it starts below zero
+for names that say what they are (adverts, forms, notices, readers' comments), which labels can't tell, since an
+article's element holds them as well.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,19 +39,31 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "
 #: Elements that never hold main text, and those that don't outside of an article.
 _FURNITURE = frozenset("aside button dialog footer form head menu nav search title".split())
 _FURNITURE_OUTSIDE = frozenset(("header",))
-#: Words in class, id and role that mark page furniture.
+#: Words in names of page furniture, and words that names of anything have. A name is one of furniture if all its
+#: words are among these and one of them is among the first; `related-work` is not.
 _FURNITURE_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disqus footer gdpr legal login masthead menu modal "
     "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+_ANY_NAMES = frozenset("area article articles bar block bottom box btn button buttons center container form global holder icon icons inner item items left link links list main outer page pages panel post posts primary reader readers right row secondary section site slot small stories sub thread top unit user users wrap wrapper".split())
 _CONTENT = frozenset(("article", "main"))
-_HOLDERS = _CONTENT | frozenset("section div td".split())
+
+
+@lru_cache(10_000)
+def names_of(value: str) -> tuple[str, ...]:
+    return tuple(x for x in value.split() if x)
+
+
+@lru_cache(10_000)
+def is_furniture(name: str) -> bool:
+    parts = {x.lower() for x in _NAME_PART.findall(name)}
+    return bool(parts & _FURNITURE_NAMES) and parts <= _FURNITURE_NAMES | _ANY_NAMES
 
 
 @dataclass
 class Block:
     tag: str
-    path: tuple[int, ...]
+    names: frozenset[str]
     furniture: bool
     in_content: bool
     chunks: list[str] = field(default_factory=list)
@@ -58,11 +75,11 @@ class Block:
         return " ".join(html_lib.unescape("".join(self.chunks)).split())
 
 
-def parse(page: str) -> tuple[list, list[str]]:
-    """Tokens, a tag's name or a Block, and the element names by number."""
+def parse(page: str) -> list:
+    """Tokens: a Block, or a tag as its name, with / before it where it ends an element, the names of what it stands in or
+    begins or ends, and whether that is furniture."""
     tokens: list = []
-    names: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, frozenset[str], bool]] = []  # name, names of it and of what holds it, furniture
     links = 0
     block: Block | None = None
 
@@ -73,7 +90,7 @@ def parse(page: str) -> tuple[list, list[str]]:
             if not n:
                 return
             content = any(x[0] in _CONTENT for x in stack)
-            block = Block(stack[-1][0] if stack else "body", tuple(x[1] for x in stack), any(x[2] for x in stack), content)
+            block = Block(stack[-1][0] if stack else "body", stack[-1][1] if stack else frozenset(), any(x[2] for x in stack), content)
             tokens.append(block)
         block.chunks.append(text)
         if links:
@@ -86,6 +103,9 @@ def parse(page: str) -> tuple[list, list[str]]:
         block = None
         del stack[upto:]
 
+    def tag(name: str) -> None:
+        tokens.append((name, stack[-1][1] if stack else frozenset(), any(x[2] for x in stack)))
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -99,7 +119,8 @@ def parse(page: str) -> tuple[list, list[str]]:
             links = max(0, links - 1) if end else 1
         elif name == "br" and block is not None:
             block.chunks.append(" ")
-        tokens.append(name)
+        if end or name not in _BLOCK:
+            tag("/" + name if end else name)
         if name not in _BLOCK:
             continue
         if end:
@@ -117,45 +138,69 @@ def parse(page: str) -> tuple[list, list[str]]:
         if name == "body":
             close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
         if name == "hr":
+            tag(name)
             continue
         inside = any(x[0] in _CONTENT for x in stack)
-        marked = False
+        names = stack[-1][1] if stack else frozenset()
         if rest and name not in ("html", "body", "main"):
-            found = {p.lower() for q in _NAMED.findall(rest) for p in _NAME_PART.findall(q[0] or q[1] or q[2])}
-            marked = bool(found & _FURNITURE_NAMES) or ("header" in found and not inside)
-            if name == "article" and not found & {"comment", "comments", "reply", "replies", "related", "ad", "ads", "promo", "sponsored"}:
-                marked = False
-        stack.append((name, len(names), marked or name in _FURNITURE or (name in _FURNITURE_OUTSIDE and not inside)))
-        names.append(name)
+            own = {n for q in _NAMED.findall(rest) for n in names_of(q[0] or q[1] or q[2])}
+            if name == "article":  # it says itself what it is, unless it is one of many under an article
+                own = {n for n in own if inside and is_furniture(n)}
+            elif not inside and any("header" in map(str.lower, _NAME_PART.findall(n)) for n in own):
+                own.add("masthead")
+            names = names | own
+        stack.append((name, names, name in _FURNITURE or (name in _FURNITURE_OUTSIDE and not inside)))
+        tag(name)
     if at < len(page):
         add(page[at:])
-    return tokens, names
+    return tokens
+
+
+#: A word's weight before any labelled page: plain, in a link, in a link of running text, in furniture; a name's, if it isn't one of furniture and if
+#: it is; a tag's, if it is set in running text, if it is not, if it ends such an element, and in furniture.
+WORD, LINKED, QUOTED, FURNITURE, NAME, NAMED, TAG, BOX, BOX_END, HOLE = 1.0, -0.5, 0.25, -0.25, 1.0, -2.5, -0.1, -0.5, -1.5, -0.02
+#: How far log odds may move weights, and words as which a name's weight before any page counts.
+REACH, PSEUDO = 2.0, 50.0
+_RUNNING = frozenset("blockquote dd figcaption h1 h2 h3 h4 h5 h6 p".split())
+_BOXES = frozenset("address article aside body center details dialog dir div fieldset footer head header html main menu nav search section table title".split())
 
 
-#: A word's and a tag's weight before any labelled page, how far log odds may move it, and what unmarked pages get.
-WORD, LINKED, FURNITURE, TAG, REACH = 1.0, -1.0, -2.0, -0.5, 2.0
+def before(kind: tuple) -> float:
+    """The weight of a kind without labelled pages: ("tag", token), ("name", name) or (tag, in a link, in furniture)."""
+    if kind[0] == "tag":
+        return TAG if kind[1].lstrip("/") not in _BOXES else BOX_END if kind[1][0] == "/" else BOX
+    if kind[0] == "name":
+        return NAMED if is_furniture(kind[1]) else NAME
+    return FURNITURE if kind[2] else WORD if not kind[1] else QUOTED if kind[0] in _RUNNING else LINKED
 
 
 def weigh(counts: Counter) -> dict[tuple, float]:
-    """Weights from (kind, inside the marked content or not) -> count, smoothed by one. Tags stay below zero and
-    words outside of links and furniture above it."""
-    totals = {w: {s: sum(n for (k, i), n in counts.items() if i == s and (k[0] == "tag") == (w == "tag")) + 1 for s in (True, False)} for w in ("tag", "word")}
+    """Weights from (kind, inside the marked content or not) -> count. Tags, and words in furniture, stay below zero; plain
+    words stay above it."""
+    kinds = {k for k, _ in counts}
+    totals = {w: {s: sum(counts[k, s] for k in kinds if (k[0] == "tag") == w and k[0] != "name") + 1 for s in (True, False)} for w in (True, False)}
+    base = totals[False][True] / (totals[False][True] + totals[False][False])
     out = {}
-    for kind in {k for k, _ in counts}:
-        t = totals["tag" if kind[0] == "tag" else "word"]
-        odds = math.log((counts[kind, True] + 1) / t[True]) - math.log((counts[kind, False] + 1) / t[False])
-        shift = max(-REACH, min(REACH, odds))
+    for kind in kinds:
+        a, b, t = counts[kind, True], counts[kind, False], totals[kind[0] == "tag"]
+        if kind[0] == "name":
+            p = (a + PSEUDO * base) / (a + b + PSEUDO)
+            odds = math.log(p / (1 - p)) - math.log(base / (1 - base))
+        else:
+            odds = math.log((a + 1) / t[True]) - math.log((b + 1) / t[False])
+        shift, start = max(-REACH, min(REACH, odds)), before(kind)
         if kind[0] == "tag":
-            out[kind] = min(-0.05, TAG + 0.2 * shift)
+            out[kind] = min(-0.05, start + 0.5 * shift)
+        elif kind[0] == "name":
+            out[kind] = start + shift
         else:
-            before = FURNITURE if kind[2] else LINKED if kind[1] else WORD
-            out[kind] = min(-0.1, before + shift) if kind[2] else before + 0.4 * shift
+            out[kind] = min(-0.05, start + 0.4 * shift) if kind[2] else start + 0.4 * shift
     return out
 
 
 def observe(page: str, counts: Counter) -> None:
     """Adds a labelled page: one with a marked content element that holds text."""
-    tokens, _ = parse(page)
+    tokens = parse(page)
     if not any(isinstance(t, Block) and t.in_content for t in tokens):
         return
     inside = False
@@ -164,48 +209,42 @@ def observe(page: str, counts: Counter) -> None:
             inside = t.in_content
             counts[(t.tag, False, t.furniture), inside] += t.plain
             counts[(t.tag, True, t.furniture), inside] += t.linked
+            for n in t.names:
+                counts[("name", n), inside] += t.plain + t.linked
         else:
-            counts[("tag", t), inside] += 1
+            counts[("tag", t[0]), inside and t[0][1:] not in _CONTENT] += 1
 
 
 def extract(page: str | None, weights: dict[tuple, float]) -> str:
-    """The main text. No text, or none that scores above zero, gives an empty string."""
+    """The main text: the blocks of the best stretch but those of furniture. No text, or none that scores above zero, gives
+    an empty string. Of equally good stretches the first is taken."""
     if not page:
         return ""
-    tokens, names = parse(page)
+    of = lambda kind: weights[kind] if kind in weights else before(kind)
+    tokens = parse(page)
     best = total = 0.0
     start, span = 0, None
+    out: set[int] = set()
     for i, t in enumerate(tokens):
         if isinstance(t, Block):
-            base = FURNITURE if t.furniture else WORD
-            total += t.plain * weights.get((t.tag, False, t.furniture), base) + t.linked * weights.get((t.tag, True, t.furniture), min(base, LINKED))
+            bad = t.furniture or any(of(("name", n)) < 0 for n in t.names)
+            total += t.plain * of((t.tag, False, bad)) + t.linked * of((t.tag, True, bad))
+            if bad:
+                out.add(i)
         else:
-            total += weights.get(("tag", t), TAG)
+            total += HOLE if t[2] or any(of(("name", n)) < 0 for n in t[1]) else of(("tag", t[0]))
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i)
     if span is None:
         return ""
-    blocks = [(i, t) for i, t in enumerate(tokens) if isinstance(t, Block)]
-    kept = [t for i, t in blocks if span[0] <= i <= span[1] and not t.furniture]
-    if not kept:
-        return ""
-    shared = kept[0].path
-    for t in kept[1:]:
-        n = 0
-        while n < min(len(shared), len(t.path)) and shared[n] == t.path[n]:
-            n += 1
-        shared = shared[:n]
-    holder = next((n for n in range(len(shared), 0, -1) if names[shared[n - 1]] in _CONTENT), 0) or next((n for n in range(len(shared), 0, -1) if names[shared[n - 1]] in _HOLDERS), 0)
-    if holder:
-        kept = [t for _, t in blocks if t.path[:holder] == shared[:holder] and not t.furniture]
-    return "\n".join(x for t in kept if (x := t.text))
+    return "\n".join(x for i in range(span[0], span[1] + 1) if i not in out and isinstance(tokens[i], Block) and (x := tokens[i].text))
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 2000) -> dict[tuple, float]:
-    """Weights from about `sample` pages that have an <article> or <main>, taken by the hash of their id.
-    Kinds are tag names, so the counts are few; where no page is labelled the set weights hold."""
+    """Weights from about `sample` pages that have an <article> or <main>, taken by the hash of their id. Kinds are the
+    tags and names in these pages; where no page is labelled the weights before() hold."""
     rows = pages.where(F.col(html_col).rlike("(?i)<(article|main)\\b"))
     share = min(1.0, sample / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).select(html_col)
@@ -221,7 +260,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
     import ast
 
-    found = rows.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(5000).collect()
+    found = rows.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     return weigh(Counter({(ast.literal_eval(r.kind), r.inside): r.n for r in found}))
 
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -30,6 +31,38 @@ def test_pages(weights):
     assert weights["p", False, False] > 0 > weights["li", True, True]
 
 
+def test_names(weights):
+    """Only names all of whose words say so are furniture; others follow the labelled pages."""
+    page = ARTICLE.replace("<p>Second,", '<div class="related-work"><p>Others did this before us.</p></div><div class="adaptive search-space"><p>We look there.</p></div><div class="newsletter-signup"><p>Sign up today.</p></div><p>Second,')
+    for w in ({}, weights):
+        assert extract(page, w) == "Head & more\nFirst para of it.\nOthers did this before us.\nWe look there.\nSecond, with link text.\nEnd."
+    zq = '<body><div class="zq7"><p>Words that no reader wants to see, but in a plain paragraph.</p></div><article><div class="zq8"><p>A story that is told.</p></div></article>'
+    c = Counter()
+    for _ in range(20):
+        observe(zq, c)
+    w = weigh(c)
+    assert w["name", "zq7"] < 0 < w["name", "zq8"]
+    plain = zq.replace("article>", "div>")
+    assert extract(plain, w) == "A story that is told." and extract(plain, {}).startswith("Words")
+
+
+def test_the_stretch_is_the_best_one():
+    """Against all stretches."""
+    import itertools
+
+    from lodestar.llm.html_text import HOLE, Block, before, parse
+
+    rng = random.Random(5)
+    for _ in range(150):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<a>", "</a>", "<section class=ad>", "</section>", "<br>", "one", " two ", "three four five "]) for _ in range(rng.randrange(40)))
+        tokens = parse(page)
+        bad = lambda t: t.furniture or "ad" in t.names if isinstance(t, Block) else t[2] or "ad" in t[1]
+        scores = [t.plain * before((t.tag, False, bad(t))) + t.linked * before((t.tag, True, bad(t))) if isinstance(t, Block) else HOLE if bad(t) else before(("tag", t[0])) for t in tokens]
+        best = max((sum(scores[i:j]) for i, j in itertools.combinations(range(len(tokens) + 1), 2)), default=0)
+        found = {"\n".join(t.text for t in tokens[i:j] if isinstance(t, Block) and not bad(t)) for i, j in itertools.combinations(range(len(tokens) + 1), 2) if best > 0 and sum(scores[i:j]) > best - 1e-9}
+        assert extract(page, {}) in (found or {""}), page
+
+
 def test_long_and_broken(weights):
     assert extract("<article>" + "<p>word word</p>" * 20000, weights).count("\n") == 19999
     assert extract("<div title=\"a>b\"><p>some text of a page</p></div>", weights) == "some text of a page"
