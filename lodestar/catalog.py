@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.hashing import order_key, order_sql, uniform_sql
+from lodestar.functions.hashing import order_key, order_sql, uniform, uniform_sql
 from lodestar.operators import dedup, graph, passes, records, sampling
 from lodestar.plans import bgp, sparql
 from lodestar.plans.shapes import SHAPES, parse_shape, plan
@@ -125,35 +125,18 @@ def distinct_seeds(spark, d):
     return sparql.run(_tr(spark, d), "SELECT DISTINCT ?s WHERE { ?s <urn:p/customer> ?o }")
 
 
-@register("pass_order", f"SELECT s, row_number() OVER (ORDER BY {order_sql(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), 's')}, s) AS place FROM (SELECT DISTINCT s FROM ed WHERE p LIKE 'urn:p/buys-%')")
+@register("pass_order", f"SELECT s, row_number() OVER (ORDER BY {order_sql(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), 's')}, s) AS place FROM (SELECT DISTINCT s FROM tr)")
 def pass_order(spark, d):
-    starts = kgview.edges(spark, d).where(F.col("p").startswith("urn:p/buys-")).select("s").distinct()
-    return passes.places(starts, "place", order_key(3, 1, F.col("s")), F.col("s"))
-
-
-@register("pass_order_all", f"SELECT s, row_number() OVER (ORDER BY {order_sql(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), 's')}, s) AS place FROM (SELECT DISTINCT s FROM tr)")
-def pass_order_all(spark, d):
     return passes.places(_tr(spark, d).select("s").distinct(), "place", order_key(3, 1, F.col("s")), F.col("s"))
 
 
-@register("choice_with_replacement", f"""SELECT i, s FROM (SELECT i, cast(floor({uniform_sql("'5'", "i")} * 25) AS bigint) AS place FROM range(300) r(i)) JOIN (SELECT row_number() OVER (ORDER BY s) - 1 AS place, s FROM (SELECT DISTINCT s FROM ed WHERE p = 'urn:p/region')) USING (place)""")
+@register("choice_with_replacement", f""", a AS (SELECT row_number() OVER (ORDER BY s) - 1 AS place, s FROM (SELECT DISTINCT s FROM tr)) SELECT i, s FROM (SELECT i, cast(floor({uniform_sql("'5'", "i")} * (SELECT count(*) FROM a)) AS bigint) AS place FROM range(300) r(i)) JOIN a USING (place)""")
 def choice_with_replacement(spark, d):
-    return _choice(spark, kgview.edges(spark, d).where("p = 'urn:p/region'").select("s").distinct())
-
-
-def _choice(spark, subjects):
-    from lodestar.functions.hashing import uniform
-
-    dense = passes.places(subjects, "at", F.col("s")).withColumn("at", F.col("at") - 1)
+    dense = passes.places(_tr(spark, d).select("s").distinct(), "at", F.col("s")).withColumn("at", F.col("at") - 1)
     draws = spark.range(300).select(F.col("id").alias("i"), uniform(5, F.col("id")).alias("u"))
     return graph.dense_choice(dense, draws, "at").select("i", "s")
 
 
-@register("choice_with_replacement_all", f""", a AS (SELECT row_number() OVER (ORDER BY s) - 1 AS place, s FROM (SELECT DISTINCT s FROM tr)) SELECT i, s FROM (SELECT i, cast(floor({uniform_sql("'5'", "i")} * (SELECT count(*) FROM a)) AS bigint) AS place FROM range(300) r(i)) JOIN a USING (place)""")
-def choice_with_replacement_all(spark, d):
-    return _choice(spark, _tr(spark, d).select("s").distinct())
-
-
 @register("capped_expand", f"SELECT s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY {order_sql(chr(39) + '9' + chr(39), 's', 'p', 'o')}, s, p, o) AS k FROM ed) WHERE k <= 50")
 def capped_expand(spark, d):
     return graph.capped(kgview.edges(spark, d), "o", 50, 9)
@@ -264,7 +247,11 @@ def shape_diamond_injective(spark, d):
     return sampling.matches(e, parse_shape(SHAPES["diamond"]), cap=None).agg(F.count("*").alias("y"))
 
 
-@register("shape_plans", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{plan(parse_shape(v))[0]}', '{','.join(map(str, plan(parse_shape(v))[1]))}')" for k, v in SHAPES.items()) + ") AS t(shape, root, edges)", cte=False)
+#: Worked out by hand from the rule: the first of the subjects with most ends of edges; then what closes a cycle, else the next.
+_PLANS = {"path_star_ends": ("o", "0,1,2,3,4"), "flower": ("a", "0,1,2,3,4,5,6"), "binary_tree": ("a", "0,1,2,3,4,5"), "cycle": ("a", "0,1,2"), "diamond": ("a", "0,1,2,3"), "snowflake": ("center", "0,1,2,3,4,5,6,7")}
+
+
+@register("shape_plans", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}', '{e}')" for k, (r, e) in _PLANS.items()) + ") AS t(shape, root, edges)", cte=False)
 def shape_plans(spark, d):
     rows = [(k, plan(parse_shape(v))[0], ",".join(map(str, plan(parse_shape(v))[1]))) for k, v in SHAPES.items()]
     return spark.createDataFrame(rows, "shape string, root string, edges string")
@@ -370,16 +357,10 @@ def dedup_across_passes(spark, d):
     return dedup.unseen(r, r.where("star_size < 6"), "key").select("key").distinct()
 
 
-@register("dup_streak", "SELECT s, o, CASE WHEN dup THEN sum(dup::int) OVER (PARTITION BY g ORDER BY s, o) ELSE 0 END::bigint AS streak FROM (SELECT *, sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (ORDER BY s, o ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT s, o, o IN ('urn:nation/1', 'urn:nation/2', 'urn:nation/3') AS dup FROM (SELECT DISTINCT s, o FROM ed WHERE p LIKE 'urn:p/buys-%')))")
-def dup_streak(spark, d):
-    e = kgview.edges(spark, d).where(F.col("p").startswith("urn:p/buys-")).select("s", "o").distinct()
-    return passes.duplicate_streak(e, F.col("o").isin("urn:nation/1", "urn:nation/2", "urn:nation/3"), F.col("s"), F.col("o")).select("s", "o", "streak")
-
-
-@register("dup_streak_all", f""", {_STAR_RECORDS}, m AS (SELECT source_subject AS s, source_subject <> min(source_subject) OVER (PARTITION BY key) AS dup FROM rec),
+@register("dup_streak", f""", {_STAR_RECORDS}, m AS (SELECT source_subject AS s, source_subject <> min(source_subject) OVER (PARTITION BY key) AS dup FROM rec),
 g AS (SELECT *, sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT s, CASE WHEN dup THEN sum(dup::int) OVER (PARTITION BY g ORDER BY s) ELSE 0 END::bigint AS streak FROM g""")
-def dup_streak_all(spark, d):
+def dup_streak(spark, d):
     """The duplicates in a row among all candidates of a pass."""
     r = _star_records(spark, d).select(F.col("source_subject").alias("s"), dedup.dedup_key("triples").alias("key"))
     r = r.join(r.groupBy("key").agg(F.min("s").alias("first")), "key")
@@ -389,15 +370,26 @@ def dup_streak_all(spark, d):
 _PATH2 = "SELECT a.s AS n0, a.o AS n1, b.o AS n2, a.p AS p0, b.p AS p1 FROM ed a JOIN ed b ON a.o = b.s WHERE a.s <> a.o AND b.o <> a.s AND b.o <> a.o"
 _PATH_RECORDS = f"""SELECT start, 'SELECT * WHERE {{ ' || CASE WHEN {uniform_sql("'4'", "'0'", "start", "'s'")} < 0.3 THEN '<' || n0 || '>' ELSE '?o0' END || ' ' || CASE WHEN {uniform_sql("'4'", "'0'", "start", "'p'", "0")} < 0.9 THEN '<' || p0 || '>' ELSE '?p1' END || ' ?o1 . ?o1 ' ||
 CASE WHEN {uniform_sql("'4'", "'0'", "start", "'p'", "1")} < 0.9 THEN '<' || p1 || '>' ELSE '?p2' END || ' ' || CASE WHEN {uniform_sql("'4'", "'0'", "start", "'e'")} < 0.3 THEN '<' || n2 || '>' ELSE '?o2' END || ' }}' AS query
-FROM (SELECT n0 AS start, *, row_number() OVER (PARTITION BY n0 ORDER BY {order_sql("'4'", "'0'", "'dfs'", "n0 || ' ' || n1 || ' ' || n2", "p0 || ' ' || p1")}, n1, n2, p0, p1) AS k FROM ({_PATH2})) WHERE k = 1""".replace("{{", "{").replace("}}", "}")
+FROM (SELECT n0 AS start, *, row_number() OVER (PARTITION BY n0 ORDER BY {order_sql("'4|0|dfs'", "n0", "n0", "p0", "n1")}, {order_sql("'4|0|dfs'", "n0", "n1", "p1", "n2")}) AS k FROM ({_PATH2})) WHERE k = 1""".replace("{{", "{").replace("}}", "}")
 
 
 @register("path_queries", _PATH_RECORDS)
 def path_queries(spark, d):
-    p = sampling.sampled_paths(kgview.edges(spark, d), 2, seed=4, cap=None, method="dfs")
+    p = sampling.sampled_paths(kgview.edges(spark, d), 2, seed=4, method="dfs")
     return sampling.path_queries(p, seed=4, p_edge=0.9, p_start_end=0.3).select("start", "query")
 
 
+_WALKS = f"""h AS (SELECT * FROM (SELECT s, p, o, row_number() OVER (PARTITION BY s ORDER BY {order_sql("'7'", "s", "s", "p", "o")}) AS k FROM ed WHERE s <> o AND o IN (SELECT s FROM ed)) WHERE k = 1),
+h2 AS (SELECT * FROM (SELECT h.s, h.o AS n1, e.o AS n2, h.p AS p0, e.p AS p1, row_number() OVER (PARTITION BY h.s ORDER BY {order_sql("'7'", "h.s", "h.o", "e.p", "e.o")}) AS k FROM h JOIN ed e ON e.s = h.o WHERE e.o <> h.s AND e.o <> h.o) WHERE k = 1)"""
+
+
+@register("random_walks", f", {_WALKS} SELECT s AS walk, s || '|' || n1 || '|' || n2 AS nodes, p0 || '|' || p1 AS preds FROM h2")
+def random_walks(spark, d):
+    e = kgview.edges(spark, d)
+    w = graph.random_walks(e, 2, e.select(F.col("s").alias("walk"), "s").distinct(), 7)
+    return w.select("walk", F.array_join("nodes", "|").alias("nodes"), F.array_join("preds", "|").alias("preds"))
+
+
 _TRIANGLE = f"""m AS (SELECT x.s AS a, y.s AS b, z.s AS c, x.p AS p0, y.p AS p1, z.p AS p2 FROM ed x JOIN ed y ON x.o = y.s JOIN ed z ON y.o = z.s AND z.o = x.s WHERE x.s <> x.o AND y.s <> y.o AND z.s <> z.o),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY {order_sql("'6'", "'0'", "a", "b", "c", "p0", "p1", "p2")}, b, c, p0, p1, p2) AS k FROM m) WHERE k = 1)"""
 
@@ -409,19 +401,20 @@ def complex_queries(spark, d):
     return sampling.shape_queries(sampling.one_match(m, "a", 6), shape, 6).select("start", "query")
 
 
-@register("combination_stars", "SELECT i AS start, 2 AS n_patterns, true AS found FROM range(50) r(i)")
+@register("combination_stars", f""", sp AS (SELECT s, p, count(*)::hugeint AS n FROM tr GROUP BY s, p), c AS (SELECT a.p AS p1, b.p AS p2, sum(a.n * b.n) AS y FROM sp a JOIN sp b ON a.s = b.s AND a.p < b.p GROUP BY a.p, b.p),
+q AS (SELECT *, row_number() OVER (ORDER BY p1 || ' ' || p2) - 1 AS place FROM c)
+SELECT i AS start, '?s <' || p1 || '> ?o0 . ?s <' || p2 || '> ?o1' AS query, cast(y AS bigint) AS y FROM (SELECT i, cast(floor({uniform_sql("'8'", "i")} * (SELECT count(*) FROM c)) AS bigint) AS place FROM range(50) r(i)) JOIN q USING (place)""")
 def combination_stars(spark, d):
-    """Templates from predicate combinations: each has the solution that it came from."""
-    r = sampling.combination_stars(kgview.triples(spark, d), 2, 50, 8, 1)
-    counts = bgp.count_batch(_tr(spark, d), r.select(F.col("start").alias("qid"), "triples"), same_subject=True)
-    return r.drop("y").join(counts.withColumnRenamed("qid", "start"), "start").select("start", F.size("triples").alias("n_patterns"), (F.col("y") >= 1).alias("found"))
+    """Templates from predicate combinations, drawn with replacement, and their solutions."""
+    r = sampling.combination_stars(kgview.triples(spark, d), 2, 50, 8, 0)
+    counts = bgp.count_stars(_tr(spark, d), r.select("start", "triples"), "start")
+    return r.drop("y").join(counts, "start").select("start", F.regexp_extract("query", r"\{ (.*) \}", 1).alias("query"), "y")
 
 
-@register("seeded_path_queries", f"SELECT count(*) AS n_queries, true AS all_in_graph FROM ({_EXTEND})")
+@register("seeded_path_queries", f"SELECT replace(x.preds, '|', ' ') AS start, count(*) AS y FROM ({_EXTEND}) x JOIN tr a ON a.p = split_part(x.preds, '|', 1) JOIN tr b ON b.s = a.o AND b.p = split_part(x.preds, '|', 2) JOIN tr c ON c.s = b.o AND c.p = split_part(x.preds, '|', 3) GROUP BY x.preds")
 def seeded_path_queries(spark, d):
-    r = sampling.seeded_path_queries(kgview.edges(spark, d), 2, 1, 5, 3, seed=2)
-    counts = bgp.count_batch(_tr(spark, d), r.select(F.col("start").alias("qid"), "triples"))
-    return counts.agg(F.count("*").alias("n_queries"), F.min(F.col("y") >= 1).alias("all_in_graph"))
+    r = sampling.seeded_path_queries(kgview.edges(spark, d), 2, 1, 5, 3, seed=2, p_start_end=0.0)
+    return bgp.count_batch(_tr(spark, d), r.select("start", "triples"), "start")
 
 
 # Canonical forms
@@ -448,6 +441,13 @@ def wl_labeled_pairs(spark, d):
     return df.select("pair", (dedup.wl_key("a") == dedup.wl_key("b")).alias("same"))
 
 
+@register("bruteforce_canonical", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(v).lower()})" for i, (_, _, v) in enumerate(PAIRS)) + ") AS t(pair, same)", cte=False)
+def bruteforce_canonical(spark, d):
+    rows = [(i, *([x.split(" ") for x in t.split("|")] for t in pair[:2])) for i, pair in enumerate(PAIRS)]
+    df = spark.createDataFrame(rows, "pair int, a array<array<string>>, b array<array<string>>")
+    return df.select("pair", (dedup.brute_key("a") == dedup.brute_key("b")).alias("same"))
+
+
 # Counts of many queries at once
 
 
@@ -471,7 +471,7 @@ UNION ALL SELECT 2, count(*) FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = 'urn:p
 UNION ALL SELECT 3, 0""",
 )
 def batched_star_counts(spark, d):
-    return bgp.count_batch(_tr(spark, d), _q(spark, _STAR_BATCH), same_subject=True)
+    return bgp.count_stars(_tr(spark, d), _q(spark, _STAR_BATCH))
 
 
 _PATH_BATCH = [
@@ -493,15 +493,6 @@ def batched_path_counts(spark, d):
     return bgp.count_batch(_tr(spark, d), _q(spark, _PATH_BATCH))
 
 
-@register("sampled_star_counts", f", {_STAR_RECORDS}, n AS (SELECT min(source_subject) AS source_subject FROM rec GROUP BY key ORDER BY min(source_subject) LIMIT 40) SELECT source_subject, true AS found FROM n")
-def sampled_star_counts(spark, d):
-    """Every sampled query has at least the solution that it came from."""
-    r = dedup.first_of_each(_star_records(spark, d).select("source_subject", "triples", dedup.dedup_key("triples").alias("key")), "key", "source_subject")
-    r = r.orderBy("source_subject").limit(40)
-    counts = bgp.count_batch(_tr(spark, d), r.select(F.col("source_subject").alias("qid"), "triples"), same_subject=True)
-    return counts.select(F.col("qid").alias("source_subject"), (F.col("y") >= 1).alias("found"))
-
-
 _STAR_COUNTS = f"""{_STAR_RECORDS}, first AS (SELECT min(source_subject) AS q FROM rec GROUP BY key),
 pat AS (SELECT q, slot, CASE WHEN pb THEN p ELSE '' END AS p, CASE WHEN bound THEN o ELSE '' END AS o FROM placed JOIN first ON s = q),
 idx AS (SELECT s, coalesce(p, '') AS p, coalesce(o, '') AS o, count(*)::hugeint AS n FROM tr GROUP BY GROUPING SETS ((s, p, o), (s, p), (s, o), (s))),
@@ -510,8 +501,8 @@ near AS (SELECT q, s FROM anchor JOIN idx USING (p, o))
 SELECT q AS source_subject, cast(sum(y) AS bigint) AS y FROM (SELECT q, s, max(n) FILTER (slot = 0) * max(n) FILTER (slot = 1) * max(n) FILTER (slot = 2) AS y FROM near JOIN pat USING (q) JOIN idx USING (s, p, o) GROUP BY q, s HAVING count(*) = 3) GROUP BY q"""
 
 
-@register("sampled_star_counts_all", f", {_STAR_COUNTS}")
-def sampled_star_counts_all(spark, d):
+@register("sampled_star_counts", f", {_STAR_COUNTS}")
+def sampled_star_counts(spark, d):
     """The cardinality of every different sampled query."""
     r = dedup.first_of_each(_star_records(spark, d).select("source_subject", "triples", dedup.dedup_key("triples").alias("key")), "key", "source_subject")
     return bgp.count_stars(_tr(spark, d), r.select("source_subject", "triples"), "source_subject")

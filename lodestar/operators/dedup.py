@@ -99,6 +99,15 @@ def wl_key(triples: Column | str) -> Column:
     return F.pandas_udf(_wl_keys, StringType())(triples)
 
 
+def _brute_keys(triples: pd.Series) -> pd.Series:
+    return triples.map(lambda ts: None if ts is None else repr(brute_canonical([tuple(t) for t in ts])))
+
+
+def brute_key(triples: Column | str) -> Column:
+    """The canonical form by trying all numberings of the variables: for few variables, to test the other with."""
+    return F.pandas_udf(_brute_keys, StringType())(triples)
+
+
 def dedup_key(triples: Column | str, method: str = "hash") -> Column:
     if method == "hash":
         return hash_key(triples)

@@ -72,6 +72,41 @@ def simple_paths(edges: DataFrame, k: int, starts: DataFrame | None = None, cap:
     return df.drop("at")
 
 
+def _choice(seed) -> Column:
+    """A walk's preference among edges of the node that it is at: the smallest first."""
+    return order_key(seed, F.col("walk"), F.col("at"), F.col("p"), F.col("o"))
+
+
+def random_walks(edges: DataFrame, k: int, walks: DataFrame, seed=0) -> DataFrame:
+    """walk, nodes, preds of the walks (walk, s) that get to k edges over distinct nodes. At each hop a walk takes one edge by
+    md5 among those to nodes that it hasn't been at and, before the last hop, that have edges; it never goes back.
+    A hop costs the edges of the nodes that walks are at, whatever k is."""
+    inner = lookahead(edges)
+    df = walks.select("walk", F.array("s").alias("nodes"), F.array().cast("array<string>").alias("preds"), F.col("s").alias("at"))
+    for hop in range(k):
+        step = (inner if hop < k - 1 else edges).select(F.col("s").alias("at"), "p", "o")
+        df = df.join(step, "at").where(~F.array_contains("nodes", F.col("o")))
+        best = df.groupBy("walk").agg(F.min(F.struct(_choice(seed).alias("key"), "p", "o", "nodes", "preds")).alias("b"))
+        df = best.select("walk", F.concat("b.nodes", F.array("b.o")).alias("nodes"), F.concat("b.preds", F.array("b.p")).alias("preds"), F.col("b.o").alias("at"))
+    return df.drop("at")
+
+
+def first_paths(edges: DataFrame, k: int, walks: DataFrame, seed=0) -> DataFrame:
+    """walk, nodes, preds of all walks (walk, s) from whose start a path of k edges over distinct nodes exists: the first one
+    by the same preference at each hop, as a search that goes back finds it. Only walks that run into a dead end are
+    searched for all their paths."""
+    straight = random_walks(edges, k, walks, seed)
+    straight = straight.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else straight.cache()
+    df = walks.join(straight.select("walk"), "walk", "left_anti").select("walk", F.array("s").alias("nodes"), F.array().cast("array<string>").alias("preds"), F.array().cast("array<string>").alias("keys"), F.col("s").alias("at"))
+    inner = lookahead(edges)
+    for hop in range(k):
+        step = (inner if hop < k - 1 else edges).select(F.col("s").alias("at"), "p", "o")
+        df = df.join(step, "at").where(~F.array_contains("nodes", F.col("o")))
+        df = df.select("walk", F.concat("nodes", F.array("o")).alias("nodes"), F.concat("preds", F.array("p")).alias("preds"), F.concat("keys", F.array(_choice(seed))).alias("keys"), F.col("o").alias("at"))
+    best = df.groupBy("walk").agg(F.min(F.struct("keys", "nodes", "preds")).alias("b"))
+    return straight.unionByName(best.select("walk", "b.nodes", "b.preds"))
+
+
 def lookahead(edges: DataFrame) -> DataFrame:
     """Edges whose object has edges of its own."""
     return edges.join(edges.select(F.col("s").alias("o")).distinct(), "o", "left_semi").select("s", "p", "o")

@@ -13,19 +13,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators.dedup import dedup_key, unseen
-from lodestar.plans.bgp import count_batch
+from lodestar.plans.bgp import count_batch, count_stars
 
 
 @dataclass(frozen=True)
 class Rules:
-    """When to stop: at `target` queries, after a pass with fewer than `least_new` new ones, after `max_passes`, and in a
-    pass at `max_streak` duplicates in a row, and after a pass that took over slow_seconds for each new query (None: not)."""
+    """When to stop: at `target` queries, after a pass with fewer than `least_new` new ones, after `max_passes`, in a
+    pass at `max_streak` duplicates in a row, and when `slow_queries` new ones in a row took over slow_seconds each
+    (None: not). The queries of a pass are made together and took its time divided by their number."""
 
     target: int = 1000
     least_new: int = 5
     max_passes: int = 30
     max_streak: int | None = None
     slow_seconds: float | None = None
+    slow_queries: int = 5
 
 
 @dataclass
@@ -39,6 +41,13 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Worked out now, and kept."""
+    out = _kept(df)
+    out.count()
+    return out
+
+
 def _ordered(df: DataFrame, *order: Column) -> DataFrame:
     """With _part and _at: ranges of the order, and the place in each from 1. It is kept, as another reading could cut
     the ranges elsewhere; equal rows of the order lie in one range."""
@@ -80,7 +89,7 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
     should write them as a table and read it again, so that each pass is worked out once; without it passes go to the
     checkpoint folder, or are cached where none is set."""
     out: DataFrame | None = None
-    result, have = Result(None), 0  # type: ignore[arg-type]
+    result, have, slow = Result(None), 0, 0  # type: ignore[arg-type]
     for n in range(rules.max_passes):
         began = time.monotonic()
         rows = candidates(n).withColumn("key", dedup_key("triples", method))
@@ -102,7 +111,8 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
         if have >= rules.target or got < rules.least_new:
             result.reason = "target" if have >= rules.target else "few new"
             break
-        if rules.slow_seconds and (time.monotonic() - began) / got > rules.slow_seconds:
+        slow = slow + got if rules.slow_seconds and got and (time.monotonic() - began) / got > rules.slow_seconds else 0
+        if slow >= rules.slow_queries:
             result.reason = "slow"
             break
     else:
@@ -112,8 +122,9 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
 
 
 def with_counts(triples: DataFrame, records: DataFrame, key: str = "key", stars: bool = False) -> DataFrame:
-    """Records with y worked out for all of them together."""
-    counts = count_batch(triples, records.select(F.col(key).alias("qid"), "triples"), "qid", stars)
+    """Records with y worked out for all of them together. stars: each is a star whose variables all differ."""
+    of = records.select(F.col(key).alias("qid"), "triples")
+    counts = count_stars(triples, of) if stars else count_batch(triples, of)
     return records.drop("y").join(counts.withColumnRenamed("qid", key), key)
 
 
@@ -131,7 +142,8 @@ def within(df: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame]
     sc.addJobTag(tag)
     timer.start()
     try:
-        return save(df)
+        out = save(df)
+        return None if late.is_set() else out
     except Exception:
         if late.is_set():
             return None
@@ -142,7 +154,7 @@ def within(df: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame]
 
 
 def counted(triples: DataFrame, records: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame], on_timeout: str = "mark", key: str = "key", stars: bool = False) -> DataFrame:
-    """with_counts() within a time limit. Beyond it the records keep y = -1 (mark) or are dropped (drop)."""
+    """with_counts() within a time limit for all records. Beyond it they keep y = -1 (mark) or are dropped (drop)."""
     if on_timeout not in ("mark", "drop"):
         raise ValueError(f"on_timeout is mark or drop, not {on_timeout!r}")
     done = within(with_counts(triples, records, key, stars), seconds, save)

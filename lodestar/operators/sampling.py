@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import order_key, uniform
-from lodestar.operators.graph import capped, simple_paths
+from lodestar.operators.graph import capped, dense_choice, first_paths, random_walks, simple_paths
+from lodestar.operators.passes import places
 from lodestar.plans.shapes import BOUND, PROB, Edge, nodes, plan
 
 
@@ -75,24 +76,34 @@ def star_queries(raw: DataFrame, n: int, seed=0, pass_no: int = 0, min_objects:
     )
 
 
-def sampled_paths(edges: DataFrame, k: int, seed=0, pass_no: int = 0, starts: int | None = None, cap: int | None = 8, method: str = "dfs", complete: bool = False) -> DataFrame:
-    """One simple path of k edges for each start that has one: start, nodes, preds. starts: only so many, chosen first,
-    before any join. cap bounds the edges that are tried at each node; None tries all and is complete;
-    complete: so are the starts that find none under the cap. The methods
-    differ in which path is taken: random_walk (and random_walk_optimized), dfs, bfs."""
+def sampled_paths(edges: DataFrame, k: int, seed=0, pass_no: int = 0, starts: int | None = None, method: str = "dfs", attempts: int = 100, rounds: int = 20) -> DataFrame:
+    """Simple paths of k edges: start, nodes, preds. dfs and bfs give one for each start that has one, the first by md5
+    at each hop; starts: of only so many starts, chosen first, before any join. Both orders of search come to the same path,
+    so they differ in their md5 only. random_walk (and random_walk_optimized) draws a start with replacement for each of
+    `attempts` and walks without going back; an attempt whose walks end early draws again, in up to `rounds`
+    rounds of more and more walks. start is the node, or the attempt's number for a walk."""
     if method not in ("random_walk", "random_walk_optimized", "dfs", "bfs"):
         raise ValueError(f"unknown method {method!r}")
-    salt = "random_walk" if method.startswith("random_walk") else method
-    chosen = None
-    if starts is not None:
-        chosen = edges.select("s").distinct().orderBy(order_key(seed, pass_no, "start", F.col("s")), "s").limit(starts)
-    paths = simple_paths(edges, k, chosen, cap, f"{seed}|{pass_no}|{salt}")
-    if complete and cap:
-        rest = (edges.select("s").distinct() if chosen is None else chosen).join(paths.select(F.get("nodes", F.lit(0)).alias("s")).distinct(), "s", "left_anti")
-        paths = paths.unionByName(simple_paths(edges, k, rest, None))
-    key = order_key(seed, pass_no, salt, F.array_join("nodes", " "), F.array_join("preds", " "))
-    best = paths.groupBy(F.get("nodes", F.lit(0)).alias("start")).agg(F.min(F.struct(key.alias("k"), "nodes", "preds")).alias("b"))
-    return best.select("start", "b.nodes", "b.preds")
+    subjects, tag = edges.select("s").distinct(), f"{seed}|{pass_no}|{method}"
+    if method in ("dfs", "bfs"):
+        if starts is not None:
+            subjects = subjects.orderBy(order_key(seed, pass_no, "start", F.col("s")), "s").limit(starts)
+        return first_paths(edges, k, subjects.select(F.col("s").alias("walk"), "s"), tag).withColumnRenamed("walk", "start")
+    dense = places(subjects, "at", F.col("s")).withColumn("at", F.col("at") - 1)
+    spark = edges.sparkSession
+    missing, found, tries = list(range(attempts)), [], 1
+    for n in range(rounds):
+        draws = spark.createDataFrame([(i, t) for i in missing for t in range(tries)], "attempt long, try int").select("attempt", "try", F.concat_ws(".", "attempt", F.lit(n), "try").alias("walk"))
+        chosen = dense_choice(dense, draws.withColumn("u", uniform(tag, "walk", F.col("walk"))), "at").select("walk", "attempt", "try", "s")
+        walked = random_walks(edges, k, chosen, tag).join(chosen.select("walk", "attempt", "try"), "walk")
+        one = walked.groupBy("attempt").agg(F.min(F.struct("try", "nodes", "preds")).alias("b")).select(F.col("attempt").cast("string").alias("start"), "b.nodes", "b.preds")
+        got = one.collect()  # `attempts` rows at most
+        found += [tuple(r) for r in got]
+        missing = sorted(set(missing) - {int(r.start) for r in got})
+        if not missing:
+            break
+        tries = min(64, 4 * tries)
+    return spark.createDataFrame(found, "start string, nodes array<string>, preds array<string>")
 
 
 def path_queries(paths: DataFrame, seed=0, pass_no: int = 0, p_edge: float = 1.0, p_start_end: float = 0.3) -> DataFrame:
@@ -202,10 +213,9 @@ def combination_stars(triples: DataFrame, n: int, k: int, seed=0, max_bound: int
     """k star templates, drawn with replacement from all combinations of n distinct predicates that subjects have, and
     instantiated from a subject that has them: up to max_bound objects that are IRIs are bound, by md5; the other
     predicates extend the star with variable objects. triples: s, p, o, o_is_iri. Records with `start` = draw."""
-    from lodestar.operators.graph import dense_choice, predicate_combinations
+    from lodestar.operators.graph import predicate_combinations
 
-    combos = predicate_combinations(triples, n)
-    dense = combos.withColumn("place", F.row_number().over(W.orderBy("combo")).cast("bigint") - 1)  # one row for each combination
+    dense = places(predicate_combinations(triples, n), "place", F.array_join("combo", " ")).withColumn("place", F.col("place") - 1)
     draws = triples.sparkSession.range(k).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("u"))
     chosen = dense_choice(dense, draws, "place").select("draw", F.col("first_subject").alias("s"), F.posexplode("combo").alias("slot", "p"))
     key = order_key(seed, F.col("draw"), F.col("p"), F.col("o"))

@@ -170,9 +170,19 @@ def count_stars(triples: DataFrame, records: DataFrame, id_col: str = "qid") ->
     """id_col, y (bigint): exact counts of many stars whose variables all differ, whatever their topologies. A star is
     tried only at the subjects of its rarest pattern, so the work grows with the matches of that one."""
     term = lambda x, i: F.when(F.get(x, F.lit(i)).startswith("?"), "").otherwise(F.regexp_replace(F.get(x, F.lit(i)), "^<(.*)>$", "$1"))
-    # What a pattern finds at each subject; an empty p or o is a variable.
-    found = triples.select("s", "p", "o").groupingSets([["s", "p", "o"], ["s", "p"], ["s", "o"], ["s"]], "s", "p", "o").agg(F.count("*").cast(_COUNT).alias("n")).select("s", F.coalesce("p", F.lit("")).alias("p"), F.coalesce("o", F.lit("")).alias("o"), "n")
     q = records.select(F.col(id_col).alias("_q"), F.size("triples").alias("_k"), F.posexplode("triples").alias("_i", "x")).select("_q", "_k", "_i", term(F.col("x"), 1).alias("p"), term(F.col("x"), 2).alias("o"))
+    # What each different pattern finds at each subject; an empty p or o is a variable. Once for all queries that have it.
+    kinds = q.select("p", "o", (F.col("p") != "").alias("_p"), (F.col("o") != "").alias("_o")).distinct()
+    found = None
+    for r in kinds.select("_p", "_o").distinct().collect():  # four at most
+        fixed = [c for c, known in (("p", r["_p"]), ("o", r["_o"])) if known]
+        wanted = kinds.where((F.col("_p") == F.lit(r["_p"])) & (F.col("_o") == F.lit(r["_o"]))).select(*fixed) if fixed else None
+        some = triples.join(wanted, fixed, "left_semi") if fixed else triples
+        n = some.groupBy("s", *fixed).agg(F.count("*").cast(_COUNT).alias("n"))
+        n = n.select("s", *[F.col(c) if c in fixed else F.lit("").alias(c) for c in ("p", "o")], "n")
+        found = n if found is None else found.unionByName(n)
+    if found is None:
+        return records.select(F.col(id_col), F.lit(None).cast("bigint").alias("y")).limit(0)
     often = found.groupBy("p", "o").agg(F.count("*").alias("w"))
     rarest = q.join(often, ["p", "o"]).groupBy("_q").agg(F.min_by(F.struct("p", "o"), F.struct("w", "_i")).alias("x")).select("_q", "x.p", "x.o")
     at = rarest.join(found.select("s", "p", "o"), ["p", "o"]).select("_q", "s")

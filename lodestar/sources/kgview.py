@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +37,31 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
+#: The folders of graphs that were written, by session and source.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; on one machine, where none is named, a local one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared:
+        return f"{shared}/lodestar-graph-{uuid.uuid4().hex}"
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="lodestar-graph-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}/graph"
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A set, as a store holds it. A filter on p reaches the one table that has it."""
-    return raw_triples(spark, sf_dir).distinct()
+    """A set, as a store holds it: written once in a session, by predicate, so that patterns read their predicate only."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = _folder(spark)
+        raw_triples(spark, sf_dir).distinct().repartition("p", F.pmod(F.xxhash64("s"), F.lit(8))).write.partitionBy("p").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema("s string, o string, o_is_iri boolean, p string").parquet(_WRITTEN[key]).select("s", "p", "o", "o_is_iri")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
