@@ -24,6 +24,8 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: whole texts are in it twice while it is worked on.
+BATCH = 2500
 #: What Python workers run with: large arrays go back to the system when they are freed.
 _MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 22), "MALLOC_ARENA_MAX": "2"}
 
@@ -37,6 +39,8 @@ def prepare(spark: SparkSession) -> None:
         of["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
     for k, v in _MEMORY.items():
         of.setdefault(k, v)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ from lodestar.llm.wordhash import bytes_of, groups
 #: How fast bits turn into certainty.
 SHARPNESS = 0.25
 #: Bytes that are parsed from their own start, bytes of texts side by side, and steps for which codes are laid out.
-LONGEST, GROUP, STRETCH = 1 << 12, 1 << 24, 128
+LONGEST, GROUP, STRETCH = 1 << 12, 1 << 23, 128
 #: In a table's entries: the phrases that a step ends lie above the next state.
 _SHIFT = 29
 _STATE = (1 << _SHIFT) - 1

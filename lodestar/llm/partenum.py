@@ -11,7 +11,7 @@ An empty subset says little. Large bands have t parts more, so that in t + 1 par
 one element at most: a set with at most t parts that have an empty subset need not sign for empty ones, and only one with
 more does. In small bands the signatures of a second, independent partition stand in the place of an empty subset.
 
-Equal sets are one class and sign once. Classes that share a signature form buckets. Buckets are compared in
+Equal texts, told by 128 bits of hash, are one class and sign once. Classes that share a signature form buckets. Buckets are compared in
 blocks by odd sketches: bit vectors in which every element flips one bit, so that two sets differ in at least as many
 elements as bits differ. What a sketch can't exclude is compared exactly; links then go to components. Of each
 bucket only the pairs of a spanning forest are compared at first, and where such a pair fails, all pairs of sets that
@@ -20,7 +20,6 @@ are still in different components. No link between different texts is lost, and
 
 from __future__ import annotations
 
-import hashlib
 import math
 from functools import reduce
 from itertools import groupby
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop, prepare, reclaim, release, written
+from lodestar.llm.common import prepare, reclaim, release, written
 from lodestar.llm.components import components
 from lodestar.llm.wordhash import NOT_SPACE, Words, bytes_of, groups, mix, runs
 
@@ -115,25 +114,23 @@ def sets_of(column: pa.Array, k: int):
             yield np.unique(runs(w.hash[a:b], n, k - n)) if n else np.zeros(0, np.uint64)
 
 
-def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _signed(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """texts: h, h2, null_id, doc_id, text. Those without words are left out."""
+
     def run(batches):
         release()
         bands = Bands(percent)
         for b in batches:
-            sets = list(sets_of(b.column(2), k))
+            sets = list(sets_of(b.column(4), k))
+            at = [i for i, s in enumerate(sets) if len(s)]
+            own = [c.take(pa.array(at, pa.int64())) for c in b.columns[:4]]
+            sets = [sets[i] for i in at]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([signatures(s, bands).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["doc_id", "h", "n", "digest", "signs", "sketch"],
+                [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([signatures(s, bands).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["h", "h2", "null_id", "doc_id", "n", "signs", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, digest binary, signs array<long>, sketch binary")
+    return texts.mapInArrow(run, "h long, h2 long, null_id boolean, doc_id long, n long, signs array<long>, sketch binary")
 
 
 def _folded(sketches: list[bytes]) -> np.ndarray:
@@ -276,32 +273,32 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_
     """doc_id, h, n_shingles, component, least_id and least_h for each row, h being the xxhash64 of its text: the texts' sets of
     k-word shingles (fewer words: all of them as one) are linked when their Jaccard similarity is at least percent.
     component is the same in all linked rows; least_id and least_h are the smallest id of the component and the
-    smallest h with it, a null id coming last. Null texts and those without words have 0 shingles, no component and
+    h of its text, a null id coming last. Null texts and those without words have 0 shingles, no component and
     their own id and h. Ids may name several texts and texts have several ids; repeated rows stay; other columns are not read.
     Signatures are dealt out in `rounds` parts, one after the other, which bounds the disk that they need."""
     spark = docs.sparkSession
     prepare(spark)
     text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    signed = written(_signed(texts, k, percent), "signed")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first")
-    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(first, F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a written table keeps these numbers
-    members = written(signed.select("doc_id", "h", "n", "digest"), "members")
-    drop(signed)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("h2"), text.alias("text"))
+    # Copies meet before they are shuffled; of each different text one row goes on, and signs are never shuffled whole.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id")).alias("first")
+    once = texts.where(F.col("text").isNotNull()).groupBy("h", "h2").agg(first, F.first("text").alias("text"))
+    signed = _signed(once.select("h", "h2", "first.null_id", "first.doc_id", "text"), k, percent)
+    signed = signed.select("h", "h2", F.struct("null_id", "doc_id", "h").alias("first"), "n", "signs", "sketch")
+    classes = written(signed.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a written table keeps these numbers
     reclaim(spark)
     buckets = reduce(DataFrame.union, [_buckets(classes, i, rounds) for i in range(rounds)])
     pairs = written(_in_blocks(buckets, classes).mapInArrow(_forest(percent), "a long, b long").distinct(), "pairs")
 
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = classes.select("rep", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(needed, "rep", "left_semi")
+    wanted = classes.select("rep", F.col("first.doc_id").alias("doc_id"), "h", "h2").join(needed, "rep", "left_semi")
 
     def as_sets(batches):
         release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), k)], pa.binary())], ["rep", "set"])
 
-    of = (texts["h"] == wanted["h"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
+    of = (texts["h"] == wanted["h"]) & (texts["h2"] == wanted["h2"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     sets = texts.join(wanted, of).select("rep", "text").mapInArrow(as_sets, "rep long, set binary")
     sets = written(sets.dropDuplicates(["rep"]), "sets")
 
@@ -323,11 +320,15 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_
     more = written(rest.mapInArrow(_exact(percent), "a long, b long"), "second")
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
-    label = classes.select("digest", "rep", "first").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "first")
+    label = classes.select("h", "h2", "n", "rep", "first").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "h2", "n", F.coalesce("component", "rep").alias("component"), "first")
     least = label.groupBy("component").agg(F.min("first").alias("first"))
     label = label.drop("first").join(least, "component")
     own = F.col("component").isNull()
-    return members.join(label, "digest", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "component", F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("least_id"), F.when(own, F.col("h")).otherwise(F.col("first.h")).alias("least_h"))
+    return (
+        texts.drop("text")
+        .join(label, ["h", "h2"], "left")
+        .select("doc_id", "h", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "component", F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("least_id"), F.when(own, F.col("h")).otherwise(F.col("first.h")).alias("least_h"))
+    )
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
