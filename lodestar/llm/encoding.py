@@ -312,3 +312,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_
             yield rows(*held, True)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TOKENS)
+
+
+def id_width(tokens: DataFrame) -> int:
+    """Bytes of each id in the rows that tokenize() wrote."""
+    r = tokens.where("n_tokens > 0").select((F.octet_length("ids") / F.col("n_tokens")).cast("int").alias("n")).first()
+    return r.n if r else 2

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import written
-from lodestar.llm.encoding import tokenize
+from lodestar.llm.encoding import id_width, tokenize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -29,10 +29,11 @@ def partition_bases(tokens: DataFrame) -> DataFrame:
     return tokens.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, bases, strict=False)], "part int, base long")
 
 
-def pack_tokens(tokens: DataFrame, seq_len: int = 2048, width: int = 2, with_ids: bool = False) -> DataFrame:
+def pack_tokens(tokens: DataFrame, seq_len: int = 2048, with_ids: bool = False) -> DataFrame:
     """Pieces of the rows that tokenize() wrote; tokens must be a written table, so that its rows and places
     are the same at each reading. Every sequence but the last is full, so none but the last is ever padded.
     with_ids adds the piece's ids as bytes. Repeated rows and equal ids give pieces of their own."""
+    width = id_width(tokens)
     placed = tokens.join(F.broadcast(partition_bases(tokens)), "part").select("doc_id", (F.col("base") + F.col("ahead")).alias("at"), "ids")
 
     def run(batches):
@@ -55,6 +56,6 @@ def pack_tokens(tokens: DataFrame, seq_len: int = 2048, width: int = 2, with_ids
     return placed.mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, seq_len: int = 2048, width: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, seq_len: int = 2048, with_ids: bool = False) -> DataFrame:
     """Tokenizes whole texts (null: empty), ends each with end_id, and packs them all. An empty table gives no pieces."""
-    return pack_tokens(written(tokenize(docs, path, end_id), "pack"), seq_len, width, with_ids)
+    return pack_tokens(written(tokenize(docs, path, end_id), "pack"), seq_len, with_ids)

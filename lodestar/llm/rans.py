@@ -6,8 +6,8 @@ The format is a folder with two tables.
            doc_tokens (whole documents, in order), states (LANES final coder states), words (the 32-bit
            stream), checkpoints (step, word, states) and crc32 of the ids as little-endian 32-bit integers.
 Id i of a block belongs to lane i % LANES; each lane has its own coder state and all lanes share one word
-stream. A block can be decoded alone, and from each of its checkpoints, so decoding is parallel over
-blocks and inside them. Parts ascend by document id; blocks and documents ascend inside a part.
+stream. A block can be decoded alone, and from each of its checkpoints, so decoding is parallel over blocks, and inside
+of a block over the stretches between its checkpoints. Parts ascend by document id; blocks and documents ascend inside a part.
 Blocks lie in Parquet so that Spark's writers and readers serve any file system, with its commit protocol.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import arrow, drop, new_path, prepare, resident, shuffle_parts, written
-from lodestar.llm.encoding import tokenize
+from lodestar.llm.encoding import id_width, tokenize
 
 SCALE, LANES, STEPS = 18, 2048, 128
 #: A block closes when it has so many ids; a longer document has a block of its own.
@@ -96,6 +96,33 @@ class Table:
             x[:m] = y
         return self.symbols[out]
 
+    def decode_block(self, n: int, states: bytes, words: bytes, marks: list[tuple[int, int, bytes]]) -> np.ndarray:
+        """All ids, from the start and all checkpoints at once: the stretches between checkpoints are worked off side by
+        side, each with its own states and place in the words."""
+        starts = [(0, 0, states), *marks]
+        steps, whole = marks[0][0] if marks else -(-n // LANES), n // LANES
+        k, mask, stream = np.uint64(self.scale), np.uint64((1 << self.scale) - 1), np.frombuffer(words, "<u4")
+        x = np.stack([np.frombuffer(s, "<u8") for _, _, s in starts]).astype(np.uint64)
+        at = [w for _, w, _ in starts]
+        out = np.empty((len(starts), steps, LANES), self.slot.dtype)
+        for t in range(steps):
+            rows = len(starts) if starts[-1][0] + t < whole else len(starts) - 1  # only the last stretch may be shorter
+            if not rows:
+                break
+            y = x[:rows]
+            low = y & mask
+            out[:rows, t] = s = self.slot[low]
+            y = self.freq[s] * (y >> k) + low - self.start[s]
+            need = y < LOW
+            count = np.count_nonzero(need, axis=1).tolist()
+            y[need] = (y[need] << np.uint64(32)) | np.concatenate([stream[a : a + r] for a, r in zip(at, count, strict=False)])
+            at[:rows] = [a + r for a, r in zip(at, count, strict=False)]
+            x[:rows] = y
+        rest = n - whole * LANES
+        if rest:
+            out[-1, whole - starts[-1][0], :rest] = self.slot[x[-1, :rest] & mask]
+        return self.symbols[out.reshape(-1)[:n]]
+
 
 def _table(symbols: bytes, freq: bytes) -> Table:
     return resident(("table", symbols, freq), lambda: Table(np.frombuffer(symbols, "<u4"), np.frombuffer(freq, "<u8")))
@@ -121,10 +148,10 @@ def count_symbols(tokens: DataFrame) -> dict[int, int]:
     return {r.symbol: r.n for r in rows}
 
 
-def write_blocks(tokens: DataFrame, path: str, width: int, parts: int | None = None) -> None:
+def write_blocks(tokens: DataFrame, path: str, parts: int | None = None) -> None:
     """Writes the rows of tokenize(), a written table, in ascending order of doc_id; rows of one doc_id in the
     order in which they lie in tokens. Extra: nothing is dropped, an empty table gives an empty folder."""
-    spark = tokens.sparkSession
+    spark, width = tokens.sparkSession, id_width(tokens)
     symbols, freq = scaled(count_symbols(tokens))
     spark.createDataFrame(list(zip(symbols, freq, strict=True)), "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
     keys = _packed((symbols, freq))
@@ -176,7 +203,8 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         t = _table(*keys)
         for b in batches:
             for r in b.to_pylist():
-                ids = t.decode(r["n_tokens"], r["states"], r["words"]) if r["n_tokens"] else np.zeros(0, np.uint32)
+                marks = [(m["step"], m["word"], m["states"]) for m in r["checkpoints"]]
+                ids = t.decode_block(r["n_tokens"], r["states"], r["words"], marks) if r["n_tokens"] else np.zeros(0, np.uint32)
                 raw = ids.astype("<u4").tobytes()
                 if zlib.crc32(raw) != r["crc32"]:
                     raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
@@ -186,15 +214,14 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(at + r["first"] + r["base"]), pa.array(n), pa.array([zlib.crc32(x) for x in whole], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(whole, pa.binary())] * with_ids], ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    cols = ["part", "block", "first", "n_tokens", "doc_ids", "doc_tokens", "states", "words", "crc32"]
-    return blocks.select(*cols).join(F.broadcast(starts), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return blocks.join(F.broadcast(starts), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, width: int = 2) -> str:
+def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> str:
     """Tokenizes whole texts (null: empty), ends each with end_id and writes the file format; its path."""
     spark = docs.sparkSession
     path = path or new_path(spark, "rans")
     tokens = written(tokenize(docs, tokenizer, end_id), "ids")
-    write_blocks(tokens, path, width)
+    write_blocks(tokens, path)
     drop(tokens)
     return path

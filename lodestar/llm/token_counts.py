@@ -36,7 +36,7 @@ def parts_of(text: str, limit: int) -> list[str]:
 
 
 def lengths(model, texts: list[str], batch_bytes: int, part_chars: int) -> np.ndarray:
-    """Tokens of each text; each call of the library gets about batch_bytes."""
+    """Tokens of each text; each call of the library gets about batch_bytes of UTF-8."""
     total = np.zeros(len(texts), np.int64)
     batch: list[str] = []
     owner: list[int] = []
@@ -52,7 +52,7 @@ def lengths(model, texts: list[str], batch_bytes: int, part_chars: int) -> np.nd
         for p in parts_of(t, part_chars):
             batch.append(p)
             owner.append(i)
-            held += len(p)
+            held += len(p) if p.isascii() else len(p.encode())
             if held >= batch_bytes:
                 flush()
                 held = 0

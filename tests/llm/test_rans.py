@@ -28,10 +28,20 @@ def test_decoding_from_checkpoints_and_size():
     assert [m[0] for m in marks] == [STEPS, 2 * STEPS, 3 * STEPS]
     for step, word, s in marks:
         assert (t.decode(len(ids), s, words, step, word) == ids[step * LANES :]).all()
+    assert (t.decode_block(len(ids), states, words, marks) == ids).all()
     entropy = -(n * np.log2(n / n.sum())).sum() / 8
     assert len(words) < 1.02 * entropy + 8 * LANES
 
 
+@pytest.mark.parametrize("n", [1, 5, LANES - 1, LANES, LANES * STEPS, LANES * STEPS + 1, LANES * (STEPS + 1), LANES * STEPS * 2 - 3, LANES * STEPS * 2])
+def test_stretches_between_checkpoints(n):
+    ids = np.random.default_rng(n).integers(0, 70_000, n).astype(np.uint32)
+    sym, c = np.unique(ids, return_counts=True)
+    t = Table(*scaled(dict(zip(sym.tolist(), c.tolist(), strict=True))))
+    states, words, marks = t.encode(ids)
+    assert (t.decode_block(n, states, words, marks) == ids).all() and (t.decode(n, states, words) == ids).all()
+
+
 def test_frequencies():
     s, f = scaled({5: 1, 9: 10**12, 7: 3})
     assert s == [5, 7, 9] and sum(f) == 1 << rans.SCALE and min(f) >= 1
