@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None, cte: bool = True):
 
 
 def _count(df: DataFrame) -> DataFrame:
-    return df.select(F.col("y").cast("bigint").alias("y"))
+    return df.withColumn("y", F.col("y").cast("bigint"))
 
 
 def _tr(spark, d):
@@ -205,6 +205,12 @@ def star_symmetry_broken(spark, d):
     return sparql.run(_tr(spark, d), "SELECT (COUNT(*) AS ?y) WHERE { ?s <urn:p/part> ?a . ?s <urn:p/part> ?b . FILTER (?a < ?b) }")
 
 
+@register("sparql_from_graph", "SELECT s, o FROM tr WHERE p = 'urn:p/nation' AND s LIKE 'urn:supp/%'")
+def sparql_from_graph(spark, d):
+    named = _tr(spark, d).withColumn("g", F.regexp_extract("s", "^(urn:[a-z]+)/", 1))
+    return sparql.run(named, "SELECT ?s ?o FROM <urn:supp> WHERE { ?s <urn:p/nation> ?o }")
+
+
 @register("path_exists_k", "SELECT count(*) > 0 AS boolean FROM ed a JOIN ed b ON a.o = b.s WHERE a.s <> a.o AND a.s <> b.o AND a.o <> b.o")
 def path_exists_k(spark, d):
     return sparql.run(kgview.edges(spark, d), "ASK WHERE { ?o0 ?p1 ?o1 . ?o1 ?p2 ?o2 . FILTER (?o0 != ?o1 && ?o0 != ?o2 && ?o1 != ?o2) }")
@@ -407,14 +413,14 @@ SELECT i AS start, '?s <' || p1 || '> ?o0 . ?s <' || p2 || '> ?o1' AS query, cas
 def combination_stars(spark, d):
     """Templates from predicate combinations, drawn with replacement, and their solutions."""
     r = sampling.combination_stars(kgview.triples(spark, d), 2, 50, 8, 0)
-    counts = bgp.count_stars(_tr(spark, d), r.select("start", "triples"), "start")
+    counts = _count(bgp.count_stars(_tr(spark, d), r.select("start", "triples"), "start"))
     return r.drop("y").join(counts, "start").select("start", F.regexp_extract("query", r"\{ (.*) \}", 1).alias("query"), "y")
 
 
 @register("seeded_path_queries", f"SELECT replace(x.preds, '|', ' ') AS start, count(*) AS y FROM ({_EXTEND}) x JOIN tr a ON a.p = split_part(x.preds, '|', 1) JOIN tr b ON b.s = a.o AND b.p = split_part(x.preds, '|', 2) JOIN tr c ON c.s = b.o AND c.p = split_part(x.preds, '|', 3) GROUP BY x.preds")
 def seeded_path_queries(spark, d):
     r = sampling.seeded_path_queries(kgview.edges(spark, d), 2, 1, 5, 3, seed=2, p_start_end=0.0)
-    return bgp.count_batch(_tr(spark, d), r.select("start", "triples"), "start")
+    return _count(bgp.count_batch(_tr(spark, d), r.select("start", "triples"), "start"))
 
 
 # Canonical forms
@@ -471,7 +477,7 @@ UNION ALL SELECT 2, count(*) FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = 'urn:p
 UNION ALL SELECT 3, 0""",
 )
 def batched_star_counts(spark, d):
-    return bgp.count_stars(_tr(spark, d), _q(spark, _STAR_BATCH))
+    return _count(bgp.count_stars(_tr(spark, d), _q(spark, _STAR_BATCH)))
 
 
 _PATH_BATCH = [
@@ -490,7 +496,7 @@ UNION ALL SELECT 2, count(*) FROM tr a JOIN tr b ON a.o = b.s WHERE b.p = 'urn:p
 UNION ALL SELECT 3, count(*) FROM tr x JOIN tr y ON x.o = y.s JOIN tr z ON y.o = z.s AND z.o = x.s WHERE x.p = '{BUYS}' AND y.p = '{BUYS}' AND z.p = '{BUYS}'""",
 )
 def batched_path_counts(spark, d):
-    return bgp.count_batch(_tr(spark, d), _q(spark, _PATH_BATCH))
+    return _count(bgp.count_batch(_tr(spark, d), _q(spark, _PATH_BATCH)))
 
 
 _STAR_COUNTS = f"""{_STAR_RECORDS}, first AS (SELECT min(source_subject) AS q FROM rec GROUP BY key),
@@ -505,7 +511,7 @@ SELECT q AS source_subject, cast(sum(y) AS bigint) AS y FROM (SELECT q, s, max(n
 def sampled_star_counts(spark, d):
     """The cardinality of every different sampled query."""
     r = dedup.first_of_each(_star_records(spark, d).select("source_subject", "triples", dedup.dedup_key("triples").alias("key")), "key", "source_subject")
-    return bgp.count_stars(_tr(spark, d), r.select("source_subject", "triples"), "source_subject")
+    return _count(bgp.count_stars(_tr(spark, d), r.select("source_subject", "triples"), "source_subject"))
 
 
 # Records

@@ -122,10 +122,12 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
 
 
 def with_counts(triples: DataFrame, records: DataFrame, key: str = "key", stars: bool = False) -> DataFrame:
-    """Records with y worked out for all of them together. stars: each is a star whose variables all differ."""
+    """Records with y worked out for all of them together; -1 where it is beyond 64 bits. stars: each is a star whose variables
+    all differ."""
     of = records.select(F.col(key).alias("qid"), "triples")
     counts = count_stars(triples, of) if stars else count_batch(triples, of)
-    return records.drop("y").join(counts.withColumnRenamed("qid", key), key)
+    counts = counts.select(F.col("qid").alias(key), F.coalesce(F.col("y").try_cast("bigint"), F.lit(-1)).alias("y"))
+    return records.drop("y").join(counts, key)
 
 
 def within(df: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame]) -> DataFrame | None:

@@ -128,7 +128,7 @@ def all_different(names: list[str]) -> Column:
 
 
 def count_batch(triples: DataFrame, records: DataFrame, id_col: str = "qid", same_subject: bool = False) -> DataFrame:
-    """id_col, y (bigint): exact counts of many queries in one job for each topology. records: an id and `triples`, an
+    """id_col, y (decimal(38,0)): exact counts of many queries in one job for each topology. records: an id and `triples`, an
     array of [s, p, o]. Queries that are alike but for their constants are joined together; constants are columns.
     same_subject: the queries are stars, so that the order of patterns doesn't matter. The number of topologies, not of
     queries, is what reaches the driver."""
@@ -162,12 +162,12 @@ def count_batch(triples: DataFrame, records: DataFrame, id_col: str = "qid", sam
             out = (out.join(c, "_q", "left") if "_q" in c.columns else out.crossJoin(F.broadcast(c))).withColumn("y", (F.coalesce("z", F.lit(0)).cast(_COUNT) * (F.col("y") if "y" in out.columns else F.lit(1).cast(_COUNT))).cast(_COUNT)).drop("z")
         parts.append(out)
     if not parts:
-        return records.select(F.col(id_col), F.lit(None).cast("bigint").alias("y")).limit(0)
-    return reduce(DataFrame.unionByName, parts).select(F.col("_q").alias(id_col), F.col("y").cast("bigint").alias("y"))
+        return records.select(F.col(id_col), F.lit(None).cast(_COUNT).alias("y")).limit(0)
+    return reduce(DataFrame.unionByName, parts).select(F.col("_q").alias(id_col), "y")
 
 
 def count_stars(triples: DataFrame, records: DataFrame, id_col: str = "qid") -> DataFrame:
-    """id_col, y (bigint): exact counts of many stars whose variables all differ, whatever their topologies. A star is
+    """id_col, y (decimal(38,0)): exact counts of many stars whose variables all differ, whatever their topologies. A star is
     tried only at the subjects of its rarest pattern, so the work grows with the matches of that one."""
     term = lambda x, i: F.when(F.get(x, F.lit(i)).startswith("?"), "").otherwise(F.regexp_replace(F.get(x, F.lit(i)), "^<(.*)>$", "$1"))
     q = records.select(F.col(id_col).alias("_q"), F.size("triples").alias("_k"), F.posexplode("triples").alias("_i", "x")).select("_q", "_k", "_i", term(F.col("x"), 1).alias("p"), term(F.col("x"), 2).alias("o"))
@@ -182,13 +182,13 @@ def count_stars(triples: DataFrame, records: DataFrame, id_col: str = "qid") ->
         n = n.select("s", *[F.col(c) if c in fixed else F.lit("").alias(c) for c in ("p", "o")], "n")
         found = n if found is None else found.unionByName(n)
     if found is None:
-        return records.select(F.col(id_col), F.lit(None).cast("bigint").alias("y")).limit(0)
+        return records.select(F.col(id_col), F.lit(None).cast(_COUNT).alias("y")).limit(0)
     often = found.groupBy("p", "o").agg(F.count("*").alias("w"))
     rarest = q.join(often, ["p", "o"]).groupBy("_q").agg(F.min_by(F.struct("p", "o"), F.struct("w", "_i")).alias("x")).select("_q", "x.p", "x.o")
     at = rarest.join(found.select("s", "p", "o"), ["p", "o"]).select("_q", "s")
     each = at.join(q, "_q").join(found, ["s", "p", "o"]).groupBy("_q", "s", "_k").agg(F.collect_list("n").alias("n")).where(F.size("n") == F.col("_k"))
     y = each.groupBy("_q").agg(F.sum(F.aggregate("n", F.lit(1).cast(_COUNT), lambda a, b: (a * b).cast(_COUNT))).cast(_COUNT).alias("y"))
-    return records.select(F.col(id_col).alias("_q")).join(y, "_q", "left").select(F.col("_q").alias(id_col), F.coalesce("y", F.lit(0)).cast("bigint").alias("y"))
+    return records.select(F.col(id_col).alias("_q")).join(y, "_q", "left").select(F.col("_q").alias(id_col), F.coalesce("y", F.lit(0)).cast(_COUNT).alias("y"))
 
 
 def _parts(rows: list[tuple[set[str], DataFrame]]) -> list[list[tuple[set[str], DataFrame]]]:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestar.config import Config, run, run_all_shapes, run_batch
-from lodestar.operators import dedup, graph, records, sampling
+from lodestar.operators import dedup, graph, passes, records, sampling
 from lodestar.operators.dedup import brute_canonical, canonical, hash_key_of, wl_key_of
 from lodestar.plans import bgp, sparql
 from lodestar.plans.shapes import SHAPES, parse_shape, plan
@@ -243,8 +243,6 @@ def test_stars_beyond_the_fortieth_are_counted(spark):
 def test_places_and_streaks_over_ranges(spark):
     from pyspark.sql import functions as F
 
-    from lodestar.operators import passes
-
     rows = [(f"k{i:04d}", 40 < i < 700 or i % 7 in (2, 3)) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, d boolean").repartition(5)
     out = passes.duplicate_streak(df, F.col("d"), F.col("k"))
@@ -308,11 +306,19 @@ def test_more_kinds_of_runs(spark, tmp_path):
     assert main(["check-keys"]) == 0
 
 
+def test_large_counts(spark):
+    """A count beyond 64 bits neither fails nor takes the others along."""
+    tr = spark.createDataFrame([("s", "p", f"o{i}") for i in range(3000)], "s string, p string, o string")
+    rows = [("big", [["?s", "<p>", f"?o{i}"] for i in range(7)], -1), ("small", [["?s", "<p>", "<o1>"]], -1)]
+    r = spark.createDataFrame(rows, "key string, triples array<array<string>>, y bigint")
+    assert {x.qid: int(x.y) for x in bgp.count_stars(tr, r.withColumnRenamed("key", "qid")).collect()} == {"big": 3000**7, "small": 1}
+    for stars in (True, False):
+        assert {x.key: x.y for x in passes.with_counts(tr, r, stars=stars).collect()} == {"big": -1, "small": 1}
+
+
 def test_slow_runs_stop(spark):
     import time
 
-    from lodestar.operators import passes
-
     def slow(n):
         time.sleep(1)
         return spark.createDataFrame([(f"s{i}", [["?s", f"<p{n}-{i}>", "?o"]]) for i in range(6)], "start string, triples array<array<string>>")
