@@ -340,7 +340,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one of each group of linked ones stays: that with the smallest id, of these that whose
     text has the smallest hash, and of rows that are alike in both one. Rows without words stay, all of them. Rows
-    are told by id and text; texts of documents that have no repeated rows are not shuffled for that."""
+    are told by id and text."""
     found = similar(docs, k, percent, rounds, id_col, text_col).where("component is not null")
     rows = found.groupBy(F.col("doc_id").alias("id__"), F.col("h").alias("h__")).agg(F.count("*").alias("many__"), F.first("least_id").alias("id2__"), F.first("least_h").alias("h2__"))
     stays = F.col("id__").eqNullSafe(F.col("id2__")) & (F.col("h__") == F.col("h2__"))

@@ -89,7 +89,7 @@ def test_run(spark):
     single = {d: t for d, t in rows.items() if d not in sets or find(d) == d}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(small + "/benchmark.parquet").collect()]
     want = {d for d, _, hit, *_ in brute_force(list(single.items()), bench) if not hit}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, small).collect()} == want and len(want) < len(single) < len(rows) < len(kept)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, small).collect()} == want and len(want) < len(single) < len(rows) <= len(kept)
 
 
 def test_foreign_texts_go(spark):
