@@ -96,9 +96,9 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of elements by hash; a power of two of bits, at least 512 and about two for each element."""
+    """Parities of elements by hash; a power of two of bits, at least 512 and one for each element."""
     bits = 512
-    while bits < 2 * len(s):
+    while bits < len(s):
         bits *= 2
     odd = np.bincount((mix(s + np.uint64(5)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -260,16 +260,19 @@ def _in_blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, i: int, rounds: int) -> DataFrame:
-    """Classes with a signature that others have too, for a share of all signatures. sign, m, rep, comp."""
+    """Classes with a signature that others have too, for a share of all signatures. sign, m, rep, comp. Near copies share
+    most of their signatures, so of signatures that the very same classes have, told by their number and 128 bits
+    of hash, one stands for all."""
     own = F.filter("signs", lambda x: F.pmod(x, F.lit(rounds)) == i) if rounds > 1 else F.col("signs")
     signs = classes.select(F.explode(own).alias("sign"), "rep")
-    shared = signs.groupBy("sign").agg(F.count("*").alias("m")).where("m > 1")
-    out = written(signs.join(shared, "sign").select("sign", "m", "rep", F.col("rep").alias("comp")), "buckets")
+    shared = signs.groupBy("sign").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "rep")).alias("y")).where("m > 1")
+    one = shared.groupBy("m", "x", "y").agg(F.min("sign").alias("sign")).select("sign", "m")
+    out = written(signs.join(one, "sign").select("sign", "m", "rep", F.col("rep").alias("comp")), "buckets")
     reclaim(classes.sparkSession)
     return out
 
 
-def similar(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, n_shingles, component, least_id and least_h for each row, h being the xxhash64 of its text: the texts' sets of
     k-word shingles (fewer words: all of them as one) are linked when their Jaccard similarity is at least percent.
     component is the same in all linked rows; least_id and least_h are the smallest id of the component and the
@@ -331,13 +334,13 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_
     )
 
 
-def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id among the linked rows, for each row of similar(). It is null where
     no linked row has an id. Repeated rows are linked, as are equal texts."""
     return similar(docs, k, percent, rounds, id_col, text_col).select("doc_id", "n_shingles", F.col("least_id").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one of each group of linked ones stays: that with the smallest id, of these that whose
     text has the smallest hash, and of rows that are alike in both one. Rows without words stay, all of them. Rows
     are told by id and text."""
