@@ -10,6 +10,7 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -78,9 +79,11 @@ def drop(df: DataFrame) -> None:
 
 
 def reclaim(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of what is no longer referenced; a second round finds what the first let go."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 _RESIDENT: dict = {}

@@ -41,18 +41,30 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     def run(batches):
         release()
         part, k = TaskContext.get().partitionId(), 0
+
+        def chunk(t: pa.Table, offsets: np.ndarray, data: np.ndarray, lo: int, hi: int) -> pa.RecordBatch:
+            nonlocal k
+            w = Words(data, offsets[lo : hi + 1], NOT_SPACE)
+            words, n = np.unique(np.append(w.hash, (END, START)), return_inverse=True)
+            end, numbers = n[-2], n[:-2].astype(np.uint32)
+            tokens = np.insert(numbers, w.first[1:], end)
+            ids, held = t.column(0).slice(lo, hi - lo).to_pylist(), t.column(2).slice(lo, hi - lo).to_pylist()
+            raw = "\n".join("" if x is None else str(x) for x in ids).encode()
+            row = [(part << 32) | k, raw, np.array(held, bool).tobytes(), (w.counts + 1).astype("<i8").tobytes(), words.tobytes(), tokens.astype("<u4").tobytes()]
+            k += 1
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(row)], [x.split()[0] for x in CHUNKS.split(", ")])
+
+        rest = None  # what doesn't fill a chunk yet
         for b in batches:
-            data, offsets = bytes_of(b.column(1))
-            ids, held = b.column(0).to_pylist(), np.asarray(b.column(2).fill_null(False))
-            for lo, hi in groups(offsets, chunk_bytes):
-                w = Words(data, offsets[lo : hi + 1], NOT_SPACE)
-                words, n = np.unique(np.append(w.hash, (END, START)), return_inverse=True)
-                end, numbers = n[-2], n[:-2].astype(np.uint32)
-                tokens = np.insert(numbers, w.first[1:], end)
-                raw = "\n".join("" if x is None else str(x) for x in ids[lo:hi]).encode()
-                row = [(part << 32) | k, raw, held[lo:hi].tobytes(), (w.counts + 1).astype("<i8").tobytes(), words.tobytes(), tokens.astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(row)], [x.split()[0] for x in CHUNKS.split(", ")])
-                k += 1
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            data, offsets = bytes_of(t.column(1).combine_chunks())
+            of = list(groups(offsets, chunk_bytes))
+            for lo, hi in of[:-1]:
+                yield chunk(t, offsets, data, lo, hi)
+            rest = t.slice(of[-1][0]) if of else None
+        if rest is not None and rest.num_rows:
+            data, offsets = bytes_of(rest.column(1).combine_chunks())
+            yield chunk(rest, offsets, data, 0, rest.num_rows)
 
     return docs.mapInArrow(run, CHUNKS)
 
