@@ -22,7 +22,7 @@ Pattern = tuple[str, str, str]
 def hash_key(triples: Column | str) -> Column:
     """Of an array of [s, p, o]."""
     part = lambda t: F.concat(F.get(t, F.lit(1)), F.lit("="), F.when(F.get(t, F.lit(2)).startswith("?"), "?").otherwise(F.get(t, F.lit(2))))
-    return F.md5(F.array_join(F.array_sort(F.transform(triples, part)), "|"))
+    return F.md5(F.array_join(F.sort_array(F.transform(triples, part)), "|"))
 
 
 def hash_key_of(triples: list[Pattern]) -> str:

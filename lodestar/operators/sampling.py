@@ -60,7 +60,7 @@ def star_queries(raw: DataFrame, n: int, seed=0, pass_no: int = 0, min_objects:
     g = d.groupBy(F.col("s").alias("source_subject"), "star_size", F.col("k").cast("bigint").alias("n_objects_instantiated")).agg(F.array_sort(F.collect_list(row)).alias("r"))
     pick = lambda test, get: F.transform(F.filter("r", test), get)
     triples = F.transform("r", lambda x: x["t"])
-    parts = F.array_sort(F.transform("r", lambda x: F.concat(x["p"], F.lit("="), F.when(x["bound"], x["o"]).otherwise("?"))))
+    parts = F.sort_array(F.transform("r", lambda x: F.concat(x["p"], F.lit("="), F.when(x["bound"], x["o"]).otherwise("?"))))
     return g.select(
         query_text(triples, graph).alias("query"),
         triples.alias("triples"),
