@@ -75,7 +75,13 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+def op12_exact_dedup(spark, sf_dir):
+    from lodestar.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(sf_dir, "documents", spark))
+
+
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "op12_exact_dedup": op12_exact_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,5 +114,10 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids F
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+_OP12 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS x FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id)
+"""
 #: The other operators learn models or call tokenizers, which SQL can't; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": _OP4, "op9_decontamination": _OP9}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": _OP4, "op9_decontamination": _OP9, "op12_exact_dedup": _OP12}
