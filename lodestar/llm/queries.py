@@ -75,13 +75,19 @@ def op10_packing(spark, sf_dir):
     return pack(table(sf_dir, "documents", spark), _vocabulary("byte_bpe_50k.json"), end_id=1, seq_len=2048)
 
 
+def op11_importance_resampling(spark, sf_dir):
+    from lodestar.llm.resampling import resample
+
+    return resample(table(sf_dir, "documents", spark), table(sf_dir, "benchmark", spark), percent=5, min_words=20, seed=42)
+
+
 def op12_exact_dedup(spark, sf_dir):
     from lodestar.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(table(sf_dir, "documents", spark))
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "op12_exact_dedup": op12_exact_dedup}
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "op11_importance_resampling": op11_importance_resampling, "op12_exact_dedup": op12_exact_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
