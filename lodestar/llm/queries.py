@@ -87,7 +87,13 @@ def op12_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(sf_dir, "documents", spark))
 
 
-QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "op11_importance_resampling": op11_importance_resampling, "op12_exact_dedup": op12_exact_dedup}
+def op13_lexical_search(spark, sf_dir):
+    from lodestar.llm.lexical import build, search
+
+    return search(build(table(sf_dir, "documents", spark)), table(sf_dir, "benchmark", spark), k=50)
+
+
+QUERIES = {"op1_binary_output": op1_binary_output, "op2_html_extraction": op2_html_extraction, "op3_toxicity": op3_toxicity, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "op11_importance_resampling": op11_importance_resampling, "op12_exact_dedup": op12_exact_dedup, "op13_lexical_search": op13_lexical_search}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -120,10 +126,36 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids F
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+_OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+b AS (SELECT {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark),
+f AS MATERIALIZED (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, range(1, 4) t(k) WHERE len(w) >= k)),
+g AS MATERIALIZED (SELECT array_to_string(w[i:i + k - 1], ' ') AS x FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b, range(1, 4) t(k) WHERE len(w) >= k)),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+u AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM g)),
+crc AS MATERIALIZED (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS bigint))), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM u, tab),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN crc USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM g JOIN crc USING (x) GROUP BY bucket),
+gain AS (SELECT bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((SELECT count(*) FROM f) + 10000)::double / ((s.n + 1)::double * ((SELECT count(*) FROM g) + 10000)::double))) AS bigint) AS gain FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT doc_id, count(*) AS n_features, cast(sum(gain) AS bigint) AS weight FROM f JOIN crc USING (x) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || doc_id), 1, 8) AS bigint) + 0.5::double) / 4294967296::double))) AS bigint) AS score FROM d LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
 _OP12 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS x FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id)
 """
+_OP13 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_words(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")} AS w FROM documents),
+z AS (SELECT count(*) AS n, sum(len(w))::bigint AS l FROM d WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT doc_id, x, len(w) AS n, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS x FROM d) GROUP BY ALL),
+v AS (SELECT x, cast(floor(1000 * ln((2 * z.n + 2)::double / (2 * count(*) + 1)::double)) AS bigint) AS w FROM p, z GROUP BY x, z.n),
+i AS (SELECT DISTINCT item_id, unnest({_words(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")}) AS x FROM benchmark),
+s AS (SELECT item_id, doc_id, cast(sum(v.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * z.n) // z.l)))) AS bigint) AS score FROM i JOIN v USING (x) JOIN p USING (x), z GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
 #: The other operators learn models or call tokenizers, which SQL can't; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": _OP4, "op9_decontamination": _OP9, "op12_exact_dedup": _OP12}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": _OP4, "op9_decontamination": _OP9, "op11_importance_resampling": _OP11, "op12_exact_dedup": _OP12, "op13_lexical_search": _OP13}
