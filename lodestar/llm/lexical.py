@@ -28,8 +28,8 @@ from lodestar.llm.wordhash import ALPHANUMERIC, Words, bytes_of, groups
 CLUSTER = 256
 #: Stands for a null id; it comes after all others.
 NO_ID = (1 << 63) - 1
-#: Postings of a shard, and documents of the sample, at about.
-SHARD, SAMPLE = 500_000, 4000
+#: Postings of a shard, and documents of the sample, at about. A shard has REPEATS times as many words at about.
+SHARD, SAMPLE, REPEATS = 500_000, 4000, 4
 #: Cuts of the sample, and the fewest documents of it in a leaf.
 DEPTH, LEAF = 5, 32
 GROUP = 1 << 20
@@ -106,7 +106,7 @@ def _cluster_rows(shard: int, ids: np.ndarray, column: pa.Array, n_docs: int, n_
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, sample: int = SAMPLE, cluster: int = CLUSTER) -> Index:
     """The index of all rows of docs, written to the shared folder. The tree is fitted on a bounded sample; every leaf is cut
-    into as many shards as its postings need, by a hash of id and text, so that neither a hot topic nor a group of copies
+    into as many shards as its postings and words need, by a hash of id and text, so that neither a hot topic nor a group of copies
     makes a large one. Texts cross the cluster once. Null texts have no terms."""
     spark = docs.sparkSession
     prepare(spark)
@@ -130,7 +130,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     n_docs, n_terms = sum(r.docs for r in found), sum(r.terms for r in found)
     count = np.ones(1 << DEPTH, np.int64)
     for r in found:
-        count[r.leaf] = max(1, -(-r.postings // shard))
+        count[r.leaf] = max(1, -(-r.postings // shard), -(-r.terms // (REPEATS * shard)))
     base = np.cumsum(count) - count
 
     def deal(batches):
