@@ -413,14 +413,14 @@ SELECT i AS start, '?s <' || p1 || '> ?o0 . ?s <' || p2 || '> ?o1' AS query, cas
 def combination_stars(spark, d):
     """Templates from predicate combinations, drawn with replacement, and their solutions."""
     r = sampling.combination_stars(kgview.triples(spark, d), 2, 50, 8, 0)
-    counts = _count(bgp.count_stars(_tr(spark, d), r.select("start", "triples"), "start"))
+    counts = _count(bgp.count_batch(kgview.graph(spark, d), r.select("start", "triples"), "start"))
     return r.drop("y").join(counts, "start").select("start", F.regexp_extract("query", r"\{ (.*) \}", 1).alias("query"), "y")
 
 
 @register("seeded_path_queries", f"SELECT replace(x.preds, '|', ' ') AS start, count(*) AS y FROM ({_EXTEND}) x JOIN tr a ON a.p = split_part(x.preds, '|', 1) JOIN tr b ON b.s = a.o AND b.p = split_part(x.preds, '|', 2) JOIN tr c ON c.s = b.o AND c.p = split_part(x.preds, '|', 3) GROUP BY x.preds")
 def seeded_path_queries(spark, d):
     r = sampling.seeded_path_queries(kgview.edges(spark, d), 2, 1, 5, 3, seed=2, p_start_end=0.0)
-    return _count(bgp.count_batch(_tr(spark, d), r.select("start", "triples"), "start"))
+    return _count(bgp.count_batch(kgview.graph(spark, d), r.select("start", "triples"), "start"))
 
 
 # Canonical forms
@@ -477,7 +477,7 @@ UNION ALL SELECT 2, count(*) FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = 'urn:p
 UNION ALL SELECT 3, 0""",
 )
 def batched_star_counts(spark, d):
-    return _count(bgp.count_stars(_tr(spark, d), _q(spark, _STAR_BATCH)))
+    return _count(bgp.count_batch(kgview.graph(spark, d), _q(spark, _STAR_BATCH)))
 
 
 _PATH_BATCH = [
@@ -496,7 +496,7 @@ UNION ALL SELECT 2, count(*) FROM tr a JOIN tr b ON a.o = b.s WHERE b.p = 'urn:p
 UNION ALL SELECT 3, count(*) FROM tr x JOIN tr y ON x.o = y.s JOIN tr z ON y.o = z.s AND z.o = x.s WHERE x.p = '{BUYS}' AND y.p = '{BUYS}' AND z.p = '{BUYS}'""",
 )
 def batched_path_counts(spark, d):
-    return _count(bgp.count_batch(_tr(spark, d), _q(spark, _PATH_BATCH)))
+    return _count(bgp.count_batch(kgview.graph(spark, d), _q(spark, _PATH_BATCH)))
 
 
 _STAR_COUNTS = f"""{_STAR_RECORDS}, first AS (SELECT min(source_subject) AS q FROM rec GROUP BY key),
@@ -511,7 +511,26 @@ SELECT q AS source_subject, cast(sum(y) AS bigint) AS y FROM (SELECT q, s, max(n
 def sampled_star_counts(spark, d):
     """The cardinality of every different sampled query."""
     r = dedup.first_of_each(_star_records(spark, d).select("source_subject", "triples", dedup.dedup_key("triples").alias("key")), "key", "source_subject")
-    return _count(bgp.count_stars(_tr(spark, d), r.select("source_subject", "triples"), "source_subject"))
+    return _count(bgp.count_batch(kgview.graph(spark, d), r.select("source_subject", "triples"), "source_subject"))
+
+
+_PATH_COUNTS = f"""q AS (SELECT n0 AS start, CASE WHEN {uniform_sql("'4'", "'0'", "n0", "'s'")} < 0.3 THEN n0 ELSE '' END AS c0, CASE WHEN {uniform_sql("'4'", "'0'", "n0", "'p'", "0")} < 0.9 THEN p0 ELSE '' END AS q0,
+CASE WHEN {uniform_sql("'4'", "'0'", "n0", "'p'", "1")} < 0.9 THEN p1 ELSE '' END AS q1, CASE WHEN {uniform_sql("'4'", "'0'", "n0", "'e'")} < 0.3 THEN n2 ELSE '' END AS c2
+FROM (SELECT *, row_number() OVER (PARTITION BY n0 ORDER BY {order_sql("'4|0|dfs'", "n0", "n0", "p0", "n1")}, {order_sql("'4|0|dfs'", "n0", "n1", "p1", "n2")}) AS k FROM ({_PATH2})) WHERE k = 1),
+dq AS (SELECT DISTINCT c0, q0, q1, c2 FROM q),
+f AS (SELECT o AS v, coalesce(s, '') AS c0, coalesce(p, '') AS q0, count(*)::hugeint AS n FROM tr GROUP BY GROUPING SETS ((o, s, p), (o, s), (o, p), (o))),
+g AS (SELECT s AS v, coalesce(p, '') AS q1, coalesce(o, '') AS c2, count(*)::hugeint AS n FROM tr GROUP BY GROUPING SETS ((s, p, o), (s, p), (s, o), (s))),
+y AS (SELECT c0, q0, q1, c2, sum(f.n * g.n) AS y FROM dq JOIN g USING (q1, c2) JOIN f USING (v, c0, q0) WHERE c2 <> '' GROUP BY ALL
+UNION ALL SELECT c0, q0, q1, c2, sum(f.n * g.n) AS y FROM dq JOIN f USING (c0, q0) JOIN g USING (v, q1, c2) WHERE c2 = '' GROUP BY ALL)
+SELECT start, cast(y AS bigint) AS y FROM q JOIN y USING (c0, q0, q1, c2)"""
+
+
+@register("sampled_path_counts", f", {_PATH_COUNTS}")
+def sampled_path_counts(spark, d):
+    """The cardinality of the path query of every start."""
+    p = sampling.sampled_paths(kgview.edges(spark, d), 2, seed=4, method="dfs")
+    r = sampling.path_queries(p, seed=4, p_edge=0.9, p_start_end=0.3)
+    return _count(bgp.count_batch(kgview.graph(spark, d), r.select("start", "triples"), "start"))
 
 
 # Records

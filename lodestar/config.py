@@ -132,7 +132,7 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
     if c.cardinality or c.kind in _FOUND:
         each = _SECONDS.get(c.kind, 3.0) if c.count_seconds is None else c.count_seconds
         n = result.passes[-1]["total"] if result.passes else 0
-        result.records = passes.counted(edges.select("s", "p", "o").distinct(), result.records, each * max(1, n), passes.kept, stars=c.kind in ("star", "star_combinations"))
+        result.records = passes.counted(edges.select("s", "p", "o").distinct(), result.records, each * max(1, n), passes.kept)
     if c.kind in _FOUND:
         result.records = records.nonempty(result.records)
     if c.output:

@@ -13,7 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators.dedup import dedup_key, unseen
-from lodestar.plans.bgp import count_batch, count_stars
+from lodestar.operators.ranges import carried, kept, lazily_kept, ordered, places
+from lodestar.plans.bgp import count_batch
+
+
+__all__ = ["Result", "Rules", "collect", "counted", "duplicate_streak", "kept", "places", "run_metrics", "with_counts", "within"]
 
 
 @dataclass(frozen=True)
@@ -37,51 +41,16 @@ class Result:
     reason: str = ""
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Worked out now, and kept."""
-    out = _kept(df)
-    out.count()
-    return out
-
-
-def _ordered(df: DataFrame, *order: Column) -> DataFrame:
-    """With _part and _at: ranges of the order, and the place in each from 1. It is kept, as another reading could cut
-    the ranges elsewhere; equal rows of the order lie in one range."""
-    names = [f"_o{i}" for i in range(len(order))]
-    dealt = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*names)).cast("bigint")
-    return _kept(dealt.withColumn("_at", at).drop(*names))
-
-
-def _carried(df: DataFrame, before: list[tuple[int, int]]) -> DataFrame:
-    """With _before: a number for each part."""
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(before, "_part int, _before bigint")), "_part")
-
-
-def places(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """With `name`: the place of each row in the order, from 1: places in ranges and a prefix sum over the ranges, whose
-    sizes are all that reaches the driver."""
-    d, before, n = _ordered(df, *order), [], 0
-    for r in d.groupBy("_part").count().orderBy("_part").collect():
-        before.append((r["_part"], n))
-        n += r["count"]
-    return _carried(d, before).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def duplicate_streak(df: DataFrame, duplicate: Column, *order: Column) -> DataFrame:
     """With `streak`: the duplicates in a row up to each row in the order. Ranges of the order are worked out side by
     side; a streak that reaches a range's start goes on from the ranges before."""
-    d = _ordered(df.withColumn("_dup", F.coalesce(duplicate, F.lit(False))), *order)
+    d = ordered(df.withColumn("_dup", F.coalesce(duplicate, F.lit(False))), *order)
     before, carry = [], 0
     for r in d.groupBy("_part").agg(F.count("*").alias("n"), F.max(F.when(~F.col("_dup"), F.col("_at"))).alias("last")).orderBy("_part").collect():
         before.append((r["_part"], carry))
         carry = carry + r.n if r["last"] is None else r.n - r["last"]
     last = F.max(F.when(~F.col("_dup"), F.col("_at"))).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
-    return _carried(d, before).withColumn("streak", F.col("_at") - F.coalesce(last, -F.col("_before"))).drop("_part", "_at", "_before", "_dup")
+    return carried(d, before).withColumn("streak", F.col("_at") - F.coalesce(last, -F.col("_before"))).drop("_part", "_at", "_before", "_dup")
 
 
 def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str = "hash", save: Callable[[DataFrame, int], DataFrame] | None = None) -> Result:
@@ -104,7 +73,7 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
             stop = marked.where(F.col("streak") >= rules.max_streak).agg(F.min("at")).first()[0]
             rows = rows.where(F.col("at") <= stop) if stop is not None else rows
         new = rows.where(~F.col("again")).orderBy("at", "start").limit(rules.target - have).drop("again", "at").withColumn("pass", F.lit(n))
-        new = save(new, n) if save else _kept(new)
+        new = save(new, n) if save else lazily_kept(new)
         got = new.count()
         out, have = new if out is None else out.unionByName(new), have + got
         result.passes.append({"pass": n, "new": got, "total": have})
@@ -121,11 +90,9 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
     return result
 
 
-def with_counts(triples: DataFrame, records: DataFrame, key: str = "key", stars: bool = False) -> DataFrame:
-    """Records with y worked out for all of them together; -1 where it is beyond 64 bits. stars: each is a star whose variables
-    all differ."""
-    of = records.select(F.col(key).alias("qid"), "triples")
-    counts = count_stars(triples, of) if stars else count_batch(triples, of)
+def with_counts(triples: DataFrame, records: DataFrame, key: str = "key") -> DataFrame:
+    """Records with y worked out for all of them together; -1 where it is beyond 64 bits."""
+    counts = count_batch(triples, records.select(F.col(key).alias("qid"), "triples"))
     counts = counts.select(F.col("qid").alias(key), F.coalesce(F.col("y").try_cast("bigint"), F.lit(-1)).alias("y"))
     return records.drop("y").join(counts, key)
 
@@ -155,11 +122,11 @@ def within(df: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame]
         sc.removeJobTag(tag)
 
 
-def counted(triples: DataFrame, records: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame], on_timeout: str = "mark", key: str = "key", stars: bool = False) -> DataFrame:
+def counted(triples: DataFrame, records: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame], on_timeout: str = "mark", key: str = "key") -> DataFrame:
     """with_counts() within a time limit for all records. Beyond it they keep y = -1 (mark) or are dropped (drop)."""
     if on_timeout not in ("mark", "drop"):
         raise ValueError(f"on_timeout is mark or drop, not {on_timeout!r}")
-    done = within(with_counts(triples, records, key, stars), seconds, save)
+    done = within(with_counts(triples, records, key), seconds, save)
     if done is not None:
         return done
     return records.withColumn("y", F.lit(-1).cast("bigint")) if on_timeout == "mark" else records.limit(0)

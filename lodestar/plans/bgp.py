@@ -13,6 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.ranges import kept
+from lodestar.plans.batch import count_trees, decomposed
+from lodestar.sources.store import Graph, coded
+
 Pattern = tuple[str, str, str]
 _COUNT = "decimal(38,0)"
 
@@ -127,18 +131,22 @@ def all_different(names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
 
 
-def count_batch(triples: DataFrame, records: DataFrame, id_col: str = "qid", same_subject: bool = False) -> DataFrame:
+def count_batch(triples: DataFrame | Graph, records: DataFrame, id_col: str = "qid", report: dict | None = None) -> DataFrame:
+    """id_col, y (decimal(38,0)): exact counts of many queries, whatever their topologies. Those without cycles are worked out
+    together from the branches that they share (batch.py); the others by topology. triples must be distinct."""
+    g = triples if isinstance(triples, Graph) else coded(triples.select("s", "p", "o"))
+    found = kept(decomposed(records, id_col))
+    out = count_trees(g, found, id_col, report)
+    others = records.join(found.where("NOT tree").select(id_col), id_col, "left_semi")
+    return out if found.where("NOT tree").isEmpty() else out.unionByName(count_cyclic(g.edges.select("s", "p", "o"), others, id_col))
+
+
+def count_cyclic(triples: DataFrame, records: DataFrame, id_col: str = "qid") -> DataFrame:
     """id_col, y (decimal(38,0)): exact counts of many queries in one job for each topology. records: an id and `triples`, an
-    array of [s, p, o]. Queries that are alike but for their constants are joined together; constants are columns.
-    same_subject: the queries are stars, so that the order of patterns doesn't matter. The number of topologies, not of
-    queries, is what reaches the driver."""
-    term = lambda t, i: F.get(t, F.lit(i))
+    array of [s, p, o]. Queries that are alike but for their constants are joined together; constants are columns. The number of
+    topologies, not of queries, is what reaches the driver."""
     form = lambda t: F.array_join(F.transform(t, lambda x: F.array_join(F.transform(x, lambda y: F.when(y.startswith("?"), y).otherwise("=")), " ")), "|")
     ts = F.col("triples")
-    if same_subject:
-        rank = F.transform(ts, lambda x: F.struct(F.when(term(x, 1).startswith("?"), 1).otherwise(0).alias("p"), F.when(term(x, 2).startswith("?"), 1).otherwise(0).alias("o"), x.alias("x")))
-        named = F.transform(F.array_sort(rank), lambda r, i: F.array(term(r["x"], 0), F.when(r["p"] == 1, F.concat(F.lit("?p"), i.cast("string"))).otherwise(term(r["x"], 1)), F.when(r["o"] == 1, F.concat(F.lit("?o"), i.cast("string"))).otherwise(term(r["x"], 2))))
-        ts = named
     q = records.select(F.col(id_col).alias("_q"), ts.alias("t")).withColumn("form", form(F.col("t")))
     forms = [r.form for r in q.select("form").distinct().collect()]
     parts = []
@@ -166,31 +174,6 @@ def count_batch(triples: DataFrame, records: DataFrame, id_col: str = "qid", sam
     return reduce(DataFrame.unionByName, parts).select(F.col("_q").alias(id_col), "y")
 
 
-def count_stars(triples: DataFrame, records: DataFrame, id_col: str = "qid") -> DataFrame:
-    """id_col, y (decimal(38,0)): exact counts of many stars whose variables all differ, whatever their topologies. A star is
-    tried only at the subjects of its rarest pattern, so the work grows with the matches of that one."""
-    term = lambda x, i: F.when(F.get(x, F.lit(i)).startswith("?"), "").otherwise(F.regexp_replace(F.get(x, F.lit(i)), "^<(.*)>$", "$1"))
-    q = records.select(F.col(id_col).alias("_q"), F.size("triples").alias("_k"), F.posexplode("triples").alias("_i", "x")).select("_q", "_k", "_i", term(F.col("x"), 1).alias("p"), term(F.col("x"), 2).alias("o"))
-    # What each different pattern finds at each subject; an empty p or o is a variable. Once for all queries that have it.
-    kinds = q.select("p", "o", (F.col("p") != "").alias("_p"), (F.col("o") != "").alias("_o")).distinct()
-    found = None
-    for r in kinds.select("_p", "_o").distinct().collect():  # four at most
-        fixed = [c for c, known in (("p", r["_p"]), ("o", r["_o"])) if known]
-        wanted = kinds.where((F.col("_p") == F.lit(r["_p"])) & (F.col("_o") == F.lit(r["_o"]))).select(*fixed) if fixed else None
-        some = triples.join(wanted, fixed, "left_semi") if fixed else triples
-        n = some.groupBy("s", *fixed).agg(F.count("*").cast(_COUNT).alias("n"))
-        n = n.select("s", *[F.col(c) if c in fixed else F.lit("").alias(c) for c in ("p", "o")], "n")
-        found = n if found is None else found.unionByName(n)
-    if found is None:
-        return records.select(F.col(id_col), F.lit(None).cast(_COUNT).alias("y")).limit(0)
-    often = found.groupBy("p", "o").agg(F.count("*").alias("w"))
-    rarest = q.join(often, ["p", "o"]).groupBy("_q").agg(F.min_by(F.struct("p", "o"), F.struct("w", "_i")).alias("x")).select("_q", "x.p", "x.o")
-    at = rarest.join(found.select("s", "p", "o"), ["p", "o"]).select("_q", "s")
-    each = at.join(q, "_q").join(found, ["s", "p", "o"]).groupBy("_q", "s", "_k").agg(F.collect_list("n").alias("n")).where(F.size("n") == F.col("_k"))
-    y = each.groupBy("_q").agg(F.sum(F.aggregate("n", F.lit(1).cast(_COUNT), lambda a, b: (a * b).cast(_COUNT))).cast(_COUNT).alias("y"))
-    return records.select(F.col(id_col).alias("_q")).join(y, "_q", "left").select(F.col("_q").alias(id_col), F.coalesce("y", F.lit(0)).cast(_COUNT).alias("y"))
-
-
 def _parts(rows: list[tuple[set[str], DataFrame]]) -> list[list[tuple[set[str], DataFrame]]]:
     """Relations by shared variables; the query's number alone does not connect."""
     out: list[tuple[set[str], list]] = []

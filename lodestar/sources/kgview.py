@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.store import Graph, read, source_key, write
+
 TABLES = ("nation", "customer", "supplier", "orders", "lineitem")
 
 #: Triples with repetitions.
@@ -37,7 +39,7 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
-#: The folders of graphs that were written, by session and source.
+#: The folders of graphs that were written, by session and the state of the source.
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -54,14 +56,18 @@ def _folder(spark: SparkSession) -> str:
     return f"file://{own}/graph"
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A set, as a store holds it: written once in a session, by predicate, so that patterns read their predicate only."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """A set, as a store holds it: written once for each state of its tables, so that a changed table gives a new graph."""
+    key = (spark.sparkContext.applicationId, source_key(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
     if key not in _WRITTEN:
-        path = _folder(spark)
-        raw_triples(spark, sf_dir).distinct().repartition("p", F.pmod(F.xxhash64("s"), F.lit(8))).write.partitionBy("p").parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.schema("s string, o string, o_is_iri boolean, p string").parquet(_WRITTEN[key]).select("s", "p", "o", "o_is_iri")
+        folder = _folder(spark)
+        write(raw_triples(spark, sf_dir).distinct(), folder)
+        _WRITTEN[key] = folder
+    return read(spark, _WRITTEN[key], "o_is_iri boolean")
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).edges.select("s", "p", "o", "o_is_iri")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

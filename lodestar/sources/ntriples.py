@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.ranges import kept
+from lodestar.sources.store import even, exists, source_key
+
 #: The line formats of the two dialects.
 STAR_LINE = r"^(<[^>]+>)\s+(<[^>]+>)\s+(.+?)\s*\.$"
 EDGE_LINE = r"^<([^>]+)>\s+<([^>]+)>\s+<([^>]+)>\s*\.\s*$"
@@ -48,20 +51,10 @@ def to_lines(triples: DataFrame) -> DataFrame:
 
 
 def cached_graph(spark: SparkSession, path: str, folder: str, dialect: str = "star", use_cache: bool = True) -> DataFrame:
-    """The parsed graph as a table partitioned by predicate. Its key has the sources' sizes and times, so that a
-    changed source is parsed anew; a table without its success mark is written again."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(conf)
-    found = fs.globStatus(at) or []
-    if not found:
-        raise FileNotFoundError(path)
-    import hashlib
-
-    key = hashlib.md5("|".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found).encode() + dialect.encode()).hexdigest()
-    table = f"{folder}/graph-{key}"
-    done = hadoop.Path(f"{table}/_SUCCESS")
-    if not (use_cache and done.getFileSystem(conf).exists(done)):
-        parse = {"star": parse_star, "edges": parse_edges}[dialect]
-        parse(read_lines(spark, path)).repartition("p", F.pmod(F.hash("s"), F.lit(8))).write.mode("overwrite").partitionBy("p").parquet(table)
-    return spark.read.parquet(table).select("s", "p", "o", "o_kind")
+    """The parsed graph as a table in ranges of predicate, subject and object. Its key has the sources' sizes and times, so
+    that a changed source is parsed anew; a table without its success mark is written again."""
+    table = f"{folder}/graph-{source_key(spark, [path])}-{dialect}"
+    if not (use_cache and exists(spark, f"{table}/_SUCCESS")):
+        rows = kept({"star": parse_star, "edges": parse_edges}[dialect](read_lines(spark, path)))
+        even(rows, rows.count(), "p", "s", "o").write.mode("overwrite").parquet(table)
+    return spark.read.schema(TRIPLES).parquet(table).select("s", "p", "o", "o_kind")

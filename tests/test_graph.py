@@ -12,6 +12,7 @@ from lodestar.config import Config, run, run_all_shapes, run_batch
 from lodestar.operators import dedup, graph, passes, records, sampling
 from lodestar.operators.dedup import brute_canonical, canonical, hash_key_of, wl_key_of
 from lodestar.plans import bgp, sparql
+from lodestar.plans.batch import parts
 from lodestar.plans.shapes import SHAPES, parse_shape, plan
 from lodestar.sources import kgview
 from lodestar.sources.ntriples import cached_graph, parse_edges, parse_star, read_lines
@@ -236,10 +237,99 @@ def test_stars_beyond_the_fortieth_are_counted(spark):
         return y
 
     q = spark.createDataFrame(list(enumerate(stars)), "qid int, triples array<array<string>>")
-    got = {r.qid: r.y for r in bgp.count_stars(spark.createDataFrame(graph, "s string, p string, o string"), q).collect()}
+    got = {r.qid: r.y for r in bgp.count_batch(spark.createDataFrame(graph, "s string, p string, o string"), q).collect()}
     assert got == {i: brute(x) for i, x in enumerate(stars)} and got[90] == 0
 
 
+def random_query(rng, nodes, preds):
+    """A tree or a forest, now and then with a cycle, of variables and constants."""
+    names, out = [], []
+    for i in range(rng.randrange(1, 6)):
+        node = lambda again: rng.choice(names) if names and rng.random() < again else rng.choice([f"<{rng.choice(nodes)}>", '"lit x"']) if rng.random() < 0.3 else f"?v{len(names)}"  # noqa: B023, E731
+        s = node(0.8)
+        names += [s] if s.startswith("?") and s not in names else []
+        o = node(0.08)
+        names += [o] if o.startswith("?") and o not in names else []
+        out.append([s, rng.choice([f"<{rng.choice(preds)}>", f"?p{i}", f"?p{i}", "?p"]) if rng.random() < 0.5 else f"<{rng.choice(preds)}>", o])
+    return out
+
+
+def brute_count(graph, query):
+    bindings = [{}]
+    for pattern in query:
+        new = []
+        for b in bindings:
+            for t in graph:
+                c = dict(b)
+                if all((c.setdefault(x, v) == v) if x[0] == "?" else (x[1:-1] if x[0] == "<" else x) == v for x, v in zip(pattern, t, strict=True)):
+                    new.append(c)
+        bindings = new
+    return len(bindings)
+
+
+def test_batches_of_any_topology(spark):
+    rng = random.Random(11)
+    nodes, preds = [f"n{i}" for i in range(9)], ["p", "q", "r"]
+    found = sorted({(rng.choice(nodes), rng.choice(preds), rng.choice([*nodes, '"lit x"'])) for _ in range(40)})
+    queries = [random_query(rng, nodes, preds) for _ in range(60)] + [[["?s", "<none>", "?o"]], [["?s", "<p>", "<none>"], ["?s", "?x", "?o"]], [["<n1>", "?x", "?o"], ["?y", "?z", "?o"], ["?o", "<p>", "?w"]]]
+    trees = [parts(q)["tree"] for q in queries]
+    assert 40 < sum(trees) < len(queries)
+    q = spark.createDataFrame(list(enumerate(queries)), "qid int, triples array<array<string>>")
+    got = {r.qid: int(r.y) for r in bgp.count_batch(spark.createDataFrame(found, "s string, p string, o string"), q).collect()}
+    assert got == {i: brute_count(found, x) for i, x in enumerate(queries)}
+
+
+def test_the_same_pieces_are_worked_out_once(spark):
+    """Rows grow neither with the number of queries nor with how they are written."""
+    g = kgview.graph(spark, SF)
+    one = [["?a", "<urn:p/placed>", "?b"], ["?b", "<urn:p/part>", "?c"], ["?b", "<urn:p/supplier>", "<urn:supp/1>"]]
+    sizes = []
+    for n in (1, 40):
+        q = [(i, [[x.replace("?", f"?n{i}") for x in t] for t in (one if i % 2 else one[::-1])]) for i in range(n)]
+        report = {}
+        ys = bgp.count_batch(g, spark.createDataFrame(q, "qid int, triples array<array<string>>"), report=report).collect()
+        sizes.append(report)
+        assert len(ys) == n and len({r.y for r in ys}) == 1 and ys[0].y > 0
+    assert sizes[0] == sizes[1] and sizes[0]["branches"] == 3
+
+
+def test_a_changed_table_gives_a_new_graph(spark, tmp_path):
+    import shutil
+
+    for t in kgview.TABLES:
+        shutil.copyfile(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    before = kgview.triples(spark, str(tmp_path)).count()
+    assert before == kgview.triples(spark, SF).count()
+    spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey % 2 = 0").toPandas().to_parquet(tmp_path / "customer.parquet")
+    after = kgview.triples(spark, str(tmp_path))
+    assert after.count() == kgview.raw_triples(spark, str(tmp_path)).distinct().count() < before
+
+
+def test_store_is_even(spark, tmp_path):
+    """A predicate with nearly all of the edges, and a node with most of them, make no large file."""
+    from pyspark.sql import functions as F
+
+    from lodestar.sources import store
+
+    old = store.MOST, store.LEAST
+    store.MOST, store.LEAST = 1000, 10
+    try:
+        few = [(f"s{i}", f"q{i % 20}", f"o{i % 7}") for i in range(100)]
+        rows = spark.createDataFrame(few + [("hub" if i % 3 else f"h{i}", "big", f"o{i}") for i in range(10_000)], "s string, p string, o string")
+        store.write(rows, str(tmp_path / "g"))
+    finally:
+        store.MOST, store.LEAST = old
+    assert store.is_whole(spark, str(tmp_path / "g"))
+    g = store.read(spark, str(tmp_path / "g"))
+    for df in (g.edges, g.backward):
+        sizes = [r[0] for r in df.groupBy(F.input_file_name()).count().select("count").collect()]
+        assert len(sizes) >= 10 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    named = {r.i: r.term for r in g.terms.collect()}
+    assert sorted(named) == list(range(1, len(named) + 1)) and [named[i] for i in sorted(named)] == sorted(named.values())
+    back = g.edges.where("si IS NOT NULL").collect()
+    assert len(back) == 10_100 and all(named[r.si] == r.s and named[r.oi] == r.o for r in back)
+
+
 def test_places_and_streaks_over_ranges(spark):
     from pyspark.sql import functions as F
 
@@ -311,9 +401,8 @@ def test_large_counts(spark):
     tr = spark.createDataFrame([("s", "p", f"o{i}") for i in range(3000)], "s string, p string, o string")
     rows = [("big", [["?s", "<p>", f"?o{i}"] for i in range(7)], -1), ("small", [["?s", "<p>", "<o1>"]], -1)]
     r = spark.createDataFrame(rows, "key string, triples array<array<string>>, y bigint")
-    assert {x.qid: int(x.y) for x in bgp.count_stars(tr, r.withColumnRenamed("key", "qid")).collect()} == {"big": 3000**7, "small": 1}
-    for stars in (True, False):
-        assert {x.key: x.y for x in passes.with_counts(tr, r, stars=stars).collect()} == {"big": -1, "small": 1}
+    assert {x.qid: int(x.y) for x in bgp.count_batch(tr, r.withColumnRenamed("key", "qid")).collect()} == {"big": 3000**7, "small": 1}
+    assert {x.key: x.y for x in passes.with_counts(tr, r).collect()} == {"big": -1, "small": 1}
 
 
 def test_slow_runs_stop(spark):
