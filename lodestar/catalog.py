@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import order_key, order_sql, uniform, uniform_sql
 from lodestar.operators import dedup, graph, passes, records, sampling
-from lodestar.plans import bgp, sparql
+from lodestar.plans import bgp, cycles, sparql
 from lodestar.plans.shapes import SHAPES, parse_shape, plan
 from lodestar.sources import kgview, ntriples
 from lodestar.sources.kgview import KG_CTE
@@ -242,15 +242,35 @@ for _name, _sql in _SHAPE_SQL.items():
     register(f"shape_{_name}", _sql)(_shape_count(_name))
 
 
+_PAIRS = ", e AS (SELECT s, o, count(*)::hugeint AS n FROM ed WHERE s <> o GROUP BY s, o)"
+
+
+def _numbered_edges(spark, d, predicate=None):
+    """The ends of edges as numbers."""
+    e = kgview.graph(spark, d).edges.where("o_is_iri")
+    return (e if predicate is None else e.where(F.col("p") == predicate)).select(F.col("si").alias("s"), F.col("oi").alias("o"))
+
+
 @register("shape_cycle_injective", "SELECT count(*) AS y FROM ed x JOIN ed y ON x.o = y.s JOIN ed z ON y.o = z.s AND z.o = x.s WHERE x.s <> x.o AND y.s <> y.o AND z.s <> z.o")
 def shape_cycle_injective(spark, d):
-    return sampling.matches(kgview.edges(spark, d), parse_shape(SHAPES["cycle"]), cap=None).agg(F.count("*").alias("y"))
+    return _count(cycles.count_triangles(_numbered_edges(spark, d)))
+
+
+@register("shape_square_injective", f"""{_PAIRS}, w AS (SELECT x.s, y.o, x.o AS m, x.n * y.n AS n FROM e x JOIN e y ON x.o = y.s WHERE x.s <> y.o)
+SELECT cast(coalesce(sum(a.n * b.n), 0) AS bigint) AS y FROM w a JOIN w b ON a.s = b.o AND a.o = b.s AND a.m <> b.m""")
+def shape_square_injective(spark, d):
+    return _count(cycles.count_squares(_numbered_edges(spark, d)))
+
+
+@register("shape_diamonds_all", f"""{_PAIRS}, w AS (SELECT x.s, y.o, x.n * y.n AS n FROM e x JOIN e y ON x.o = y.s WHERE x.s <> y.o)
+SELECT cast(coalesce(sum(y), 0) AS bigint) AS y FROM (SELECT sum(n) * sum(n) - sum(n * n) AS y FROM w GROUP BY s, o)""")
+def shape_diamonds_all(spark, d):
+    return _count(cycles.count_diamonds(_numbered_edges(spark, d)))
 
 
 @register("shape_diamond_injective", f", {_B} SELECT count(*) AS y FROM b x JOIN b y ON x.s = y.s AND x.o <> y.o JOIN b z ON z.s = x.o JOIN b w ON w.s = y.o AND w.o = z.o WHERE x.s <> x.o AND y.s <> y.o AND z.o <> x.s AND z.o <> x.o AND z.o <> y.o")
 def shape_diamond_injective(spark, d):
-    e = kgview.edges(spark, d).where(F.col("p") == BUYS)
-    return sampling.matches(e, parse_shape(SHAPES["diamond"]), cap=None).agg(F.count("*").alias("y"))
+    return _count(cycles.count_diamonds(_numbered_edges(spark, d, BUYS)))
 
 
 #: Worked out by hand from the rule: the first of the subjects with most ends of edges; then what closes a cycle, else the next.

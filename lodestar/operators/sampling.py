@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.hashing import order_key, uniform
 from lodestar.operators.graph import capped, dense_choice, first_paths, random_walks, simple_paths
 from lodestar.operators.passes import places
+from lodestar.plans.cycles import is_triangle, triangle_matches
 from lodestar.plans.shapes import BOUND, PROB, Edge, nodes, plan
 
 
@@ -132,8 +133,11 @@ def path_queries(paths: DataFrame, seed=0, pass_no: int = 0, p_edge: float = 1.0
 
 def matches(edges: DataFrame, shape: list[Edge], injective: bool = True, cap: int | None = 50, seed=0, roots: DataFrame | None = None) -> DataFrame:
     """All matches of a shape: n_<node> and e_<number>. Edges are joined in the order of plan(). cap bounds the edges of a
-    known node that are tried at each step, before used nodes are ruled out; None tries all."""
+    known node that are tried at each step, before used nodes are ruled out; None tries all, a triangle by its neighbour
+    arrays."""
     root, order = plan(shape)
+    if cap is None and injective and is_triangle(shape):
+        return triangle_matches(edges, shape, roots, root)
     df = roots if roots is not None else edges.select("s").distinct()
     df = df.select(F.col("s").alias(f"n_{root}"))
     known = [root]

@@ -330,6 +330,45 @@ def test_store_is_even(spark, tmp_path):
     assert len(back) == 10_100 and all(named[r.si] == r.s and named[r.oi] == r.o for r in back)
 
 
+def test_cycles_against_brute_force(spark):
+    from itertools import permutations
+
+    from lodestar.plans import cycles
+
+    rng = random.Random(8)
+    ids = list(range(14))
+    found = sorted({(rng.choice(ids), rng.choice("pq"), rng.choice(ids)) for _ in range(90)} | {(0, "p", i) for i in ids} | {(i, "q", 0) for i in ids[::2]})
+    e = spark.createDataFrame(found, "s long, p string, o long").repartition(3)
+    n = lambda a, b: sum(1 for s, _, o in found if (s, o) == (a, b))
+    many = {(a, b): n(a, b) for a in ids for b in ids}
+    assert cycles.count_triangles(e).first().y == sum(many[a, b] * many[b, c] * many[c, a] for a, b, c in permutations(ids, 3))
+    assert cycles.count_squares(e).first().y == sum(many[a, b] * many[b, c] * many[c, d] * many[d, a] for a, b, c, d in permutations(ids, 4))
+    assert cycles.count_diamonds(e).first().y == sum(many[a, b] * many[a, c] * many[b, d] * many[c, d] for a, b, c, d in permutations(ids, 4))
+    for text in ("?a B ?b, ?b B ?c, ?c B ?a", "?a B ?b, ?a B ?c, ?c B ?b"):
+        shape = parse_shape(text)
+        got = sorted(tuple(r) for r in sampling.matches(e, shape, cap=None).collect())
+        index = {x: i for i, x in enumerate("abc")}
+        want = []
+        for ns in permutations(ids, 3):
+            rows = [()]
+            for x in shape:
+                rows = [(*r, p) for r in rows for s, p, o in found if (s, o) == (ns[index[x.subject]], ns[index[x.object]])]
+            want += [(*ns, *r) for r in rows]
+        assert got == sorted(want)
+    for f in (cycles.count_triangles, cycles.count_squares, cycles.count_diamonds):
+        assert f(e.limit(0)).first().y == 0
+
+
+def test_hubs_make_few_paths(spark):
+    """A star of 3,000 leaves with some triangles: 9 million paths of two edges, of which the kernels try thousands."""
+    from lodestar.plans import cycles
+
+    rows = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(1, 3000, 2)] + [(i + 1, 0) for i in range(1, 3000, 2)]
+    pairs = cycles.oriented(spark.createDataFrame(rows, "s long, o long"))
+    assert pairs.where("a = 0").isEmpty() and cycles._between(pairs).count() < 10_000
+    assert cycles.triangles(pairs).count() == 1500
+
+
 def test_places_and_streaks_over_ranges(spark):
     from pyspark.sql import functions as F
 
