@@ -416,15 +416,17 @@ def random_walks(spark, d):
     return w.select("walk", F.array_join("nodes", "|").alias("nodes"), F.array_join("preds", "|").alias("preds"))
 
 
-_TRIANGLE = f"""m AS (SELECT x.s AS a, y.s AS b, z.s AS c, x.p AS p0, y.p AS p1, z.p AS p2 FROM ed x JOIN ed y ON x.o = y.s JOIN ed z ON y.o = z.s AND z.o = x.s WHERE x.s <> x.o AND y.s <> y.o AND z.s <> z.o),
-one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY {order_sql("'6'", "'0'", "a", "b", "c", "p0", "p1", "p2")}, b, c, p0, p1, p2) AS k FROM m) WHERE k = 1)"""
+_RANKED = "row_number() OVER (PARTITION BY s ORDER BY {0}, s, p, o) <= 4 AS near, {0} AS k"
+_TRIANGLE = f"""e0 AS (SELECT *, {_RANKED.format(order_sql("'6|0|0'", "s", "p", "o"))} FROM ed), e1 AS (SELECT *, {_RANKED.format(order_sql("'6|0|1'", "s", "p", "o"))} FROM ed), e2 AS (SELECT *, {order_sql("'6|0|2'", "s", "p", "o")} AS k FROM ed),
+m AS (SELECT x.s AS a, y.s AS b, z.s AS c, x.p AS p0, y.p AS p1, z.p AS p2, NOT (x.near AND y.near) AS late, x.k AS k0, y.k AS k1, z.k AS k2 FROM e0 x JOIN e1 y ON x.o = y.s JOIN e2 z ON y.o = z.s AND z.o = x.s WHERE x.s <> x.o AND y.s <> y.o AND z.s <> z.o),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY late, k0, k1, k2) AS k FROM m) WHERE k = 1)"""
 
 
 @register("complex_queries", f", {_TRIANGLE} SELECT a AS start, 'SELECT * WHERE {{ ?a <' || p0 || '> ?b . ?b <' || p1 || '> ?c . ?c <' || p2 || '> ?a }}' AS query FROM one".replace("{{", "{").replace("}}", "}"))
 def complex_queries(spark, d):
     shape = parse_shape(SHAPES["cycle"])
-    m = sampling.matches(kgview.edges(spark, d), shape, cap=None)
-    return sampling.shape_queries(sampling.one_match(m, "a", 6), shape, 6).select("start", "query")
+    m = sampling.first_matches(kgview.edges(spark, d), shape, 6)
+    return sampling.shape_queries(m, shape, 6).select("start", "query")
 
 
 @register("combination_stars", f""", sp AS (SELECT s, p, count(*)::hugeint AS n FROM tr GROUP BY s, p), c AS (SELECT a.p AS p1, b.p AS p2, sum(a.n * b.n) AS y FROM sp a JOIN sp b ON a.s = b.s AND a.p < b.p GROUP BY a.p, b.p),

@@ -98,8 +98,8 @@ def _shape_run(g: DataFrame, c: Config, text: str) -> tuple:
 
     def make(k):
         roots = subjects if c.starts is None else subjects.orderBy(order_key(c.seed, k, "root", F.col("s")), "s").limit(c.starts)
-        found = sampling.matches(g.select("s", "p", "o"), shape, True, c.cap, f"{c.seed}|{k}", roots)
-        return sampling.shape_queries(sampling.one_match(found, root, c.seed, k), shape, c.seed, k, c.p_edge, c.p_node, c.graph_name)
+        found = sampling.first_matches(g.select("s", "p", "o"), shape, c.seed, k, tuple(w for w in (4, c.cap) if w), roots)
+        return sampling.shape_queries(found, shape, c.seed, k, c.p_edge, c.p_node, c.graph_name)
 
     return make, passes.Rules(c.n_queries, max_streak=max(500, subjects.count() // 10))
 

@@ -62,9 +62,16 @@ def dense_choice(df: DataFrame, draws: DataFrame, index: str) -> DataFrame:
 def simple_paths(edges: DataFrame, k: int, starts: DataFrame | None = None, cap: int | None = None, seed=0, where: Column | None = None) -> DataFrame:
     """Paths of k edges over distinct nodes: nodes, preds. cap: edges of each node that are tried, by md5."""
     e = edges if where is None else edges.where(where)
+    if not cap:
+        steps = layers(e, k)
+        df = steps[0] if starts is None else steps[0].join(starts.select("s").distinct(), "s", "left_semi")
+        df = df.where("s <> o").select(F.array("s", "o").alias("nodes"), F.array("p").alias("preds"), F.col("o").alias("at"))
+        for step in steps[1:]:
+            df = df.join(step.select(F.col("s").alias("at"), "p", "o"), "at").where(~F.array_contains("nodes", F.col("o")))
+            df = df.select(F.concat("nodes", F.array("o")).alias("nodes"), F.concat("preds", F.array("p")).alias("preds"), F.col("o").alias("at"))
+        return df.drop("at")
     first = e if starts is None else e.join(starts.select("s").distinct(), "s", "left_semi")
-    first = capped(first, "s", cap, seed) if cap else first
-    step = capped(e, "s", cap, seed) if cap else e
+    first, step = capped(first, "s", cap, seed), capped(e, "s", cap, seed)
     df = first.where("s <> o").select(F.array("s", "o").alias("nodes"), F.array("p").alias("preds"), F.col("o").alias("at"))
     for _ in range(k - 1):
         df = df.join(step.select(F.col("s").alias("at"), "p", "o"), "at").where(~F.array_contains("nodes", F.col("o")))
@@ -79,12 +86,11 @@ def _choice(seed) -> Column:
 
 def random_walks(edges: DataFrame, k: int, walks: DataFrame, seed=0) -> DataFrame:
     """walk, nodes, preds of the walks (walk, s) that get to k edges over distinct nodes. At each hop a walk takes one edge by
-    md5 among those to nodes that it hasn't been at and, before the last hop, that have edges; it never goes back.
+    md5 among those to nodes that it hasn't been at and from which a walk of the other hops exists; it never goes back.
     A hop costs the edges of the nodes that walks are at, whatever k is."""
-    inner = lookahead(edges)
     df = walks.select("walk", F.array("s").alias("nodes"), F.array().cast("array<string>").alias("preds"), F.col("s").alias("at"))
-    for hop in range(k):
-        step = (inner if hop < k - 1 else edges).select(F.col("s").alias("at"), "p", "o")
+    for layer in layers(edges, k):
+        step = layer.select(F.col("s").alias("at"), "p", "o")
         df = df.join(step, "at").where(~F.array_contains("nodes", F.col("o")))
         best = df.groupBy("walk").agg(F.min(F.struct(_choice(seed).alias("key"), "p", "o", "nodes", "preds")).alias("b"))
         df = best.select("walk", F.concat("b.nodes", F.array("b.o")).alias("nodes"), F.concat("b.preds", F.array("b.p")).alias("preds"), F.col("b.o").alias("at"))
@@ -97,16 +103,26 @@ def first_paths(edges: DataFrame, k: int, walks: DataFrame, seed=0) -> DataFrame
     searched for all their paths."""
     straight = random_walks(edges, k, walks, seed)
     straight = straight.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else straight.cache()
-    df = walks.join(straight.select("walk"), "walk", "left_anti").select("walk", F.array("s").alias("nodes"), F.array().cast("array<string>").alias("preds"), F.array().cast("array<string>").alias("keys"), F.col("s").alias("at"))
-    inner = lookahead(edges)
-    for hop in range(k):
-        step = (inner if hop < k - 1 else edges).select(F.col("s").alias("at"), "p", "o")
+    # A walk that was straight needs no search; nor does a start from which no walk of k edges goes.
+    left = walks.join(straight.select("walk"), "walk", "left_anti").join(layers(edges, k)[0].select("s").distinct(), "s", "left_semi")
+    df = left.select("walk", F.array("s").alias("nodes"), F.array().cast("array<string>").alias("preds"), F.array().cast("array<string>").alias("keys"), F.col("s").alias("at"))
+    for layer in layers(edges, k):
+        step = layer.select(F.col("s").alias("at"), "p", "o")
         df = df.join(step, "at").where(~F.array_contains("nodes", F.col("o")))
         df = df.select("walk", F.concat("nodes", F.array("o")).alias("nodes"), F.concat("preds", F.array("p")).alias("preds"), F.concat("keys", F.array(_choice(seed))).alias("keys"), F.col("o").alias("at"))
     best = df.groupBy("walk").agg(F.min(F.struct("keys", "nodes", "preds")).alias("b"))
     return straight.unionByName(best.select("walk", "b.nodes", "b.preds"))
 
 
+def layers(edges: DataFrame, k: int) -> list[DataFrame]:
+    """For each hop of a path of k edges, the edges after which a walk of the other hops exists: worked out from the last hop
+    back by semi-joins, so that a start without such a walk is never expanded."""
+    out = [edges]
+    for _ in range(k - 1):
+        out.insert(0, edges.join(out[0].select(F.col("s").alias("o")).distinct(), "o", "left_semi").select("s", "p", "o"))
+    return out
+
+
 def lookahead(edges: DataFrame) -> DataFrame:
     """Edges whose object has edges of its own."""
     return edges.join(edges.select(F.col("s").alias("o")).distinct(), "o", "left_semi").select("s", "p", "o")

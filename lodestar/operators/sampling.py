@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import order_key, uniform
 from lodestar.operators.graph import capped, dense_choice, first_paths, random_walks, simple_paths
-from lodestar.operators.passes import places
+from lodestar.operators.ranges import kept, places
 from lodestar.plans.cycles import is_triangle, triangle_matches
 from lodestar.plans.shapes import BOUND, PROB, Edge, nodes, plan
 
@@ -158,6 +158,57 @@ def matches(edges: DataFrame, shape: list[Edge], injective: bool = True, cap: in
     return df.select(*[f"n_{x}" for x in nodes(shape)], *[f"e_{i}" for i in range(len(shape))])
 
 
+def _keyed(edges: DataFrame, shape: list[Edge], cap: int | None, tag: str, roots: DataFrame) -> DataFrame:
+    """matches() by different nodes with k_<number>, each edge's md5 in its step; closing edges have no cap."""
+    found = matches(edges, shape, True, cap, tag, roots)
+    return found.withColumns({f"k_{i}": order_key(f"{tag}|{i}", F.col(f"n_{e.subject}"), F.col(f"e_{i}"), F.col(f"n_{e.object}")) for i, e in enumerate(shape)})
+
+
+def fruitful(edges: DataFrame, shape: list[Edge]) -> DataFrame:
+    """s of the nodes that can be the shape's root, as far as its edges without those that close a cycle tell: from the leaves to
+    the root, each node must have an edge to a node that can be its neighbour."""
+    root, order = plan(shape)
+    known, steps = {root}, []
+    for i in order:
+        e = shape[i]
+        if e.subject in known and e.object in known:
+            continue
+        forward = e.subject in known
+        steps.append((e.subject, e.object, True) if forward else (e.object, e.subject, False))
+        known |= {e.subject, e.object}
+    may: dict[str, DataFrame] = {}
+    for old, new, forward in reversed(steps):
+        near, far = ("s", "o") if forward else ("o", "s")
+        some = edges.select(F.col(near).alias("v"), F.col(far).alias("far"))
+        if new in may:
+            some = some.join(may[new].withColumnRenamed("v", "far"), "far", "left_semi")
+        some = some.select("v").distinct()
+        may[old] = some if old not in may else may[old].join(some, "v", "left_semi")
+    return may[root].withColumnRenamed("v", "s")
+
+
+def first_matches(edges: DataFrame, shape: list[Edge], seed=0, pass_no: int = 0, widths: tuple[int, ...] = (4,), roots: DataFrame | None = None) -> DataFrame:
+    """One match of each root that has any, by different nodes: n_<node> and e_<number>. At each step a node's edges come in
+    an order by md5. Roots are searched in rounds with the first widths[0] edges of each node, then widths[1], and at last with
+    all; a root that has a match stops there, and its first one by the steps' orders is taken. Only roots that are
+    still open go on, so hubs' matches aren't all made, and the last round leaves out no root that has a match."""
+    root, order = plan(shape)
+    tag, n_root = f"{seed}|{pass_no}", f"n_{root}"
+    open_ = fruitful(edges, shape)
+    open_ = open_ if roots is None else open_.join(roots.select("s").distinct(), "s", "left_semi")
+    names = [*[f"n_{x}" for x in nodes(shape)], *[f"e_{i}" for i in range(len(shape))]]
+    rest = [c for c in names if c != n_root]
+    found = None
+    for width in (*widths, None):
+        m = _keyed(edges, shape, width, tag, open_)
+        best = m.groupBy(n_root).agg(F.min(F.struct(*[f"k_{i}" for i in order], *rest)).alias("b"))
+        one = kept(best.select(*[c if c == n_root else F.col(f"b.{c}").alias(c) for c in names]))
+        found = one if found is None else found.unionByName(one)
+        if width is not None:
+            open_ = kept(open_.join(one.select(F.col(n_root).alias("s")), "s", "left_anti"))
+    return found
+
+
 def one_match(found: DataFrame, root: str, seed=0, pass_no: int = 0) -> DataFrame:
     """One match of each root: the first by md5 of all of it. Sums come before rows, so hubs' matches aren't gathered."""
     cols = found.columns

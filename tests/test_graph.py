@@ -359,6 +359,54 @@ def test_cycles_against_brute_force(spark):
         assert f(e.limit(0)).first().y == 0
 
 
+def test_first_matches_against_all(spark):
+    """The first match by rounds and orders, from all matches worked out plainly."""
+    import hashlib
+    from itertools import permutations
+
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(9)]
+    found = sorted({(rng.choice(ids), rng.choice("pq"), rng.choice(ids)) for _ in range(34)} | {("n0", "p", x) for x in ids})
+    e = spark.createDataFrame(found, "s string, p string, o string")
+    md5 = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    for text in ("?a B ?b, ?b B ?c, ?c B ?a", "?a B ?b, ?c B ?b, ?b B ?d", "?a B ?b, ?a B ?c, ?b B ?d, ?c B ?d"):
+        shape = parse_shape(text)
+        root, order = plan(shape)
+        names = list(dict.fromkeys(x for y in shape for x in (y.subject, y.object)))
+        known, near = {root}, {}
+        for i in order:
+            x = shape[i]
+            if not {x.subject, x.object} <= known:
+                near[i] = 0 if x.subject in known else 2
+            known |= {x.subject, x.object}
+        rank = {(i, t): sum(u[end] == t[end] and (md5("3|1", i, *u), u) <= (md5("3|1", i, *t), t) for u in found) for i, end in near.items() for t in found}
+        best = {}
+        for ns in permutations(ids, len(names)):
+            of = dict(zip(names, ns, strict=True))
+            rows = [[]]
+            for x in shape:
+                rows = [[*r, t] for r in rows for t in found if (t[0], t[2]) == (of[x.subject], of[x.object])]
+            for r in rows:
+                late = next(w for w, width in enumerate((1, 3, 99)) if all(rank[i, r[i]] <= width for i in near))
+                key = (late, *[md5("3|1", i, *r[i]) for i in order])
+                best[of[root]] = min(best.get(of[root], (("z",), ())), (key, (*ns, *[t[1] for t in r])), key=lambda v: (v[0][0] == "z", v[0]))
+        got = {r[f"n_{root}"]: tuple(r) for r in sampling.first_matches(e, shape, 3, 1, (1, 3)).collect()}
+        assert got == {k: v for k, (_, v) in best.items()} and got, text
+
+
+def test_dead_ends_are_not_expanded(spark):
+    """Of a hub's 2,000 neighbours one leads on; walks and searches take that edge only."""
+    rows = [("hub", "p", f"d{i}") for i in range(2000)] + [(f"d{i}", "p", f"e{i}") for i in range(2000)] + [("e7", "p", "x"), ("x", "p", "y"), ("start", "p", "hub")]
+    edges = spark.createDataFrame(rows, "s string, p string, o string")
+    steps = graph.layers(edges, 4)
+    assert [s.count() for s in steps] == [2, 3, 2003, 4003]
+    starts = edges.select("s").distinct().withColumn("walk", edges["s"]).select("walk", "s")
+    want = {"start": ["start", "hub", "d7", "e7", "x"], "hub": ["hub", "d7", "e7", "x", "y"]}
+    assert {r.walk: r.nodes for r in graph.random_walks(edges, 4, starts, 1).collect()} == want
+    assert {r.walk: r.nodes for r in graph.first_paths(edges, 4, starts, 1).collect()} == want
+    assert {r.nodes[0]: r.nodes for r in graph.simple_paths(edges, 4).collect()} == want
+
+
 def test_hubs_make_few_paths(spark):
     """A star of 3,000 leaves with some triangles: 9 million paths of two edges, of which the kernels try thousands."""
     from lodestar.plans import cycles
