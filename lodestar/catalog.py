@@ -122,7 +122,7 @@ def seed_predicates(spark, d):
 
 @register("distinct_seeds", "SELECT DISTINCT s FROM ed WHERE p = 'urn:p/customer'")
 def distinct_seeds(spark, d):
-    return sparql.run(_tr(spark, d), "SELECT DISTINCT ?s WHERE { ?s <urn:p/customer> ?o }")
+    return sparql.run(_tr(spark, d), "SELECT DISTINCT ?s WHERE { ?s <urn:p/customer> ?o }", is_set=True)
 
 
 @register("pass_order", f"SELECT s, row_number() OVER (ORDER BY {order_sql(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), 's')}, s) AS place FROM (SELECT DISTINCT s FROM tr)")
@@ -147,7 +147,7 @@ def capped_expand(spark, d):
 
 @register("bgp_star_count", "SELECT count(*) AS y FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = 'urn:p/customer' AND b.p = 'urn:p/priority'")
 def bgp_star_count(spark, d):
-    return sparql.run(_tr(spark, d), "SELECT (COUNT(*) AS ?y) WHERE { ?s <urn:p/customer> ?o0 . ?s <urn:p/priority> ?o1 }")
+    return sparql.run(_tr(spark, d), "SELECT (COUNT(*) AS ?y) WHERE { ?s <urn:p/customer> ?o0 . ?s <urn:p/priority> ?o1 }", is_set=True)
 
 
 @register("bgp_star3_count", "SELECT cast(sum(n * n * n) AS bigint) AS y FROM (SELECT count(*)::hugeint AS n FROM tr WHERE p = 'urn:p/part' GROUP BY s)")
@@ -182,27 +182,27 @@ def bgp_disconnected_count(spark, d):
 
 @register("bgp_select_star", "SELECT a.s, a.o AS o0, b.o AS o1 FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = 'urn:p/nation' AND b.p = 'urn:p/segment'")
 def bgp_select_star(spark, d):
-    return sparql.run(_tr(spark, d), "SELECT * WHERE { ?s <urn:p/nation> ?o0 . ?s <urn:p/segment> ?o1 }").select("s", "o0", "o1")
+    return sparql.run(_tr(spark, d), "SELECT * WHERE { ?s <urn:p/nation> ?o0 . ?s <urn:p/segment> ?o1 }", is_set=True).select("s", "o0", "o1")
 
 
 @register("bgp_select_distinct", "SELECT DISTINCT a.p AS p1, b.p AS p2 FROM tr a JOIN tr b ON a.o = b.s")
 def bgp_select_distinct(spark, d):
-    return sparql.run(_tr(spark, d), "SELECT DISTINCT ?p1 ?p2 WHERE { ?o0 ?p1 ?o1 . ?o1 ?p2 ?o2 . }")
+    return sparql.run(_tr(spark, d), "SELECT DISTINCT ?p1 ?p2 WHERE { ?o0 ?p1 ?o1 . ?o1 ?p2 ?o2 . }", is_set=True)
 
 
 @register("bgp_select_values", "SELECT s, p FROM tr WHERE s IN ('urn:cust/1', 'urn:cust/2', 'urn:order/1')")
 def bgp_select_values(spark, d):
-    return sparql.run(_tr(spark, d), "SELECT ?s ?p WHERE { VALUES (?s) { (<urn:cust/1>) (<urn:cust/2>) (<urn:order/1>) } ?s ?p ?o } ORDER BY ?s ?p")
+    return sparql.run(_tr(spark, d), "SELECT ?s ?p WHERE { VALUES (?s) { (<urn:cust/1>) (<urn:cust/2>) (<urn:order/1>) } ?s ?p ?o } ORDER BY ?s ?p", is_set=True)
 
 
 @register("bgp_select_literal", "SELECT s FROM tr WHERE p = 'urn:p/priority' AND o = '\"4-NOT SPECIFIED\"'")
 def bgp_select_literal(spark, d):
-    return sparql.run(_tr(spark, d), 'SELECT ?s WHERE { ?s <urn:p/priority> "4-NOT SPECIFIED" }')
+    return sparql.run(_tr(spark, d), 'SELECT ?s WHERE { ?s <urn:p/priority> "4-NOT SPECIFIED" }', is_set=True)
 
 
 @register("star_symmetry_broken", "SELECT count(*) AS y FROM tr a JOIN tr b ON a.s = b.s AND a.o < b.o WHERE a.p = 'urn:p/part' AND b.p = 'urn:p/part'")
 def star_symmetry_broken(spark, d):
-    return sparql.run(_tr(spark, d), "SELECT (COUNT(*) AS ?y) WHERE { ?s <urn:p/part> ?a . ?s <urn:p/part> ?b . FILTER (?a < ?b) }")
+    return sparql.run(_tr(spark, d), "SELECT (COUNT(*) AS ?y) WHERE { ?s <urn:p/part> ?a . ?s <urn:p/part> ?b . FILTER (?a < ?b) }", is_set=True)
 
 
 @register("sparql_from_graph", "SELECT s, o FROM tr WHERE p = 'urn:p/nation' AND s LIKE 'urn:supp/%'")
@@ -213,7 +213,7 @@ def sparql_from_graph(spark, d):
 
 @register("path_exists_k", "SELECT count(*) > 0 AS boolean FROM ed a JOIN ed b ON a.o = b.s WHERE a.s <> a.o AND a.s <> b.o AND a.o <> b.o")
 def path_exists_k(spark, d):
-    return sparql.run(kgview.edges(spark, d), "ASK WHERE { ?o0 ?p1 ?o1 . ?o1 ?p2 ?o2 . FILTER (?o0 != ?o1 && ?o0 != ?o2 && ?o1 != ?o2) }")
+    return sparql.run(kgview.edges(spark, d), "ASK WHERE { ?o0 ?p1 ?o1 . ?o1 ?p2 ?o2 . FILTER (?o0 != ?o1 && ?o0 != ?o2 && ?o1 != ?o2) }", is_set=True)
 
 
 # Shapes
@@ -285,21 +285,28 @@ def shape_plans(spark, d):
 
 # Paths
 
+#: Of each start its number of paths and the sum of their md5's first 32 bits.
+_DIGEST = "cast('0x' || substr(md5({0}), 1, 8) AS bigint)"
 _WALK = {
-    1: "SELECT s || '|' || o AS nodes, p AS preds FROM ed WHERE s <> o",
-    2: "SELECT a.s || '|' || a.o || '|' || b.o AS nodes, a.p || '|' || b.p AS preds FROM ed a JOIN ed b ON a.o = b.s WHERE a.s <> a.o AND b.o <> a.s AND b.o <> a.o",
+    1: "SELECT s AS start, s || '|' || o || ' ' || p AS path FROM ed WHERE s <> o",
+    2: "SELECT a.s AS start, a.s || '|' || a.o || '|' || b.o || ' ' || a.p || '|' || b.p AS path FROM ed a JOIN ed b ON a.o = b.s WHERE a.s <> a.o AND b.o <> a.s AND b.o <> a.o",
 }
 
 
+def _digest(text):
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")).alias("digest")
+
+
 def _paths(k):
     def run(spark, d):
-        return graph.simple_paths(kgview.edges(spark, d), k).select(F.array_join("nodes", "|").alias("nodes"), F.array_join("preds", "|").alias("preds"))
+        path = F.concat(F.array_join("nodes", "|"), F.lit(" "), F.array_join("preds", "|"))
+        return graph.simple_paths(kgview.edges(spark, d), k).groupBy(F.get("nodes", F.lit(0)).alias("start")).agg(F.count("*").alias("n_paths"), _digest(path))
 
     return run
 
 
 for _k, _sql in _WALK.items():
-    register(f"simple_paths_{_k}", _sql)(_paths(_k))
+    register(f"simple_paths_{_k}", f", w AS MATERIALIZED ({_sql}) SELECT start, count(*) AS n_paths, cast(sum({_DIGEST.format('path')}) AS bigint) AS digest FROM w GROUP BY start")(_paths(_k))
 
 
 @register("simple_paths_3", "SELECT count(*) AS n_paths, count(DISTINCT a.s) AS n_starts FROM ed a JOIN ed b ON a.o = b.s JOIN ed c ON b.o = c.s WHERE a.s <> a.o AND b.o <> a.s AND b.o <> a.o AND c.o <> a.s AND c.o <> a.o AND c.o <> b.o")
@@ -308,9 +315,10 @@ def simple_paths_3(spark, d):
     return p.agg(F.count("*").alias("n_paths"), F.countDistinct(F.get("nodes", F.lit(0))).alias("n_starts"))
 
 
-@register("path_lookahead", "SELECT s, p, o FROM ed WHERE o IN (SELECT s FROM ed)")
+@register("path_lookahead", f""", n AS MATERIALIZED (SELECT DISTINCT s FROM ed), w AS MATERIALIZED (SELECT ed.s, ed.p || ' ' || ed.o AS e FROM ed JOIN n ON ed.o = n.s) SELECT s, count(*) AS n_edges, cast(sum({_DIGEST.format('e')}) AS bigint) AS digest FROM w GROUP BY s""")
 def path_lookahead(spark, d):
-    return graph.lookahead(kgview.edges(spark, d))
+    """The edges of each node that lead on: their number and a digest."""
+    return graph.lookahead(kgview.edges(spark, d)).groupBy("s").agg(F.count("*").alias("n_edges"), _digest(F.concat_ws(" ", "p", "o")))
 
 
 _EXTEND = f"""SELECT seed, preds FROM (SELECT w.seed, w.preds, row_number() OVER (PARTITION BY w.seed ORDER BY {order_sql("'2'", "'more'", "replace(w.preds, '|', ' ')")}, w.preds) AS k
@@ -580,7 +588,7 @@ def combine_union(spark, d):
     return _records(spark).unionByName(records.nonempty(_records(spark)))
 
 
-@register("combine_stats", f", {_STAR_RECORDS} SELECT count(*) AS n_queries, 3 AS min_size, 3 AS max_size, min(n_objects_instantiated) AS min_bound, max(n_objects_instantiated) AS max_bound, -1::bigint AS min_y, -1::bigint AS max_y FROM rec")
+@register("combine_stats", f", {_STAR_RECORDS} SELECT count(*) AS n_queries, min(size) AS min_size, max(size) AS max_size, min(n_objects_instantiated) AS min_bound, max(n_objects_instantiated) AS max_bound, min(y) AS min_y, max(y) AS max_y FROM (SELECT n_objects_instantiated, (length(query) - length(replace(query, ' . ', ''))) // 3 + 1 AS size, -1::bigint AS y FROM rec)")
 def combine_stats(spark, d):
     return records.statistics(_star_records(spark, d))
 

@@ -108,7 +108,7 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
     """Samples different queries, counts them if asked, and writes the final file if `output` names a folder."""
     if c.kind not in KINDS:
         raise ValueError(f"kind is one of {', '.join(KINDS)}, not {c.kind!r}")
-    g = _graph(spark, c)
+    g, text = _graph(spark, c), ""
     edges = g.select("s", "p", "o")
     if c.kind in ("star", "star_combinations"):
         edges = g.selectExpr("s", "p", "CASE WHEN o_kind = 'iri' THEN substring(o, 2, length(o) - 2) ELSE o END AS o", "o_kind = 'iri' AS o_is_iri")
@@ -127,7 +127,8 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
         make = lambda k: sampling.path_queries(sampling.sampled_paths(edges, c.size, c.seed, k, c.starts, c.sampling_method, c.attempts), c.seed, k, c.p_edge, c.p_start_end)
     else:
         shape = {"flower": sampling.flower_shape, "snowflake": sampling.snowflake_shape}.get(c.kind)
-        make, rules = _shape_run(g, c, shape(c.size, c.leaves) if shape else c.query_shape or "")
+        text = shape(c.size, c.leaves) if shape else c.query_shape or ""
+        make, rules = _shape_run(g, c, text)
     result = passes.collect(make, rules, c.dedup_method, save)
     if c.cardinality or c.kind in _FOUND:
         each = _SECONDS.get(c.kind, 3.0) if c.count_seconds is None else c.count_seconds
@@ -136,8 +137,7 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
     if c.kind in _FOUND:
         result.records = records.nonempty(result.records)
     if c.output:
-        total = result.records.count()
-        name = records.output_name(c.dataset, {"star": "stars"}.get(c.kind, c.kind), total, c.sampling_method if c.kind == "path" else None, final=c.kind != "star")
+        name = records.output_name(c.dataset, {"star": "stars"}.get(c.kind, c.kind), len(parse_shape(text)) if text else c.size, c.sampling_method if c.kind == "path" else None, final=c.kind != "star")
         records.write_json(result.records.drop("key", "pass"), os.path.join(c.output, name))
     return result
 

@@ -62,7 +62,7 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
     for n in range(rules.max_passes):
         began = time.monotonic()
         rows = candidates(n).withColumn("key", dedup_key("triples", method))
-        rows = rows.withColumn("at", F.md5(F.concat_ws("|", F.lit(n), "start")))
+        rows = lazily_kept(rows.withColumn("at", F.md5(F.concat_ws("|", F.lit(n), "start"))))  # read several times below
         first = rows.groupBy("key").agg(F.min(F.struct("at", "start")).alias("f"))
         rows = rows.join(first.select("key", F.col("f.at").alias("fa"), F.col("f.start").alias("fs")), "key")
         rows = rows.withColumn("again", ~((F.col("at") == F.col("fa")) & (F.col("start") == F.col("fs")))).drop("fa", "fs")

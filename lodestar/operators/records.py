@@ -42,7 +42,7 @@ def write_json(df: DataFrame, path: str) -> int:
 
 
 def output_name(dataset: str, kind: str, n: int, method: str | None = None, final: bool = False, at: float | None = None) -> str:
-    """{dataset}_{kind}_{time}_{n}[_method][_final].json"""
+    """{dataset}_{kind}_{time}_{n}[_method][_final].json; n is the triples of each query."""
     stamp = time.strftime("%Y-%m-%d_%H-%M-%S", time.localtime(at))
     return "_".join([dataset, kind, stamp, str(n), *([method] if method else []), *(["final"] if final else [])]) + ".json"
 

@@ -107,16 +107,18 @@ def _condition(q: Query) -> Column | None:
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
-def run(triples: DataFrame, query: str | Query, seed: int = 0) -> DataFrame:
+def run(triples: DataFrame, query: str | Query, seed: int = 0, is_set: bool = False) -> DataFrame:
     """Rows of a SELECT, or one boolean row of an ASK. A graph filters the column g, where there is one. Random order
-    is by md5 of the seed and the row, so it can be repeated; LIMIT without an order takes the first rows in that way."""
+    is by md5 of the seed and the row, so it can be repeated; LIMIT without an order takes the first rows in that way. is_set: no triple is repeated, as
+    in a graph that is stored, so none is looked for."""
     q = parse(query) if isinstance(query, str) else query
     if q.graph is not None and "g" in triples.columns:
         triples = triples.where(F.col("g") == q.graph)
     triples = triples.select("s", "p", "o")
+    triples = triples if is_set else triples.distinct()
     if q.count_as and not q.filters and not q.values:
-        return bgp.count(triples.distinct(), q.patterns).select(F.col("y").cast("bigint").alias(q.count_as))
-    df = bgp.solutions(triples.distinct(), q.patterns, _condition(q))
+        return bgp.count(triples, q.patterns).select(F.col("y").cast("bigint").alias(q.count_as))
+    df = bgp.solutions(triples, q.patterns, _condition(q))
     for v, terms_of in q.values.items():
         df = df.join(F.broadcast(triples.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms_of)], f"{v} string")), v, "left_semi")
     if q.form == "ask":
