@@ -8,7 +8,8 @@ those that mark their content with <article> or <main>, counted on a bounded sam
 What lies inside of the region and has a weight below zero itself is left out: elements that never hold main text, and
 those whose class, id or role has such a weight. A name's weight comes from the labelled pages too; it starts below zero
 for names that say what they are (adverts, forms, notices, readers' comments), which labels can't tell, since an
-article's element holds them as well.
+article's element holds them as well. An id of a section, a heading or a paragraph is an anchor and says nothing, but for
+readers' comments; a paragraph or heading of several classes is furniture only if all of them are.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import prepare
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|annotation|annotation-xml|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _ENDS_P = _BLOCK - {"html", "head", "body", "title", "option", "button"}
@@ -46,7 +47,10 @@ _FURNITURE_NAMES = frozenset(
     "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _ANY_NAMES = frozenset("area article articles bar block bottom box btn button buttons center container form global holder icon icons inner item items left link links list main outer page pages panel post posts primary reader readers right row secondary section site slot small stories sub thread top unit user users wrap wrapper".split())
+_COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
 _CONTENT = frozenset(("article", "main"))
+#: Elements whose id is an anchor to link to.
+_ANCHORED = frozenset("article blockquote dd details dt figcaption figure h1 h2 h3 h4 h5 h6 li p pre section summary".split())
 
 
 @lru_cache(10_000)
@@ -56,8 +60,23 @@ def names_of(value: str) -> tuple[str, ...]:
 
 @lru_cache(10_000)
 def is_furniture(name: str) -> bool:
+    """An anchor's name, which starts with #, says so only of readers' comments."""
     parts = {x.lower() for x in _NAME_PART.findall(name)}
-    return bool(parts & _FURNITURE_NAMES) and parts <= _FURNITURE_NAMES | _ANY_NAMES
+    return bool(parts & (_COMMENT_NAMES if name[0] == "#" else _FURNITURE_NAMES)) and parts <= _FURNITURE_NAMES | _ANY_NAMES
+
+
+def own_names(element: str, attributes: str) -> set[str]:
+    """The names in the class, id and role of an element."""
+    own: set[str] = set()
+    for m in _NAMED.finditer(attributes):
+        names = names_of(m[2] or m[3] or m[4] or "")
+        if m[1].lower() == "id" and element in _ANCHORED:
+            own.update("#" + n for n in names)
+        elif element not in _RUNNING or all(map(is_furniture, names)):
+            own.update(names)
+        else:
+            own.update(n for n in names if not is_furniture(n))
+    return own
 
 
 @dataclass
@@ -77,10 +96,11 @@ class Block:
 
 def parse(page: str) -> list:
     """Tokens: a Block, or a tag as its name, with / before it where it ends an element, the names of what it stands in or
-    begins or ends, and whether that is furniture."""
+    begins or ends, and whether that is furniture. The tags of a formula are none: it is text."""
     tokens: list = []
     stack: list[tuple[str, frozenset[str], bool]] = []  # name, names of it and of what holds it, furniture
     links = 0
+    formula = False
     block: Block | None = None
 
     def add(text: str) -> None:
@@ -119,7 +139,9 @@ def parse(page: str) -> list:
             links = max(0, links - 1) if end else 1
         elif name == "br" and block is not None:
             block.chunks.append(" ")
-        if end or name not in _BLOCK:
+        elif name == "math" or name in _BLOCK:
+            formula = name == "math" and not end
+        if end and name in _BLOCK or name not in _BLOCK and not formula:
             tag("/" + name if end else name)
         if name not in _BLOCK:
             continue
@@ -143,7 +165,7 @@ def parse(page: str) -> list:
         inside = any(x[0] in _CONTENT for x in stack)
         names = stack[-1][1] if stack else frozenset()
         if rest and name not in ("html", "body", "main"):
-            own = {n for q in _NAMED.findall(rest) for n in names_of(q[0] or q[1] or q[2])}
+            own = own_names(name, rest)
             if name == "article":  # it says itself what it is, unless it is one of many under an article
                 own = {n for n in own if inside and is_furniture(n)}
             elif not inside and any("header" in map(str.lower, _NAME_PART.findall(n)) for n in own):

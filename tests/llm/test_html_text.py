@@ -46,6 +46,28 @@ def test_names(weights):
     assert extract(plain, w) == "A story that is told." and extract(plain, {}).startswith("Words")
 
 
+def test_anchors_classes_and_formulas(weights):
+    """Ids of sections and headings, one class of several, formulas and an object's own text belong to the article."""
+    page = (
+        '<body><nav><a href=x>Menu</a></nav><article><h1>Trees</h1><p>A tree has nodes and edges in it.</p><h2 id="search">Search trees</h2><p id="alert" class="lead alert">They keep order.</p>'
+        '<section id="related"><p>Others wrote of them.</p></section><section id="legal"><h3 id="share" class="title">Law</h3><p>It says so.</p></section>'
+        "<p>So <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup><semantics><annotation encoding=x>a=b^2</annotation></semantics></math> holds.</p>"
+        '<object data="x.swf"><p>No film here.</p></object><p class="alert">Notice.</p><div id="share-bar">Share it.</div><p>That is all.</p>'
+        '<section id="comments"><p>First!</p></section><article id="comment-12"><p>Second!</p></article></article></body>'
+    )
+    want = "Trees\nA tree has nodes and edges in it.\nSearch trees\nThey keep order.\nOthers wrote of them.\nLaw\nIt says so.\nSo a=b2 holds.\nNo film here.\nThat is all."
+    for w in ({}, weights):
+        assert extract(page, w) == want
+    long = "<article><p>It is shown here.</p><p><math>" + "<mrow><mi>x</mi></mrow>" * 200 + "</math></p><p>That was it.</p></article>"
+    assert extract(long, {}) == "It is shown here.\n" + "x" * 200 + "\nThat was it."
+    assert extract("<article><p>An open <math><mi>x</mi><p>formula ends <b>with</b> its block.</p></article>", {}) == "An open x\nformula ends with its block."
+
+
+def test_of_equal_stretches_the_first():
+    assert extract("<p>aa bb cc</p>" + "</div>" * 5 + "<p>dd ee ff</p>", {}) == "aa bb cc"
+    assert extract("<p>aa bb cc</p>" + "</div>" * 5 + "<p>dd ee ff gg</p>", {}) == "dd ee ff gg"
+
+
 def test_the_stretch_is_the_best_one():
     """Against all stretches."""
     import itertools
