@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import importlib.util
 import json
 import math
 import os
 import time
-from dataclasses import dataclass, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.operators import passes, records, sampling
 from lodestar.operators.graph import suitable_stars
+from lodestar.operators.progress import Progress
 from lodestar.plans.shapes import SHAPES, parse_shape, plan
 from lodestar.sources.ntriples import cached_graph, parse_edges, parse_star, read_lines
+from lodestar.sources.store import source_key
 
 
 @dataclass(frozen=True)
@@ -23,7 +26,10 @@ class Config:
     """One run. kind: star, path or complex; star_combinations draws templates from all combinations of predicates that
     subjects have, seeded_path extends seed paths of seed_hops, and flower and snowflake are paths of `size` edges with
     `leaves` more at one end or both; these four keep what has solutions. cache: a folder for parsed graphs; empty parses each time.
-    count_seconds: what a count may take on average, 10 s for a star and 3 s for others if it isn't set; beyond it y stays -1."""
+    count_seconds: what a count may take on average, 10 s for a star and 3 s for others if it isn't set; a batch that takes
+    longer is halved until only the queries that are late themselves keep y = -1. progress: a folder for the passes made, from
+    which a run that was killed goes on. save_every: the output is also written without counts each time so many more
+    queries are there. output_file: the name of the output in place of one with the time."""
 
     graph: str
     dataset: str = "dataset"
@@ -51,6 +57,9 @@ class Config:
     count_seconds: float | None = None
     cache: str = ""
     output: str = ""
+    output_file: str = ""
+    progress: str = ""
+    save_every: int = 100
 
     @classmethod
     def from_dict(cls, values: dict) -> Config:
@@ -78,6 +87,8 @@ class Config:
 _FOUND = ("star_combinations", "seeded_path", "flower", "snowflake")
 KINDS = ("star", "path", "complex", *_FOUND)
 _SECONDS = {"star": 10.0, "star_combinations": 10.0}
+#: Seconds that any batch of counts may take, for Spark's own share of the time.
+_LEAST = 60.0
 
 
 def _graph(spark: SparkSession, c: Config) -> DataFrame:
@@ -104,8 +115,23 @@ def _shape_run(g: DataFrame, c: Config, text: str) -> tuple:
     return make, passes.Rules(c.n_queries, max_streak=max(500, subjects.count() // 10))
 
 
+#: Settings that don't change which queries a run samples.
+_ASIDE = ("dataset", "cache", "output", "output_file", "progress", "save_every", "cardinality", "count_seconds")
+
+
+def progress_of(spark: SparkSession, c: Config) -> Progress | None:
+    """The log of the run's passes, in a folder of its own for each state of the source and the settings."""
+    if not c.progress:
+        return None
+    own = {k: v for k, v in asdict(c).items() if k not in _ASIDE}
+    key = hashlib.md5(json.dumps([source_key(spark, [c.graph]), own], sort_keys=True).encode()).hexdigest()
+    return Progress(spark, f"{c.progress}/run-{key}")
+
+
 def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
-    """Samples different queries, counts them if asked, and writes the final file if `output` names a folder."""
+    """Samples different queries, counts them if asked, and writes the final file, and others before it, if `output` names
+    a folder."""
+    began = time.time()
     if c.kind not in KINDS:
         raise ValueError(f"kind is one of {', '.join(KINDS)}, not {c.kind!r}")
     g, text = _graph(spark, c), ""
@@ -129,16 +155,27 @@ def run(spark: SparkSession, c: Config, save=None) -> passes.Result:
         shape = {"flower": sampling.flower_shape, "snowflake": sampling.snowflake_shape}.get(c.kind)
         text = shape(c.size, c.leaves) if shape else c.query_shape or ""
         make, rules = _shape_run(g, c, text)
-    result = passes.collect(make, rules, c.dedup_method, save)
+    size, method = len(parse_shape(text)) if text else c.size, c.sampling_method if c.kind == "path" else None
+
+    def path(final: bool) -> str:
+        return os.path.join(c.output, c.output_file or records.output_name(c.dataset, {"star": "stars"}.get(c.kind, c.kind), size, method, final and c.kind != "star", began))
+
+    saved = 0
+
+    def after(r: passes.Result) -> None:
+        nonlocal saved
+        if c.output and not r.reason and r.passes[-1]["total"] - saved >= c.save_every:
+            saved = records.write_json(r.records.drop("key", "pass"), path(False))
+
+    result = passes.collect(make, rules, c.dedup_method, save, progress_of(spark, c), after)
     if c.cardinality or c.kind in _FOUND:
         each = _SECONDS.get(c.kind, 3.0) if c.count_seconds is None else c.count_seconds
-        n = result.passes[-1]["total"] if result.passes else 0
-        result.records = passes.counted(edges.select("s", "p", "o").distinct(), result.records, each * max(1, n), passes.kept)
+        least = _LEAST if c.count_seconds is None else 0.0
+        result.records = passes.counted(edges.select("s", "p", "o").distinct(), result.records, each, passes.kept, least=least)
     if c.kind in _FOUND:
         result.records = records.nonempty(result.records)
     if c.output:
-        name = records.output_name(c.dataset, {"star": "stars"}.get(c.kind, c.kind), len(parse_shape(text)) if text else c.size, c.sampling_method if c.kind == "path" else None, final=c.kind != "star")
-        records.write_json(result.records.drop("key", "pass"), os.path.join(c.output, name))
+        records.write_json(result.records.drop("key", "pass"), path(True))
     return result
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators.dedup import dedup_key, unseen
+from lodestar.operators.progress import Progress
 from lodestar.operators.ranges import carried, kept, lazily_kept, ordered, places
 from lodestar.plans.bgp import count_batch
 
@@ -53,13 +54,22 @@ def duplicate_streak(df: DataFrame, duplicate: Column, *order: Column) -> DataFr
     return carried(d, before).withColumn("streak", F.col("_at") - F.coalesce(last, -F.col("_before"))).drop("_part", "_at", "_before", "_dup")
 
 
-def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str = "hash", save: Callable[[DataFrame, int], DataFrame] | None = None) -> Result:
+def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str = "hash", save: Callable[[DataFrame, int], DataFrame] | None = None, log: Progress | None = None, after: Callable[[Result], None] | None = None) -> Result:
     """candidates(pass) gives records with `start`. New ones, by their key, are appended pass by pass; save(rows, pass)
     should write them as a table and read it again, so that each pass is worked out once; without it passes go to the
-    checkpoint folder, or are cached where none is set."""
+    checkpoint folder, or are cached where none is set. With a log passes go there instead, and those that it has already
+    are taken from it, so a run whose driver was killed goes on behind its last pass and ends with the rows that it would
+    have had. after(result) is called behind each pass that was made."""
     out: DataFrame | None = None
     result, have, slow = Result(None), 0, 0  # type: ignore[arg-type]
-    for n in range(rules.max_passes):
+    for told in log.done() if log else ():
+        out = log.rows(told["pass"]) if out is None else out.unionByName(log.rows(told["pass"]))
+        have, slow, result.reason = told["total"], told["slow"], told["reason"]
+        result.passes.append({k: told[k] for k in ("pass", "new", "total")})
+    result.records = out
+    if result.reason:
+        return result
+    for n in range(len(result.passes), rules.max_passes):
         began = time.monotonic()
         rows = candidates(n).withColumn("key", dedup_key("triples", method))
         rows = lazily_kept(rows.withColumn("at", F.md5(F.concat_ws("|", F.lit(n), "start"))))  # read several times below
@@ -73,20 +83,24 @@ def collect(candidates: Callable[[int], DataFrame], rules: Rules, method: str =
             stop = marked.where(F.col("streak") >= rules.max_streak).agg(F.min("at")).first()[0]
             rows = rows.where(F.col("at") <= stop) if stop is not None else rows
         new = rows.where(~F.col("again")).orderBy("at", "start").limit(rules.target - have).drop("again", "at").withColumn("pass", F.lit(n))
-        new = save(new, n) if save else lazily_kept(new)
+        new = log.write(new, n) if log else save(new, n) if save else lazily_kept(new)
         got = new.count()
         out, have = new if out is None else out.unionByName(new), have + got
-        result.passes.append({"pass": n, "new": got, "total": have})
+        slow = slow + got if rules.slow_seconds and got and (time.monotonic() - began) / got > rules.slow_seconds else 0
         if have >= rules.target or got < rules.least_new:
             result.reason = "target" if have >= rules.target else "few new"
-            break
-        slow = slow + got if rules.slow_seconds and got and (time.monotonic() - began) / got > rules.slow_seconds else 0
-        if slow >= rules.slow_queries:
+        elif slow >= rules.slow_queries:
             result.reason = "slow"
+        elif n + 1 == rules.max_passes:
+            result.reason = "passes"
+        result.records = out
+        result.passes.append({"pass": n, "new": got, "total": have})
+        if log:
+            log.commit(n, {**result.passes[-1], "slow": slow, "reason": result.reason})
+        if after:
+            after(result)
+        if result.reason:
             break
-    else:
-        result.reason = "passes"
-    result.records = out
     return result
 
 
@@ -122,14 +136,60 @@ def within(df: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame]
         sc.removeJobTag(tag)
 
 
-def counted(triples: DataFrame, records: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame], on_timeout: str = "mark", key: str = "key") -> DataFrame:
-    """with_counts() within a time limit for all records. Beyond it they keep y = -1 (mark) or are dropped (drop)."""
+def estimated(triples: DataFrame, records: DataFrame, key: str = "key") -> DataFrame:
+    """key and cost: the product, as a logarithm, of how many edges the predicate of each pattern has; a variable's are all
+    edges. Bound ends count as one edge for each different node at that end."""
+    sizes = triples.groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("ns"), F.approx_count_distinct("o").alias("no"))
+    whole = triples.agg(F.count("*").alias("all"))
+    parts = records.select(F.col(key).alias("_key"), F.explode_outer("triples").alias("t"))
+    parts = parts.select("_key", F.regexp_extract(F.col("t")[1], "^<(.*)>$", 1).alias("p"), (~F.col("t")[0].startswith("?")).alias("sb"), (~F.col("t")[2].startswith("?")).alias("ob"))
+    rows = parts.join(sizes, "p", "left").crossJoin(F.broadcast(whole))  # one row
+    n = F.coalesce("n", F.when(F.col("p") == "", F.col("all")).otherwise(F.lit(0)))
+    each = n / F.when(F.col("sb"), F.greatest(F.coalesce("ns", F.lit(1)), F.lit(1))).otherwise(1) / F.when(F.col("ob"), F.greatest(F.coalesce("no", F.lit(1)), F.lit(1))).otherwise(1)
+    return rows.groupBy(F.col("_key").alias(key)).agg(F.sum(F.log1p(F.coalesce(each, F.lit(0.0)))).alias("cost"))
+
+
+def counted(triples: DataFrame, records: DataFrame, seconds: float, save: Callable[[DataFrame], DataFrame], on_timeout: str = "mark", key: str = "key", least: float = 0.0) -> DataFrame:
+    """with_counts() within a time limit: `seconds` for each record on average, `least` for any batch. A batch that is late is
+    halved in the order of estimated costs and each half has its own limit, down to one record: only records that are late on
+    their own keep y = -1 (mark) or are dropped (drop). Cheap halves go first, and all batches together end at three times the
+    records' limit and `least` for each halving that one record takes; the costly ones that are open then are late too."""
     if on_timeout not in ("mark", "drop"):
         raise ValueError(f"on_timeout is mark or drop, not {on_timeout!r}")
-    done = within(with_counts(triples, records, key), seconds, save)
+    n, late = records.count(), records.withColumn("y", F.lit(-1).cast("bigint"))
+    if n == 0:
+        return late
+    count = lambda rows: save(with_counts(triples, rows, key))  # noqa: E731 (jobs run in with_counts() too)
+    end = time.monotonic() + 3 * seconds * n + least * 2 * (1 + n.bit_length())
+    done = within(records, max(least, seconds * n), count)
     if done is not None:
         return done
-    return records.withColumn("y", F.lit(-1).cast("bigint")) if on_timeout == "mark" else records.limit(0)
+    if n > 1:
+        costs = kept(places(estimated(triples, records, key), "_rank", -F.col("cost"), F.col(key)).select(key, "_rank"))
+        ranked = records.join(costs, key)
+    found: list[DataFrame] = []
+    open_: list[tuple[int, int]] = [(1 + n // 2, n), (1, n // 2)] if n > 1 else []
+    missed: list[tuple[int, int]] = [] if n > 1 else [(1, 1)]
+    while open_:
+        lo, hi = open_.pop(open_.index(max(open_)))
+        size, left = hi - lo + 1, end - time.monotonic()
+        part = ranked.where(F.col("_rank").between(lo, hi)).drop("_rank")
+        done = within(part, min(left, max(least, seconds * size)), count) if left > 0 else None
+        if done is not None:
+            found.append(done)
+        elif size == 1 or left <= 0:
+            missed.append((lo, hi))
+        else:
+            open_ += [(lo + size // 2, hi), (lo, lo + size // 2 - 1)]
+    if on_timeout == "mark" and missed:
+        away = records if n == 1 else ranked.where(" or ".join(f"_rank between {lo} and {hi}" for lo, hi in missed)).drop("_rank")
+        found.append(away.withColumn("y", F.lit(-1).cast("bigint")))
+    if not found:
+        return late.limit(0)
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def run_metrics(records: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -510,3 +510,79 @@ def test_path_runs_find_the_only_path_beyond_the_cap(spark, tmp_path):
     for starts in (None, 500):
         r = run(spark, Config(graph=str(tmp_path / "g.nt"), kind="path", size=3, n_queries=5, cap=2, starts=starts, p_start_end=0.0))
         assert r.passes[0]["new"] == 1, r.passes
+
+
+def test_killed_runs_go_on(spark, tmp_path):
+    """A run that dies in the middle of a pass gives the uninterrupted run's records when it is started again, without
+    its finished passes being made again, and writes its output on the way."""
+    import json
+
+    from lodestar.operators import progress
+
+    made: list[int] = []
+
+    def candidates(n):
+        made.append(n)
+        return spark.createDataFrame([(f"s{i}", [["?s", f"<p{(n * 7 + i) % 40}>", "?o"]]) for i in range(20)], "start string, triples array<array<string>>")
+
+    rules = passes.Rules(100, least_new=1, max_passes=9, max_streak=50)
+    rows = lambda r: sorted((x.key, x.start, x["pass"]) for x in r.records.collect())
+    whole = passes.collect(candidates, rules)
+
+    class Dies(progress.Progress):
+        def commit(self, n, entry):
+            if n == 2:
+                raise KeyboardInterrupt  # rows are there, the entry isn't
+            super().commit(n, entry)
+
+    with pytest.raises(KeyboardInterrupt):
+        passes.collect(candidates, rules, log=Dies(spark, str(tmp_path / "log")))
+    log = progress.Progress(spark, str(tmp_path / "log"))
+    assert [x["pass"] for x in log.done()] == [0, 1]
+    made.clear()
+    again = passes.collect(candidates, rules, log=log)
+    assert made[0] == 2 and rows(again) == rows(whole) and again.passes == whole.passes and again.reason == whole.reason
+    made.clear()
+    assert rows(passes.collect(candidates, rules, log=log)) == rows(whole) and not made
+
+    f = tmp_path / "g.nt"
+    f.write_text("\n".join(r.value for r in kgview.lines(spark, SF).collect()))
+    c = Config(str(f), "d", "path", 2, 40, starts=20, progress=str(tmp_path / "runs"), output=str(tmp_path / "out"), save_every=5)
+    first = run(spark, c)
+    assert rows(run(spark, c)) == rows(first) and len(list((tmp_path / "runs").iterdir())) == 1
+    run(spark, Config(**{**c.__dict__, "n_queries": 3, "output_file": "mine.json"}))
+    assert len(list((tmp_path / "runs").iterdir())) == 2 and len(json.loads((tmp_path / "out" / "mine.json").read_text())) == 3
+    names = sorted(x.name for x in (tmp_path / "out").iterdir() if x.name != "mine.json")
+    assert any(x.endswith("_2_dfs_final.json") for x in names) and (len(first.passes) < 2 or any(x.endswith("_2_dfs.json") for x in names))
+
+
+def test_a_late_query_voids_only_itself(spark, monkeypatch):
+    """One hub query among light ones: its count is late in every batch that it is in."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(passes, "with_counts", lambda tr, rows, key="key": rows.withColumn("y", F.lit(10).cast("bigint")))
+
+    tr = spark.createDataFrame([("hub", "big", f"o{i}") for i in range(300)] + [(f"s{i}", f"p{i % 8}", "o") for i in range(80)], "s string, p string, o string")
+    light = [(f"k{i}", [["?s", f"<p{i}>", "?o"]], -1) for i in range(8)]
+    heavy = ("heavy", [["?s", "<big>", "?a"], ["?s", "<big>", "?b"]], -1)
+    r = spark.createDataFrame([*light, heavy], "key string, triples array<array<string>>, y bigint")
+    sizes: list[int] = []
+
+    def slow(df):  # stands for a batch that the hub keeps busy
+        rows = df.collect()
+        sizes.append(len(rows))
+        if any(x.key == "heavy" for x in rows):
+            spark.range(10**13).selectExpr("sum(id % 7)").collect()
+        return spark.createDataFrame(rows, df.schema)
+
+    began = time.monotonic()
+    got = {x.key: x.y for x in passes.counted(tr, r, 0.5, slow, least=5.0).collect()}
+    assert got == {"heavy": -1, **{f"k{i}": 10 for i in range(8)}}, (got, sizes)
+    assert time.monotonic() - began < 120
+    cost = {x.key: x.cost for x in passes.estimated(tr, r).collect()}
+    assert max(cost, key=cost.get) == "heavy" and len(cost) == 9
+    with pytest.raises(ValueError):
+        passes.counted(tr, r, 1.0, slow, "skip")
+    assert passes.counted(tr, r.limit(0), 1.0, slow).count() == 0
