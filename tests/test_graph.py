@@ -515,8 +515,6 @@ def test_path_runs_find_the_only_path_beyond_the_cap(spark, tmp_path):
 def test_killed_runs_go_on(spark, tmp_path):
     """A run that dies in the middle of a pass gives the uninterrupted run's records when it is started again, without
     its finished passes being made again, and writes its output on the way."""
-    import json
-
     from lodestar.operators import progress
 
     made: list[int] = []
@@ -525,34 +523,34 @@ def test_killed_runs_go_on(spark, tmp_path):
         made.append(n)
         return spark.createDataFrame([(f"s{i}", [["?s", f"<p{(n * 7 + i) % 40}>", "?o"]]) for i in range(20)], "start string, triples array<array<string>>")
 
-    rules = passes.Rules(100, least_new=1, max_passes=9, max_streak=50)
+    rules = passes.Rules(100, least_new=1, max_passes=3)
     rows = lambda r: sorted((x.key, x.start, x["pass"]) for x in r.records.collect())
     whole = passes.collect(candidates, rules)
 
     class Dies(progress.Progress):
         def commit(self, n, entry):
-            if n == 2:
+            if n == 1:
                 raise KeyboardInterrupt  # rows are there, the entry isn't
             super().commit(n, entry)
 
     with pytest.raises(KeyboardInterrupt):
         passes.collect(candidates, rules, log=Dies(spark, str(tmp_path / "log")))
     log = progress.Progress(spark, str(tmp_path / "log"))
-    assert [x["pass"] for x in log.done()] == [0, 1]
+    assert [x["pass"] for x in log.done()] == [0]
     made.clear()
     again = passes.collect(candidates, rules, log=log)
-    assert made[0] == 2 and rows(again) == rows(whole) and again.passes == whole.passes and again.reason == whole.reason
+    assert made == [1, 2] and rows(again) == rows(whole) and again.passes == whole.passes and again.reason == whole.reason
     made.clear()
     assert rows(passes.collect(candidates, rules, log=log)) == rows(whole) and not made
 
     f = tmp_path / "g.nt"
-    f.write_text("\n".join(r.value for r in kgview.lines(spark, SF).collect()))
-    c = Config(str(f), "d", "path", 2, 40, starts=20, progress=str(tmp_path / "runs"), output=str(tmp_path / "out"), save_every=5)
+    f.write_text("\n".join(f"<a{i}> <p{i % 3}> <b{i % 7}> .\n<b{i % 7}> <q> <c{i}> ." for i in range(30)))
+    c = Config(str(f), "d", "path", 2, 40, starts=8, progress=str(tmp_path / "runs"), output=str(tmp_path / "out"), save_every=1)
     first = run(spark, c)
-    assert rows(run(spark, c)) == rows(first) and len(list((tmp_path / "runs").iterdir())) == 1
-    run(spark, Config(**{**c.__dict__, "n_queries": 3, "output_file": "mine.json"}))
-    assert len(list((tmp_path / "runs").iterdir())) == 2 and len(json.loads((tmp_path / "out" / "mine.json").read_text())) == 3
-    names = sorted(x.name for x in (tmp_path / "out").iterdir() if x.name != "mine.json")
+    again = run(spark, Config(**{**c.__dict__, "output_file": "mine.json"}))
+    assert rows(again) == rows(first) and len(list((tmp_path / "runs").iterdir())) == 1
+    names = sorted(x.name for x in (tmp_path / "out").iterdir())
+    assert len(json.loads((tmp_path / "out" / "mine.json").read_text())) == len(rows(first)) > 0
     assert any(x.endswith("_2_dfs_final.json") for x in names) and (len(first.passes) < 2 or any(x.endswith("_2_dfs.json") for x in names))
 
 
