@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from lodestar.config import Config, run, run_all_shapes, run_batch
 from lodestar.operators import dedup, graph, passes, records, sampling
 from lodestar.operators.dedup import brute_canonical, canonical, hash_key_of, wl_key_of
-from lodestar.plans import bgp, sparql
+from lodestar.plans import bgp, sparql, walks
 from lodestar.plans.batch import parts
 from lodestar.plans.shapes import SHAPES, parse_shape, plan
 from lodestar.sources import kgview
@@ -584,3 +584,34 @@ def test_a_late_query_voids_only_itself(spark, monkeypatch):
     with pytest.raises(ValueError):
         passes.counted(tr, r, 1.0, slow, "skip")
     assert passes.counted(tr, r.limit(0), 1.0, slow).count() == 0
+
+
+def _brute_paths(edges, k):
+    out = [((s, o), (p,)) for s, p, o in edges if s != o]
+    for _ in range(k - 1):
+        out = [((*n, o), (*ps, p)) for n, ps in out for s, p, o in edges if s == n[-1] and o not in n]
+    return out
+
+
+def test_three_edges_are_counted_as_made(spark):
+    rng = random.Random(5)
+    for n, m in ((4, 12), (5, 24), (7, 20), (9, 60)):
+        e = sorted({(rng.randrange(n), f"p{rng.randrange(3)}", rng.randrange(n)) for _ in range(m)})
+        df = spark.createDataFrame(e, "s long, p string, o long")
+        for k in (1, 2, 3):
+            assert sorted(tuple(r.preds) for r in walks.predicate_tuples(df, k).collect()) == sorted({ps for _, ps in _brute_paths(e, k)}), (n, m, k)
+        three = _brute_paths(e, 3)
+        assert tuple(walks.count_three(df).first()) == (len(three), len({x[0] for x, _ in three})), (n, m)
+    assert tuple(walks.count_three(spark.createDataFrame([], "s long, p string, o long")).first()) == (0, 0)
+
+
+def test_three_edges_between_hubs(spark):
+    """1.6e9 paths: they are counted, not made."""
+    n = 40_000
+    ids = spark.range(n)
+    e = ids.selectExpr("id + 10 AS s", "'in' AS p", "0L AS o").unionAll(ids.selectExpr("1L AS s", "'out' AS p", f"id + {n + 10} AS o"))
+    e = e.unionAll(spark.sql("SELECT 0L AS s, 'mid' AS p, 1L AS o"))
+    assert tuple(walks.count_three(e).first()) == (n * n, n)
+    assert [r.preds for r in walks.predicate_tuples(e, 3).collect()] == [["in", "mid", "out"]]
+    seeded = sampling.seeded_path_queries(e, 2, 1, 5, 5, 1, 0.0).collect()
+    assert [r.triples for r in seeded] == [[["?o0", "<in>", "?o1"], ["?o1", "<mid>", "?o2"], ["?o2", "<out>", "?o3"]]]
