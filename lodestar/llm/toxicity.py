@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold, prepare, resident, written
+from lodestar.llm.common import drop, fold, prepare, resident, written
 from lodestar.llm.wordhash import NOT_SPACE, Words, bytes_of, groups, runs
 
 #: What a sign may stand for.
@@ -273,23 +273,21 @@ def score_of(hits: set[str], weights: dict[str, float]) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(rows: list[tuple[list[str], int]], steps: int = 400, penalty: float = 0.02) -> dict[str, float]:
-    """Logistic regression by gradient steps of adaptive size; (hits, label) rows, no weight below zero."""
-    names = {f: i + 1 for i, f in enumerate(sorted({f for h, _ in rows for f in h}))}
-    at = np.array([i for i, (h, _) in enumerate(rows) for _ in h], np.int64)
-    feature = np.array([names[f] for h, _ in rows for f in h], np.int64)
-    y = np.array([label for _, label in rows], np.float64)
-    w, past = np.zeros(len(names) + 1), np.full(len(names) + 1, 1e-8)
-    w[0] = -3.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(w[0] + np.bincount(at, w[feature], len(y)), -30, 30)))
-        g = np.bincount(feature, (p - y)[at], len(w))
-        g[1:] += penalty * w[1:]
-        g[0] = (p - y).sum()
-        past += g * g
-        w -= 0.5 * g / np.sqrt(past)
-        w[1:] = np.maximum(w[1:], 0.0)
-    return {"": float(w[0]), **{f: float(w[i]) for f, i in names.items()}}
+def fit(rows: DataFrame, names: list[str], penalty: float = 0.02) -> dict[str, float]:
+    """Logistic regression in Spark over rows (hits, toxic): only the weights of `names` reach the driver, none of them
+    below zero."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.linalg import Matrices
+
+    # Rows with the same hits and label count together.
+    alike = written(rows.groupBy("hits", "toxic").agg(F.count("*").cast("double").alias("n")), "toxic-hits")
+    n = alike.agg(F.sum("n")).first()[0]
+    vectors = CountVectorizerModel.from_vocabulary(names, "hits", "x").setBinary(True).transform(alike)
+    bounds = Matrices.dense(1, len(names), [0.0] * len(names))
+    model = LogisticRegression(featuresCol="x", labelCol="toxic", weightCol="n", regParam=penalty / n, standardization=False, lowerBoundsOnCoefficients=bounds, maxIter=200).fit(vectors)
+    drop(alike)
+    return {"": max(-30.0, min(30.0, model.intercept)), **dict(zip(names, map(float, model.coefficients.toArray()), strict=True))}
 
 
 def _key(column: pa.Array) -> np.ndarray:
@@ -303,16 +301,13 @@ def _key(column: pa.Array) -> np.ndarray:
     return np.array(out, np.uint64).view(np.int64)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of the lexicon's features and words for the character model, from about `sample` labelled
-    rows of docs, taken by the hash of their id; of near copies with one label one row counts. A feature enters if
-    chance would hardly tie it to toxic documents so closely (log-likelihood ratio against the number of features
-    tried) and most of its documents are toxic."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the lexicon's features and words for the character model, from all labelled rows of docs; of near copies with
+    one label one row counts. A feature enters if chance would hardly tie it to toxic documents so closely (log-likelihood
+    ratio against the number of features tried) and most of its documents are toxic."""
     prepare(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, sample / max(1, known.count()))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1 << 20))
-    picked = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known.where(u < share * (1 << 20)), "doc_id")
+    picked = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
 
     def keyed(batches):
         for b in batches:
@@ -356,7 +351,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dic
             got = [sorted(reader.features(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string())), b.column(1)], ["hits", "toxic"])
 
-    weights = fit([(r.hits, r.toxic) for r in rows.select("text", "toxic").mapInArrow(hits, "hits array<string>, toxic int").collect()]) if lexicon else {}
+    names = [*sorted(lexicon), *(f for _, f in SEVERAL)]
+    weights = fit(rows.select("text", "toxic").mapInArrow(hits, "hits array<string>, toxic int"), names) if lexicon else {}
     for f in alone:  # such a hit alone makes a text toxic with a probability of 0.6, however many others it mostly comes with
         if f in weights:
             weights[f] = max(weights[f], 0.4 - weights[""])
@@ -381,7 +377,7 @@ def score(docs: DataFrame, learned: tuple[dict[str, float], dict[str, float]], t
         raise ValueError(f"docs has {sorted(set(names) & set(docs.columns))}; give a suffix")
     cols = docs.columns if keep else ["doc_id", "text"]
     own = cols if keep else ["doc_id"]
-    shared = spark.sparkContext.broadcast(learned)  # bounded by the parameters of learn()
+    shared = spark.sparkContext.broadcast(learned)  # grows with the vocabulary of toxic texts, not with rows
     key = hash((tuple(sorted(learned[0].items())), tuple(sorted(learned[1].items()))))
     schema = docs.select(*own, F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]), F.array(F.lit("")).alias(names[2])).schema
     place = cols.index("text")

@@ -146,3 +146,13 @@ def test_short_ways_change_nothing():
             whole = set() if of._disguised(of._stripped(t)) else set(read) - plain
             every = {f for w in plain.union(read) for f in ([w] if w in whole else of.starts(w))}
             assert set(reader._hits(t)) == {f for f in every if lex is None or f in lex}, t
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    n = 24_000
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    d = ids.selectExpr("doc_id", "concat('xa', doc_id, ' xb', doc_id, ' xc', doc_id, ' both', if(doc_id % 2 = 0, ' vile', '')) AS text")
+    labels = ids.selectExpr("doc_id", "int(doc_id % 2 = 0) AS toxic")
+    weights, words = learn(d, labels)
+    assert words["both"] == n / 2 and words["vile"] == 20 * n / 2
+    assert weights["vile"] > 0 and all(w >= 0 for f, w in weights.items() if f)
