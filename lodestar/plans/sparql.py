@@ -118,7 +118,8 @@ def run(triples: DataFrame, query: str | Query, seed: int = 0, is_set: bool = Fa
     triples = triples if is_set else triples.distinct()
     if q.count_as and not q.filters and not q.values:
         return bgp.count(triples, q.patterns).select(F.col("y").cast("bigint").alias(q.count_as))
-    df = bgp.solutions(triples, q.patterns, _condition(q))
+    only = {*q.variables, *q.values, *(v for a, _, b in q.filters for v in (a, b))} if q.distinct and q.variables and q.form != "ask" and not q.count_as else None
+    df = bgp.solutions(triples, q.patterns, _condition(q), only)
     for v, terms_of in q.values.items():
         df = df.join(F.broadcast(triples.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms_of)], f"{v} string")), v, "left_semi")
     if q.form == "ask":

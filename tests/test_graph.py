@@ -7,6 +7,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.config import Config, run, run_all_shapes, run_batch
 from lodestar.operators import dedup, graph, passes, records, sampling
@@ -624,3 +625,24 @@ def test_whole_paths_and_matches_are_registered():
     for k in (1, 2):
         assert "AS nodes" in ORACLES[f"simple_paths_{k}"] and "count(*) AS n_paths" not in ORACLES[f"simple_paths_{k}"]
     assert "near" not in ORACLES["complex_queries"] and "late" not in ORACLES["complex_queries"]
+
+
+def test_first_distinct_values_without_all(spark):
+    df = spark.range(40_000).selectExpr("concat('n', id % 20000) AS s")
+    want = [r.s for r in graph.random_top(df.distinct(), 50, 3, "s").collect()]
+    assert [r.s for r in graph.random_top_distinct(df, 50, 3, "s").collect()] == want
+    few = spark.createDataFrame([("a",), ("b",), ("a",)], "s string")
+    assert sorted(r.s for r in graph.random_top_distinct(few, 5, 3, "s").collect()) == ["a", "b"]
+
+
+def test_hub_between_is_summed_up(spark):
+    """4e8 walks over a hub: only what the answer needs is joined."""
+    ids = spark.range(20_000)
+    e = ids.selectExpr("concat('a', id) AS s", "'in' AS p", "'h' AS o").unionAll(ids.selectExpr("'h' AS s", "'out' AS p", "concat('b', id) AS o"))
+    assert [tuple(r) for r in sparql.run(e, "SELECT DISTINCT ?p ?q WHERE { ?a ?p ?b . ?b ?q ?c }", is_set=True).collect()] == [("in", "out")]
+    assert int(bgp.count(e, [("?a", "in", "?b"), ("?b", "out", "?c")]).first().y) == 20_000**2
+    report = {}
+    q = spark.range(1000).selectExpr("id AS qid", "array(array('?a', '<in>', '?b'), array('?b', '<out>', '?c')) AS triples")
+    got = bgp.count_batch(e, q, "qid", report)
+    assert [(r.n, int(r.y)) for r in got.groupBy("y").agg(F.count("*").alias("n")).collect()] == [(1000, 20_000**2)]
+    assert report["branches"] == 2
