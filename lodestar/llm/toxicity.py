@@ -38,6 +38,8 @@ SURE = 0.95
 HALVED = 4
 #: Tokens, and steps of the character model, that a worker remembers, and characters of such tokens.
 STORE, STORE_CHARS = 300_000, 4_000_000
+#: Bits of the filter of labelled ids: for each id, and at most (a million words of it are 64 bits each).
+ID_BITS, MOST_BITS = 16, 1 << 26
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LEET))
@@ -301,13 +303,28 @@ def _key(column: pa.Array) -> np.ndarray:
     return np.array(out, np.uint64).view(np.int64)
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and few others: by a bit for each id's hash. The filter's size is bounded, so
+    that it can be broadcast whatever the number of ids; what it lets through in vain a join has to sift."""
+    n, bits = ids.count(), 1 << 6
+    while bits < min(MOST_BITS, ID_BITS * n):
+        bits *= 2
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_at", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(bits))).withColumn("_word", F.shiftright("_at", 6))
+
+    words = hashed(ids.select("doc_id")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, int(_at & 63))")).alias("_bits"))
+    return hashed(docs).join(F.broadcast(words), "_word").where("shiftright(_bits, int(_at & 63)) & 1 = 1").select(*docs.columns)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of the lexicon's features and words for the character model, from all labelled rows of docs; of near copies with
     one label one row counts. A feature enters if chance would hardly tie it to toxic documents so closely (log-likelihood
     ratio against the number of features tried) and most of its documents are toxic."""
     prepare(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    picked = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
+    # Texts of other rows aren't shuffled, and those of labelled ones in the same way at any size.
+    picked = likely(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), known).join(known.hint("merge"), "doc_id")
 
     def keyed(batches):
         for b in batches:

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fold
-from lodestar.llm.toxicity import CharModel, Reader, apart, decode, detect, lattice, learn, restore, score, words_of
+from lodestar.llm.toxicity import CharModel, Reader, apart, decode, detect, lattice, learn, likely, restore, score, words_of
 
 WORDS = {w: 10.0 for w in "the of and that idiot moron loser trash with are this is on clown good book".split()}
 
@@ -156,3 +156,21 @@ def test_all_labelled_rows_are_learned_from(spark):
     weights, words = learn(d, labels)
     assert words["both"] == n / 2 and words["vile"] == 20 * n / 2
     assert weights["vile"] > 0 and all(w >= 0 for f, w in weights.items() if f)
+
+
+def test_texts_without_label_are_not_shuffled(spark):
+    """The filter keeps every labelled row, null ids and ids of several texts too, few others, and stays within its bound."""
+    from lodestar.llm import toxicity as of
+
+    d = spark.range(20_000).selectExpr("id - 100 AS doc_id", "concat('text ', id) AS text").unionAll(spark.createDataFrame([(None, "x"), (0, "again")], "doc_id long, text string"))
+    ids = spark.range(0, 20_000, 10).selectExpr("id AS doc_id")
+    rows = {(r.doc_id, r.text) for r in d.join(ids, "doc_id").collect()}
+    kept = likely(d, ids)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert rows <= set(got) and len(got) == len(set(got)) < len(rows) + 20_000 / 12 and kept.columns == d.columns
+    assert likely(d, ids.limit(0)).count() == 0
+    most, of.MOST_BITS = of.MOST_BITS, 1 << 10
+    try:
+        assert rows <= {(r.doc_id, r.text) for r in likely(d, ids).collect()}
+    finally:
+        of.MOST_BITS = most
